@@ -1,0 +1,69 @@
+"""From readings to the three levels, and from an interactive question to its frames."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from thermaline.operators.levels import box_level, sensor_level, wall_level
+from thermaline.operators.selection import exclude_sensors, in_period
+from thermaline.operators.series import smooth
+from thermaline.schema import BOX_SMOOTHED, WALL_SMOOTHED
+
+
+@dataclass
+class Levels:
+    """The three lazy frames every question starts from."""
+
+    sensor: DataFrame
+    wall: DataFrame
+    box: DataFrame
+
+
+def levels_of(sensor: DataFrame) -> Levels:
+    """Roll a sensor level up."""
+    return Levels(sensor, wall_level(sensor), box_level(sensor))
+
+
+def build_levels(readings: DataFrame, width: str = "10 minutes") -> Levels:
+    """Readings of all periods to the three levels; the period is a key throughout."""
+    return levels_of(sensor_level(readings, width))
+
+
+def save_sensor_level(sensor: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Keep the sensor level as a table for many questions.
+
+    Partitioned by period (a period filter prunes folders) and bucketed by box and time, so the wall
+    and box roll-ups of every later question, with or without excluded sensors, need no exchange.
+    """
+    spark: SparkSession = sensor.sparkSession
+    (
+        sensor.write.mode("overwrite")
+        .partitionBy("period")
+        .bucketBy(buckets, "box_id", "timestamp")
+        .sortBy("box_id", "timestamp")
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
+def answer(
+    levels: Levels,
+    period: str | None = None,
+    excluded: Sequence[tuple[int, int]] = (),
+    smoothing: str | None = None,
+) -> Levels:
+    """The frames behind one question: exclusion first, then the period, then smoothing.
+
+    Exclusion re-rolls from the sensor level only. Smoothing runs per series: per (period, box) and
+    per (period, box, wall), not across boxes or walls.
+    """
+    base = levels_of(exclude_sensors(levels.sensor, excluded)) if excluded else levels
+    chosen = Levels(*[in_period(df, period) for df in (base.sensor, base.wall, base.box)])
+    return Levels(
+        chosen.sensor,
+        smooth(chosen.wall, WALL_SMOOTHED, smoothing, ["period", "box_id", "wall_id"]),
+        smooth(chosen.box, BOX_SMOOTHED, smoothing, ["period", "box_id"]),
+    )
