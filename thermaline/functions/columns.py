@@ -83,7 +83,3 @@ def measure(df: DataFrame, base: str, normalized: bool = False, smoothed: bool =
         name = f"{name}_smooth"
     return F.col(name)
 
-
-def as_nine(value: Column) -> Column:
-    """Nine decimals, without negative zero; the precision at which reports are compared."""
-    return F.round(value, 9) + F.lit(0.0)

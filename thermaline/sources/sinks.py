@@ -18,8 +18,8 @@ def export_level(df: DataFrame, base: str, level: str, period: str | None = None
     if df.isEmpty():
         raise ValueError("No data available for export")
     path = f"{base}/thermal_data_{level.lower()}_{period}.csv"
-    df.write.mode("overwrite").csv(
-        path, header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss", nullValue=""
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(
+        path, header=True
     )
     return path
 
