@@ -8,16 +8,10 @@ from pyspark.sql import functions as F
 MICROS_PER_MINUTE = 60_000_000
 MICROS_PER_DAY = 86_400_000_000
 
-# The logger's text format, and further formats the audit reader accepts.
-LOGGER_FORMAT = "M/d/yyyy H:mm"
-AUDIT_FORMATS = [
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-]
+# The logger writes M/D/YYYY H:MM; the audits also take seconds, or no time at all.
+LOGGER_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{1,2})$"
+AUDIT_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+AUDIT_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 
 
 def micros(timestamp: Column) -> Column:
@@ -45,18 +39,41 @@ def floor_to(value: Column, step: int) -> Column:
     return value - F.pmod(value, F.lit(step).cast("bigint"))
 
 
+def _rearranged(text: Column, pattern: str, iso: str) -> Column:
+    """Text of a known shape as an ISO time, read without any time zone; else NULL."""
+    matching = F.when(F.rlike(text, F.lit(pattern)), F.regexp_replace(text, pattern, iso))
+    return matching.try_cast("timestamp_ntz")
+
+
 def parse_logger_time(text: Column) -> Column:
     """``M/D/YYYY H:MM``; anything else is NULL."""
-    return F.try_to_timestamp(text, F.lit(LOGGER_FORMAT)).cast("timestamp_ntz")
+    return _rearranged(text, LOGGER_TIME, "$3-$1-$2 $4:$5:00")
 
 
 def parse_any_time(text: Column) -> Column:
-    """The first audit format that reads the text."""
+    """The logger's format, the audit formats, or an ISO time."""
     return F.coalesce(
-        *[F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in AUDIT_FORMATS]
+        parse_logger_time(text),
+        _rearranged(text, AUDIT_TIME, "$3-$1-$2 $4:$5:$6"),
+        _rearranged(text, AUDIT_DATE, "$3-$1-$2"),
+        text.try_cast("timestamp_ntz"),
     )
 
 
 def format_logger_time(timestamp: Column) -> Column:
     """K5: ``M/D/YYYY H:MM``."""
-    return F.date_format(timestamp, LOGGER_FORMAT)
+    return F.concat(
+        F.month(timestamp), F.lit("/"), F.dayofmonth(timestamp), F.lit("/"), F.year(timestamp),
+        F.lit(" "), F.hour(timestamp), F.lit(":"),
+        F.lpad(F.minute(timestamp).cast("string"), 2, "0"),
+    )
+
+
+def whole_days(start: Column, end: Column) -> Column:
+    """Full days between two times."""
+    return F.floor((micros(end) - micros(start)) / MICROS_PER_DAY)
+
+
+def to_seconds_text(timestamp: Column) -> Column:
+    """``YYYY-MM-DD HH:MM:SS``."""
+    return F.left(timestamp.cast("string"), F.lit(19))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermaline.functions.columns import box_name
+from thermaline.functions.timebins import to_seconds_text, whole_days
 from thermaline.operators.levels import with_topology
 from thermaline.operators.selection import with_range_flag
 from thermaline.schema import (
@@ -22,6 +23,7 @@ from thermaline.schema import (
     SENSORS_PER_BOX,
     SENSORS_PER_WALL,
 )
+from thermaline.staging import stage
 
 # Report thresholds and list lengths.
 MAX_LISTED_INVALID = 10
@@ -206,12 +208,6 @@ def coverage(readings: DataFrame) -> DataFrame:
     )
 
 
-def _days_between(start: str, end: str) -> Column:
-    whole = F.datediff(F.col(end).cast("date"), F.col(start).cast("date"))
-    early = F.date_format(end, "HHmmss.SSSSSS") < F.date_format(start, "HHmmss.SSSSSS")
-    return (whole - early.cast("int")).cast("bigint")
-
-
 def period_summary(readings: DataFrame) -> DataFrame:
     """Per period rows, distinct sensors and boxes, time span and whole days."""
     return (
@@ -224,7 +220,7 @@ def period_summary(readings: DataFrame) -> DataFrame:
             F.min("min_time").alias("min_time"),
             F.max("max_time").alias("max_time"),
         )
-        .withColumn("duration_days", _days_between("min_time", "max_time"))
+        .withColumn("duration_days", whole_days(F.col("min_time"), F.col("max_time")))
     )
 
 
@@ -271,10 +267,7 @@ def _bounded_list(
     ranked = rows.select(*keys, timestamp).withColumn(
         "_n", F.row_number().over(Window.partitionBy(*keys).orderBy(timestamp))
     )
-    text = F.transform(
-        F.array_sort(F.collect_list(timestamp)),
-        lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss"),
-    )
+    text = F.transform(F.array_sort(F.collect_list(timestamp)), to_seconds_text)
     return (
         ranked.where(F.col("_n") <= below)
         .groupBy(*keys)
@@ -448,9 +441,10 @@ def missing_times(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)
 def first_readings(readings: DataFrame, order: str = "file_order") -> DataFrame:
     """The first row of each file, as the load report shows it.
 
-    The first order key per file is a hash aggregate; its row is then picked by an equi-join.
+    The first order key per file is a hash aggregate, staged as one row per file so that Catalyst
+    knows its size; its row is then picked by an equi-join.
     """
-    heads = readings.groupBy("period", "file").agg(F.min(order).alias(order))
+    heads = stage(readings.groupBy("period", "file").agg(F.min(order).alias(order)), "heads")
     return readings.select("period", "file", order, "timestamp", *MEASURES, "wall_type").join(
         heads, ["period", "file", order], "left_semi"
     )

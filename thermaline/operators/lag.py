@@ -41,13 +41,11 @@ def thermal_lag(
     """
     max_lag = max_lag_hours * 60 // bin_minutes
     block = max(_BLOCK, max_lag)
-    every_key = df.select(*keys).distinct()
-    pairs = stage(
-        df.where(F.col(outside).isNotNull() & F.col(inside).isNotNull()).select(
-            *keys, timestamp, F.col(outside).alias("o"), F.col(inside).alias("i")
-        ),
-        "lag-pairs",
+    series = stage(
+        df.select(*keys, timestamp, F.col(outside).alias("o"), F.col(inside).alias("i")),
+        "lag-series",
     )
+    pairs = series.where(F.col("o").isNotNull() & F.col("i").isNotNull())
     stats = stage(
         pairs.groupBy(*keys)
         .agg(
@@ -82,7 +80,7 @@ def thermal_lag(
         "lag-best",
     )
     correlated = _correlation_at(placed.join(best, list(keys)), placed, keys)
-    return every_key.join(
+    return series.select(*keys).distinct().join(
         correlated.select(
             *keys, (F.col("shift") * bin_minutes).cast("int").alias("lag_minutes"), "r"
         ),

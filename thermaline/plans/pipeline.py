@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,23 +13,46 @@ from thermaline.operators.series import smooth
 from thermaline.schema import BOX_SMOOTHED, WALL_SMOOTHED
 
 
-@dataclass
 class Levels:
-    """The three lazy frames every question starts from."""
+    """The three lazy frames every question starts from; wall and box roll up from the sensors."""
 
-    sensor: DataFrame
-    wall: DataFrame
-    box: DataFrame
+    def __init__(self, sensor: DataFrame):
+        self.sensor = sensor
 
+    @cached_property
+    def wall(self) -> DataFrame:
+        return wall_level(self.sensor)
 
-def levels_of(sensor: DataFrame) -> Levels:
-    """Roll a sensor level up."""
-    return Levels(sensor, wall_level(sensor), box_level(sensor))
+    @cached_property
+    def box(self) -> DataFrame:
+        return box_level(self.sensor)
+
+
+class Answer(Levels):
+    """Levels after a period filter and smoothing.
+
+    Smoothing runs per series: per (period, box) and per (period, box, wall), never across them.
+    """
+
+    def __init__(self, levels: Levels, period: str | None, smoothing: str | None):
+        super().__init__(in_period(levels.sensor, period))
+        self._finish: Callable[[DataFrame, list[str], list[str]], DataFrame] = (
+            lambda df, columns, keys: smooth(in_period(df, period), columns, smoothing, keys)
+        )
+        self._levels = levels
+
+    @cached_property
+    def wall(self) -> DataFrame:
+        return self._finish(self._levels.wall, WALL_SMOOTHED, ["period", "box_id", "wall_id"])
+
+    @cached_property
+    def box(self) -> DataFrame:
+        return self._finish(self._levels.box, BOX_SMOOTHED, ["period", "box_id"])
 
 
 def build_levels(readings: DataFrame, width: str = "10 minutes") -> Levels:
     """Readings of all periods to the three levels; the period is a key throughout."""
-    return levels_of(sensor_level(readings, width))
+    return Levels(sensor_level(readings, width))
 
 
 def save_sensor_level(sensor: DataFrame, table: str, buckets: int) -> DataFrame:
@@ -54,16 +77,10 @@ def answer(
     period: str | None = None,
     excluded: Sequence[tuple[int, int]] = (),
     smoothing: str | None = None,
-) -> Levels:
+) -> Answer:
     """The frames behind one question: exclusion first, then the period, then smoothing.
 
-    Exclusion re-rolls from the sensor level only. Smoothing runs per series: per (period, box) and
-    per (period, box, wall), not across boxes or walls.
+    Exclusion rolls up again from the sensor level only.
     """
-    base = levels_of(exclude_sensors(levels.sensor, excluded)) if excluded else levels
-    chosen = Levels(*[in_period(df, period) for df in (base.sensor, base.wall, base.box)])
-    return Levels(
-        chosen.sensor,
-        smooth(chosen.wall, WALL_SMOOTHED, smoothing, ["period", "box_id", "wall_id"]),
-        smooth(chosen.box, BOX_SMOOTHED, smoothing, ["period", "box_id"]),
-    )
+    base = Levels(exclude_sensors(levels.sensor, excluded)) if excluded else levels
+    return Answer(base, period, smoothing)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaline.functions.timebins import LOGGER_FORMAT
+from thermaline.functions.timebins import format_logger_time
 
 # The split of the month into two periods, and the file date code of each.
 PERIOD_SPLIT = "2024-01-16 00:00:00"
@@ -96,7 +96,7 @@ def dirty_logger_rows(readings: DataFrame) -> DataFrame:
         name.alias("file"),
         order.alias("file_order"),
         F.when(order % 101 == 50, F.lit("no time"))
-        .otherwise(F.date_format("timestamp", LOGGER_FORMAT))
+        .otherwise(format_logger_time(F.col("timestamp")))
         .alias("date_text"),
         F.col("surface_temp").cast("string").alias("surface_temp"),
         F.coalesce(F.col("internal_temp").cast("string"), F.lit("NaN")).alias("internal_temp"),

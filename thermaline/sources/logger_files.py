@@ -140,12 +140,9 @@ def read_headers(lines: DataFrame, audit: bool = False) -> DataFrame:
     only the first lines of those blocks are numbered.
     """
     filled = lines.where(_not_blank("raw"))
-    blocks = stage(
-        lines.groupBy(*_FILE, "block").agg(
-            F.count_if(_not_blank("raw")).alias("n"),
-            F.bool_or(~F.is_valid_utf8(F.col("raw").cast("string"))).alias("latin1"),
-        ),
-        "blocks",
+    blocks = lines.groupBy(*_FILE, "block").agg(
+        F.count_if(_not_blank("raw")).alias("n"),
+        F.bool_or(~F.is_valid_utf8(F.col("raw").cast("string"))).alias("latin1"),
     )
     before = (
         Window.partitionBy(*_FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
