@@ -86,7 +86,10 @@ def _name_of(path: Column, folders: bool) -> Column:
 
 
 def list_files(spark: SparkSession, base: str, glob: str, folders: bool = False) -> DataFrame:
-    """S1 + S2: every file below ``base`` with its period, name, box and sensor; content unread."""
+    """S1 + S2: every file below ``base`` with its period, name, box and sensor; content unread.
+
+    Files of zero length do not show up: Spark's readers skip them.
+    """
     path = F.col("_metadata.file_path")
     found = (
         spark.read.format("binaryFile")
