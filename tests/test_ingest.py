@@ -8,7 +8,9 @@ import pytest
 from frames import rows
 
 from thermaline.operators import audit
+from thermaline.plans.pipeline import curate_folder, load_levels
 from thermaline.sources import logger_files as lf
+from thermaline.sources.sinks import read_curated
 
 HEADER = "Date/Time,Value Heat Surface Sensor,Internal temp sensor,Out Air temp,Wall Type"
 PREAMBLE = [f"preamble {n}" for n in range(14)]
@@ -59,7 +61,7 @@ def base(tmp_path_factory):
     write(base, p1, "GW_1.14_111025.csv", [*clean(2), "10/23/2025 0:02,1,2,3,Exposed,extra"])
     (base / p1 / "GW_1.15_111025.csv").write_text("only\nthree\nlines\n")
     (base / p1 / "GW_1.16_111025.csv").write_text("")
-    write(base, "Period2", "GW2.17_121125.csv", clean(5, 4, 12))
+    write(base, "Period2", "GW2.17_121125.csv", clean(5, 13, 12))
     (base / p1 / "readme.txt").write_text("not a logger file")
     return base
 
@@ -158,7 +160,7 @@ def test_audit_reading(spark, tmp_path):
     ]
     write(tmp_path, "Period1", "GW_1.1_111025.csv", body, header=header)
     write(tmp_path, "Period1", "GW_1.2_111025.csv", [",,2,3,a,n", *body[:2]], header=header)
-    got = lf.load_logger_files(spark, str(tmp_path), audit=True)
+    got = lf.load_logger_files(spark, str(tmp_path), mode=lf.AUDIT)
     times = rows(got.readings.where("sensor_id = 1"), "timestamp")
     assert times == [(minute(0),), (minute(1),), (None,)]
     assert got.readings.where("sensor_id = 2").count() == 3
@@ -169,8 +171,22 @@ def test_audit_reading(spark, tmp_path):
 
 
 def test_uncut_rows_for_curation(spark, base):
-    uncut = lf.load_logger_files(spark, str(base), cut=False)
+    uncut = lf.load_logger_files(spark, str(base), mode=lf.CURATE)
     assert uncut.readings.where("sensor_id = 4").count() == 6
+    assert uncut.readings.where("file = 'notes.csv'").count() == 3
+
+
+def test_folders_to_levels_and_to_curated_periods(spark, base, tmp_path):
+    levels = load_levels(spark, str(base))
+    assert levels.box.count() == 3
+    totals = {r["status"]: (r["n_files"], r["rows"])
+              for r in curate_folder(spark, str(base), str(tmp_path)).collect()}
+    assert totals == {"Period1": (12, 54), "excluded": (5, 5)}
+    assert read_curated(spark, str(tmp_path)).count() == 54
+    out = spark.read.parquet(f"{tmp_path}/quarantine")
+    assert rows(out.select("file", "reason").distinct(), "file", "reason") == [
+        ("Period2_GW2.17_121125.csv", "no rows in period range")
+    ]
 
 
 def test_last_matching_column_wins(spark, tmp_path):

@@ -7,10 +7,20 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thermaline.operators.curate import (
+    curated_rows,
+    curation_totals,
+    file_verdicts,
+    judged_rows,
+    quarantined_rows,
+)
 from thermaline.operators.levels import box_level, sensor_level, wall_level
 from thermaline.operators.selection import exclude_sensors, in_period
 from thermaline.operators.series import smooth
-from thermaline.schema import BOX_SMOOTHED, WALL_SMOOTHED
+from thermaline.schema import BOX_SMOOTHED, PERIODS, WALL_SMOOTHED
+from thermaline.sources.logger_files import CURATE, load_logger_files, readings_only
+from thermaline.sources.sinks import write_curated, write_quarantine
+from thermaline.staging import stage
 
 
 class Levels:
@@ -84,3 +94,25 @@ def answer(
     """
     base = Levels(exclude_sensors(levels.sensor, excluded)) if excluded else levels
     return Answer(base, period, smoothing)
+
+
+def load_levels(spark: SparkSession, base: str, width: str = "10 minutes") -> Levels:
+    """Folders of logger files to the three levels."""
+    return build_levels(readings_only(load_logger_files(spark, base)), width)
+
+
+def curate_folder(
+    spark: SparkSession, base: str, target: str, periods: Sequence[tuple] = tuple(PERIODS)
+) -> DataFrame:
+    """Folders of raw logger files to curated periods and quarantine below ``target``.
+
+    Returns the totals per outcome. Files that cannot be read count as excluded.
+    """
+    loaded = load_logger_files(spark, base, mode=CURATE)
+    rows = loaded.readings.withColumnRenamed("period", "source_period")
+    failed = loaded.files.where("reason is not null").withColumnRenamed("period", "source_period")
+    verdicts = stage(file_verdicts(rows, periods, failed), "verdicts")
+    judged = judged_rows(rows, verdicts)
+    write_curated(curated_rows(judged, periods), target)
+    write_quarantine(quarantined_rows(judged), target)
+    return curation_totals(verdicts)

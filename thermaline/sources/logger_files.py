@@ -46,6 +46,9 @@ AUDIT_COLUMNS = {
     "type": ["wall", "type"],
 }
 
+# How a file is read: for analysis, for the audits, or for sorting files into periods.
+LOAD, AUDIT, CURATE = "load", "audit", "curate"
+
 _QUOTED_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _FILE = ["path"]
 
@@ -130,35 +133,49 @@ def _not_blank(raw: str) -> Column:
     return F.trim(F.col(raw).cast("string")) != ""
 
 
-def _position(kinds: Column, kind: str) -> Column:
+def _last_place(kinds: Column, kind: str) -> Column:
     """0-based place of the last header cell of a kind, NULL when there is none."""
     from_end = F.array_position(F.reverse(kinds), kind).cast("int")
     return F.when(from_end > 0, F.size(kinds) - from_end)
 
 
-def read_headers(lines: DataFrame, audit: bool = False) -> DataFrame:
+def _first_place(kinds: Column, kind: str) -> Column:
+    place = F.array_position(kinds, kind).cast("int")
+    return F.when(place > 0, place - 1)
+
+
+def read_headers(lines: DataFrame, mode: str = LOAD) -> DataFrame:
     """S4 + S5: encoding, header position and wanted columns of each file, as a written table.
 
-    Counts per block tell in which blocks the header can lie (nearly always the first alone), and
-    only the first lines of those blocks are numbered.
+    Only the first lines of a file are numbered, and only as many of them as make a header leave a
+    task. They lie in the first block but for files read in very small splits; the counts per block
+    name the further blocks then, and these are few enough to be looked up.
     """
     filled = lines.where(_not_blank("raw"))
-    blocks = lines.groupBy(*_FILE, "block").agg(
-        F.count_if(_not_blank("raw")).alias("n"),
-        F.bool_or(~F.is_valid_utf8(F.col("raw").cast("string"))).alias("latin1"),
+    blocks = stage(
+        lines.groupBy(*_FILE, "block").agg(
+            F.count_if(_not_blank("raw")).alias("n"),
+            F.bool_or(~F.is_valid_utf8(F.col("raw").cast("string"))).alias("latin1"),
+        ),
+        "blocks",
     )
     before = (
         Window.partitionBy(*_FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    leading = (
-        blocks.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .where(F.col("earlier") < HEADER_LINE)
-        .select(*_FILE, "block")
+    further = stage(
+        blocks.withColumn("earlier", F.sum("n").over(before))
+        .where((F.col("block") > 0) & (F.col("earlier") < HEADER_LINE))
+        .select(*_FILE, "block"),
+        "further-blocks",
     )
+    leading = filled.where(F.col("block") == 0)
+    if not further.isEmpty():
+        leading = leading.unionByName(
+            filled.where(F.col("block") > 0).join(further, [*_FILE, "block"], "left_semi")
+        )
     in_file = Window.partitionBy(*_FILE).orderBy("block", "line_id")
     header_lines = (
-        filled.join(leading, [*_FILE, "block"], "left_semi")
-        .withColumn("n", F.row_number().over(in_file))
+        leading.withColumn("n", F.row_number().over(in_file))
         .where(F.col("n") == HEADER_LINE)
         .select(
             *_FILE,
@@ -171,7 +188,7 @@ def read_headers(lines: DataFrame, audit: bool = False) -> DataFrame:
     cells = F.transform(
         split_cells(_text(F.col("header"), F.col("latin1"))), lambda c: F.lower(F.trim(c))
     )
-    wanted = AUDIT_COLUMNS if audit else LOAD_COLUMNS
+    wanted = AUDIT_COLUMNS if mode == AUDIT else LOAD_COLUMNS
 
     def kind_of(cell: Column) -> Column:
         kind = F.lit("other")
@@ -185,16 +202,17 @@ def read_headers(lines: DataFrame, audit: bool = False) -> DataFrame:
     placed = (
         header_lines.join(encodings, _FILE)
         .withColumn("kinds", F.transform(cells, kind_of))
-        .withColumns({f"{k}_at": _position(F.col("kinds"), k) for k in LOAD_COLUMNS})
+        .withColumns({f"{k}_at": _last_place(F.col("kinds"), k) for k in LOAD_COLUMNS})
         .withColumn("width", F.size("kinds"))
-        .drop("header", "kinds")
     )
-    if audit:
+    if mode == AUDIT:
         placed = placed.withColumn("date_at", F.lit(0))
-    return stage(placed, "headers")
+    elif mode == CURATE:
+        placed = placed.withColumn("date_at", _first_place(F.col("kinds"), "date"))
+    return stage(placed.drop("header", "kinds"), "headers")
 
 
-def read_cells(lines: DataFrame, headers: DataFrame, audit: bool = False) -> DataFrame:
+def read_cells(lines: DataFrame, headers: DataFrame, mode: str = LOAD) -> DataFrame:
     """The wanted cells of each data row as text, as a written table.
 
     ``n_missing`` counts the wanted measures and the date (audit: every column of the row);
@@ -209,7 +227,7 @@ def read_cells(lines: DataFrame, headers: DataFrame, audit: bool = False) -> Dat
     )
     texts = {k: _known(F.get(F.col("cells"), F.col(f"{k}_at"))) for k in LOAD_COLUMNS}
     parsed = rows.withColumns({f"{k}_text": text for k, text in texts.items()})
-    if audit:
+    if mode == AUDIT:
         known = F.size(F.filter("cells", lambda c: ~c.isin(*MISSING_TEXTS)))
         n_missing = F.col("width") - known
     else:
@@ -262,9 +280,9 @@ def cut_tails(cells: DataFrame) -> DataFrame:
     )
 
 
-def typed(cells: DataFrame, audit: bool = False) -> DataFrame:
+def typed(cells: DataFrame, mode: str = LOAD) -> DataFrame:
     """Standard names and types."""
-    parse = parse_any_time if audit else parse_logger_time
+    parse = parse_any_time if mode == AUDIT else parse_logger_time
     return cells.select(
         *_FILE,
         "block",
@@ -276,7 +294,7 @@ def typed(cells: DataFrame, audit: bool = False) -> DataFrame:
 
 
 def _file_status(
-    files: DataFrame, headers: DataFrame, cells: DataFrame, rows: DataFrame
+    files: DataFrame, headers: DataFrame, cells: DataFrame, rows: DataFrame, mode: str = LOAD
 ) -> DataFrame:
     """K3 + A20 base: every file with its number of rows and, where it failed, the reason."""
     wide = cells.where("too_wide").select(*_FILE).distinct().withColumn("ragged", F.lit(True))
@@ -286,8 +304,9 @@ def _file_status(
         .join(wide, _FILE, "left")
         .join(loaded, _FILE, "left")
     )
+    unnamed = F.col("box_id").isNull() | F.col("sensor_id").isNull()
     reason = (
-        F.when(F.col("box_id").isNull() | F.col("sensor_id").isNull(), "unparsable name")
+        F.when(unnamed & F.lit(mode == LOAD), "unparsable name")
         .when(F.col("width").isNull(), "no header")
         .when(F.col("ragged"), "ragged row")
         .when(F.col("date_at").isNull(), "no date column")
@@ -302,27 +321,26 @@ def _file_status(
 
 
 def load_logger_files(
-    spark: SparkSession,
-    base: str,
-    glob: str = "*.csv",
-    folders: bool = False,
-    audit: bool = False,
-    cut: bool = True,
+    spark: SparkSession, base: str, glob: str = "*.csv", folders: bool = False, mode: str = LOAD
 ) -> LoggerFiles:
     """Readings of every good file below ``base``.
 
-    ``folders`` takes the file name from the enclosing folder (files written by Spark). ``audit``
-    reads as the audits do: first column is the time in any known format, missing values count over
-    all columns, rows without a time stay. ``cut`` off keeps the tails, as curation needs them.
+    ``folders`` takes the file name from the enclosing folder (files written by Spark). ``mode``:
+
+    * ``load`` - for analysis: tails are cut, rows without a time dropped, names must parse;
+    * ``audit`` - the first column is the time in any known format, missing values count over all
+      columns, rows without a time stay;
+    * ``curate`` - for sorting into periods: tails stay, names need not parse, the first date column
+      counts.
     """
     lines = read_lines(spark, base, glob)
-    headers = read_headers(lines, audit)
-    cells = read_cells(lines, headers, audit)
-    rows = typed(cut_tails(cells) if cut else cells, audit)
-    if not audit:
+    headers = read_headers(lines, mode)
+    cells = read_cells(lines, headers, mode)
+    rows = typed(cells if mode == CURATE else cut_tails(cells), mode)
+    if mode != AUDIT:
         rows = rows.where(F.col("timestamp").isNotNull())
     listing = list_files(spark, base, glob, folders)
-    status = stage(_file_status(listing, headers, cells, rows), "files")
+    status = stage(_file_status(listing, headers, cells, rows, mode), "files")
     good = status.where(F.col("reason").isNull()).select(
         "path", "period", "file", "box_id", "sensor_id"
     )
