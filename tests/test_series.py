@@ -20,10 +20,11 @@ def timed(spark, values, key="k"):
     )
 
 
-def test_micros_round_trip_in_any_zone(spark):
+@pytest.mark.parametrize("tested", ["UTC", "America/New_York"])
+def test_micros_round_trip_in_any_zone(spark, tested):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
-        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        spark.conf.set("spark.sql.session.timeZone", tested)
         df = spark.createDataFrame(
             [(datetime(2025, 3, 9, 2, 30),), (datetime(1969, 12, 31, 23, 59, 58, 123456),)],
             "t timestamp_ntz",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MICROS_PER_MINUTE = 60_000_000
@@ -14,8 +14,19 @@ AUDIT_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
 AUDIT_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 
 
+def _in_utc() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
 def micros(timestamp: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, whatever the session zone is."""
+    """Microseconds since 1970 of a zone-free timestamp, whatever the session zone is.
+
+    In a UTC session, as the package sets it, the cast to an instant is exact; in any other zone the
+    value is put together from calendar parts, since local times may be skipped or doubled there.
+    """
+    if _in_utc():
+        return F.unix_micros(timestamp.cast("timestamp"))
     seconds = (
         F.datediff(timestamp.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
         + F.hour(timestamp) * 3600
@@ -27,6 +38,8 @@ def micros(timestamp: Column) -> Column:
 
 def from_micros(value: Column) -> Column:
     """Inverse of :func:`micros`."""
+    if _in_utc():
+        return F.timestamp_micros(value).cast("timestamp_ntz")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     days = F.floor(value / F.lit(MICROS_PER_DAY)).cast("int")
     rest = (value - days.cast("bigint") * MICROS_PER_DAY).cast("decimal(20,0)")

@@ -97,8 +97,12 @@ def nearest_in_time(
 def flag_extremes(
     matches: DataFrame, group: Sequence[str], series: str, value: str = "room_temp"
 ) -> DataFrame:
-    """Marks the series with the highest and lowest ``value`` at each probe (ties: first name)."""
+    """Marks the series with the highest and lowest ``value`` at each probe (ties: first name).
+
+    The matches, one row per probe and series, are staged: the extremes and the rows both read them.
+    """
     keys = [*group, "probe_time"]
+    matches = stage(matches, "matches")
     extremes = (
         matches.where(F.col(value).isNotNull())
         .groupBy(*keys)

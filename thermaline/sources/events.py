@@ -23,15 +23,15 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings without topology, plus ``file_order`` and ``label`` (a second category)."""
     ts = F.col("ts")
+    # props is one flat object with the number k, so a pattern reads it several times faster than JSON
+    number = F.regexp_extract("props", r'"k":\s*(-?[0-9.]+)', 1)
     first_period = ts < F.lit(PERIOD_SPLIT).cast("timestamp_ntz")
     base = read_events(spark, sf_dir).select(
         F.when(first_period, F.lit("Period1")).otherwise(F.lit("Period2")).alias("period"),
         (F.col("event_id") % 2 + 1).cast("int").alias("box_id"),
         (F.shiftright("event_id", 1) % 16 + 1).cast("int").alias("sensor_id"),
         ts.alias("timestamp"),
-        F.when(F.col("event_id") % 89 != 0, F.get_json_object("props", "$.k").try_cast("double")).alias(
-            "surface_temp"
-        ),
+        F.when(F.col("event_id") % 89 != 0, number.try_cast("double")).alias("surface_temp"),
         F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("internal_temp"),
         (F.lit(20.0) + F.hour(ts) / F.lit(2.0)).alias("room_temp"),
         F.col("event_type").alias("label"),

@@ -4,7 +4,7 @@ Three written tables carry the ingest, so that nothing is parsed twice and any e
 
 * lines  - every line with its file, block start and row id, which together give the file order;
 * headers - one small row per file: encoding, header cells and where the wanted columns are;
-* cells  - the wanted cells of every data row, as text, with the number of missing ones.
+* rows - the wanted cells of every data row, typed, with the number of missing ones.
 
 A file may be of any size: it is read in splits, and per-file facts come from aggregates.
 """
@@ -68,6 +68,13 @@ def parse_name(name: Column) -> tuple[Column, Column]:
     return box, sensor
 
 
+def _after(block: str, line_id: str) -> Column:
+    """The row lies behind the place (block, line id) in its file."""
+    return (F.col("block") > F.col(block)) | (
+        (F.col("block") == F.col(block)) & (F.col("line_id") > F.col(line_id))
+    )
+
+
 def split_cells(line: Column) -> Column:
     """Cells of a CSV line; quotes are honoured where the line has any."""
     quoted = F.transform(
@@ -212,53 +219,57 @@ def read_headers(lines: DataFrame, mode: str = LOAD) -> DataFrame:
     return stage(placed.drop("header", "kinds"), "headers")
 
 
-def read_cells(lines: DataFrame, headers: DataFrame, mode: str = LOAD) -> DataFrame:
-    """The wanted cells of each data row as text, as a written table.
+def read_rows(lines: DataFrame, headers: DataFrame, mode: str = LOAD) -> DataFrame:
+    """The data rows under standard names and types, as a written table.
 
-    ``n_missing`` counts the wanted measures and the date (audit: every column of the row);
+    ``n_missing`` counts the missing texts among date and measures (audit: all columns of the row);
     ``too_wide`` marks rows with more cells than the header.
     """
-    after_header = F.struct("block", "line_id") > F.struct("header_block", "header_id")
-    rows = (
+    split = (
         lines.where(_not_blank("raw"))
         .join(headers, _FILE)
-        .where(after_header)
-        .withColumn("cells", split_cells(_text(F.col("raw"), F.col("latin1"))))
+        .where(_after("header_block", "header_id"))
+        .withColumn("line", _text(F.col("raw"), F.col("latin1")))
+        .withColumn("cells", split_cells(F.col("line")))
+    )
+    texts = split.withColumns(
+        {k: _known(F.get(F.col("cells"), F.col(f"{k}_at"))) for k in LOAD_COLUMNS}
     )
-    texts = {k: _known(F.get(F.col("cells"), F.col(f"{k}_at"))) for k in LOAD_COLUMNS}
-    parsed = rows.withColumns({f"{k}_text": text for k, text in texts.items()})
     if mode == AUDIT:
         known = F.size(F.filter("cells", lambda c: ~c.isin(*MISSING_TEXTS)))
         n_missing = F.col("width") - known
     else:
         n_missing = sum(
             (
-                (F.col(f"{k}_at").isNotNull() & F.col(f"{k}_text").isNull()).cast("int")
+                (F.col(f"{k}_at").isNotNull() & F.col(k).isNull()).cast("int")
                 for k in ("date", "surface", "internal", "room")
             ),
             F.lit(0),
         )
+    parse = parse_any_time if mode == AUDIT else parse_logger_time
     return stage(
-        parsed.select(
+        texts.select(
             *_FILE,
             "block",
             "line_id",
-            *[f"{k}_text" for k in LOAD_COLUMNS],
+            parse(F.col("date")).alias("timestamp"),
+            *[to_number(F.col(m.removesuffix("_temp"))).alias(m) for m in MEASURES],
+            clean_wall_type(F.col("type")).alias("wall_type"),
             n_missing.alias("n_missing"),
             (F.size("cells") > F.col("width")).alias("too_wide"),
         ),
-        "cells",
+        "rows",
     )
 
 
-def cut_tails(cells: DataFrame) -> DataFrame:
+def cut_tails(rows: DataFrame) -> DataFrame:
     """Drop each file from its first row with two or more missing values on.
 
     No cut when that row is the first data row. First rows are found per block with plain numbers,
     then per file; the cut points are a written table of one row per file that is cut.
     """
     bad = F.when(F.col("n_missing") >= 2, F.col("line_id"))
-    per_block = cells.groupBy(*_FILE, "block").agg(
+    per_block = rows.groupBy(*_FILE, "block").agg(
         F.min("line_id").alias("first_id"), F.min(bad).alias("bad_id")
     )
     bad_place = F.when(F.col("bad_id").isNotNull(), F.struct("block", F.col("bad_id").alias("id")))
@@ -272,32 +283,21 @@ def cut_tails(cells: DataFrame) -> DataFrame:
         .select(*_FILE, F.col("bad.block").alias("cut_block"), F.col("bad.id").alias("cut_id")),
         "cuts",
     )
-    before_cut = F.struct("block", "line_id") < F.struct("cut_block", "cut_id")
+    before_cut = (F.col("block") < F.col("cut_block")) | (
+        (F.col("block") == F.col("cut_block")) & (F.col("line_id") < F.col("cut_id"))
+    )
     return (
-        cells.join(cuts, _FILE, "left")
+        rows.join(cuts, _FILE, "left")
         .where(F.col("cut_id").isNull() | before_cut)
         .drop("cut_block", "cut_id")
     )
 
 
-def typed(cells: DataFrame, mode: str = LOAD) -> DataFrame:
-    """Standard names and types."""
-    parse = parse_any_time if mode == AUDIT else parse_logger_time
-    return cells.select(
-        *_FILE,
-        "block",
-        "line_id",
-        parse(F.col("date_text")).alias("timestamp"),
-        *[to_number(F.col(f"{m.removesuffix('_temp')}_text")).alias(m) for m in MEASURES],
-        clean_wall_type(F.col("type_text")).alias("wall_type"),
-    )
-
-
 def _file_status(
-    files: DataFrame, headers: DataFrame, cells: DataFrame, rows: DataFrame, mode: str = LOAD
+    files: DataFrame, headers: DataFrame, every_row: DataFrame, rows: DataFrame, mode: str
 ) -> DataFrame:
     """K3 + A20 base: every file with its number of rows and, where it failed, the reason."""
-    wide = cells.where("too_wide").select(*_FILE).distinct().withColumn("ragged", F.lit(True))
+    wide = every_row.where("too_wide").select(*_FILE).distinct().withColumn("ragged", F.lit(True))
     loaded = rows.groupBy(*_FILE).agg(F.count("timestamp").alias("valid_rows"))
     found = (
         files.join(headers.select(*_FILE, "date_at", "width"), _FILE, "left")
@@ -335,12 +335,13 @@ def load_logger_files(
     """
     lines = read_lines(spark, base, glob)
     headers = read_headers(lines, mode)
-    cells = read_cells(lines, headers, mode)
-    rows = typed(cells if mode == CURATE else cut_tails(cells), mode)
+    every_row = read_rows(lines, headers, mode)
+    rows = every_row if mode == CURATE else cut_tails(every_row)
+    rows = rows.drop("n_missing", "too_wide")
     if mode != AUDIT:
         rows = rows.where(F.col("timestamp").isNotNull())
     listing = list_files(spark, base, glob, folders)
-    status = stage(_file_status(listing, headers, cells, rows, mode), "files")
+    status = stage(_file_status(listing, headers, every_row, rows, mode), "files")
     good = status.where(F.col("reason").isNull()).select(
         "path", "period", "file", "box_id", "sensor_id"
     )
