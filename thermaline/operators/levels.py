@@ -30,13 +30,13 @@ def modal_value(
     Counts per (keys, value) combine before the shuffle, so a hot group costs one row per task.
     """
     counted = df.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*keys).agg(_most_frequent(category, "n").alias(alias or category))
+    return counted.groupBy(*keys).agg(_most_frequent(F.col(category), "n").alias(alias or category))
 
 
-def _most_frequent(category: str, count: str) -> Column:
+def _most_frequent(category: Column, count: str) -> Column:
+    """The value with the highest count, the smallest of several; NULL values do not take part."""
     candidate = F.when(
-        F.col(category).isNotNull(),
-        F.struct((-F.col(count)).alias("rank"), F.col(category).alias("value")),
+        category.isNotNull(), F.struct((-F.col(count)).alias("rank"), category.alias("value"))
     )
     return F.min(candidate)["value"]
 
@@ -67,7 +67,7 @@ def resample(
         .groupBy(*keys, "timestamp")
         .agg(
             *[F.try_divide(F.sum(f"{m}_sum"), F.sum(f"{m}_n")).alias(m) for m in measures],
-            _most_frequent(category, "n").alias(category),
+            _most_frequent(F.col(category), "n").alias(category),
         )
     )
 
@@ -95,28 +95,43 @@ def wall_level(sensor: DataFrame) -> DataFrame:
 
     Presence of a side decides, not NULL values: the room comes from 'out' when that side has any
     row, else from 'in'; the treatment from 'in' when present, else from 'out'. Sensors without a
-    wall are left out here only.
+    wall are left out here only. Sums per (wall, side, treatment) are hash-aggregated first and then
+    folded into one row; the sensor level is clustered so that neither step moves a row.
     """
-
-    def side(position: str, column: str) -> Column:
-        return F.when(F.col("position") == position, F.col(column))
-
+    quantities = {
+        "surface_temp": "surface",
+        "internal_temp": "internal",
+        "room_temp": "room",
+        "normalized_surface": "normalized_surface",
+        "normalized_internal": "normalized_internal",
+    }
+    per_type = (
+        sensor.where(F.col("wall_id").isNotNull())
+        .groupBy(*WALL_KEYS, "position", "wall_type")
+        .agg(
+            F.count("sensor_id").alias("n"),
+            *[F.sum(c).alias(f"{c}_sum") for c in quantities],
+            *[F.count(c).alias(f"{c}_n") for c in quantities],
+        )
+    )
     aggregates = []
     for position in ("out", "in"):
+
+        def side(column: str, position: str = position) -> Column:
+            return F.when(F.col("position") == position, F.col(column))
+
+        typed = side("wall_type")
         aggregates += [
-            F.avg(side(position, "surface_temp")).alias(f"{position}_surface"),
-            F.avg(side(position, "internal_temp")).alias(f"{position}_internal"),
-            F.avg(side(position, "room_temp")).alias(f"{position}_room"),
-            F.nullif(F.count(side(position, "sensor_id")), F.lit(0)).alias(
-                f"{position}_sensor_count"
-            ),
-            F.avg(side(position, "normalized_surface")).alias(f"{position}_normalized_surface"),
-            F.avg(side(position, "normalized_internal")).alias(f"{position}_normalized_internal"),
-            F.mode(side(position, "wall_type"), True).alias(f"{position}_type"),
+            F.try_divide(F.sum(side(f"{c}_sum")), F.sum(side(f"{c}_n"))).alias(
+                f"{position}_{name}"
+            )
+            for c, name in quantities.items()
         ]
-    rolled = (
-        sensor.where(F.col("wall_id").isNotNull()).groupBy(*WALL_KEYS).agg(*aggregates)
-    )
+        aggregates += [
+            F.sum(side("n")).alias(f"{position}_sensor_count"),
+            _most_frequent(typed, "n").alias(f"{position}_type"),
+        ]
+    rolled = per_type.groupBy(*WALL_KEYS).agg(*aggregates)
     has_out = F.col("out_sensor_count").isNotNull()
     has_in = F.col("in_sensor_count").isNotNull()
     picked = rolled.withColumns(

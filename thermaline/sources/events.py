@@ -16,8 +16,13 @@ PERIOD_SPLIT = "2024-01-16 00:00:00"
 PERIOD_CODES = {"Period1": "111025", "Period2": "121125"}
 
 
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
