@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermaline.functions.columns import box_name, measure, round_half_even
 from thermaline.operators import analysis, selection
-from thermaline.plans.pipeline import answer, build_levels
+from thermaline.plans.flows import answer, build_levels
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ import pytest
 from frames import rows
 
 from thermaline.operators import audit
-from thermaline.plans.pipeline import curate_folder, load_levels
+from thermaline.plans.flows import curate_folder, load_levels
 from thermaline.sources import logger_files as lf
 from thermaline.sources.sinks import read_curated
 
@@ -63,6 +63,8 @@ def base(tmp_path_factory):
     (base / p1 / "GW_1.16_111025.csv").write_text("")
     write(base, "Period2", "GW2.17_121125.csv", clean(5, 13, 12))
     (base / p1 / "readme.txt").write_text("not a logger file")
+    write(base, "Excluded", "Period1_GW_1.1_111025.csv", clean(3))
+    write(base, "Period1/old", "GW_1.1_111025.csv", clean(3))
     return base
 
 

@@ -4,7 +4,7 @@ import pytest
 from frames import at, readings, rows
 
 from thermaline.operators import levels
-from thermaline.plans.pipeline import Levels, answer, build_levels, save_sensor_level
+from thermaline.plans.flows import Levels, answer, build_levels, save_sensor_level
 
 
 def test_resample_means_mode_and_bins(spark):

@@ -67,3 +67,8 @@ def with_range_flag(df: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)) ->
 def in_period_range(df: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)) -> DataFrame:
     """F7 as a filter."""
     return with_range_flag(df, periods).where("in_range").drop("in_range")
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """O3: the known values of a column in order, for pickers."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

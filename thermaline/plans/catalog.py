@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thermaline.functions.timebins import floor_to, format_logger_time
 from thermaline.operators import analysis, audit, curate, levels, nearest, selection, series
-from thermaline.plans.pipeline import Levels, answer, build_levels
+from thermaline.plans.flows import Levels, answer, build_levels
 from thermaline.schema import BOX_KEYS, BOX_SMOOTHED, MEASURES, SERIES_KEYS, WALL_SMOOTHED
 from thermaline.sources import logger_files, sinks
 from thermaline.sources.events import dirty_logger_rows, logger_slices, readings_from_events
@@ -250,6 +250,7 @@ def registered() -> dict[str, Query]:
                 r.select("period", "file", "file_order", "timestamp", *MEASURES), EVENT_PERIODS
             )
         ),
+        "wall_type_choices": on_readings(lambda r: selection.distinct_values(r, "wall_type")),
         "exclude_sensors_wall": on_levels(lambda lv: answer(lv, excluded=EXCLUDED_PAIRS).wall),
         "exclude_sensors_box": on_levels(lambda lv: answer(lv, excluded=EXCLUDED_PAIRS).box),
         "answer_smoothed": on_levels(_smoothed_answer, "10 minutes"),

@@ -466,6 +466,7 @@ SELECT file, file_order, row_index, {nine('internal_temp')},
         "period_filter": f"WITH {levels()} SELECT {BOX_COLUMNS} FROM b WHERE period = 'Period2'",
         "range_filter": f"""WITH {READINGS},{RANGES} SELECT period, file, file_order, ts AS timestamp, {nine_s}
 FROM r JOIN ranges USING (period) WHERE ts BETWEEN lo AND hi""",
+        "wall_type_choices": f"WITH {READINGS} SELECT DISTINCT wall_type FROM r WHERE wall_type IS NOT NULL",
         "exclude_sensors_wall": f"WITH {levels(sensors=KEPT_SENSORS)} SELECT {WALL_COLUMNS} FROM w",
         "exclude_sensors_box": f"WITH {levels(sensors=KEPT_SENSORS)} SELECT {BOX_COLUMNS} FROM b",
         "answer_smoothed": f"""WITH {levels('10 minutes', KEPT_SENSORS)},

@@ -25,7 +25,8 @@ from thermaline.staging import stage
 # Header position, file name pattern, period folders, texts that mean "missing".
 HEADER_LINE = 15
 NAME_PATTERN = r"GW_?(\d+)\.(\d+)_"
-PERIOD_PATTERN = r"(Period\d+)"
+PERIOD_PATTERN = r"/(Period\d+)/[^/]+$"
+PERIOD_OF_FOLDER_PATTERN = r"/(?:[a-z_]+=)?(Period\d+)/[^/]+/[^/]+$"
 MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -95,8 +96,14 @@ def _name_of(path: Column, folders: bool) -> Column:
     return F.regexp_replace(F.element_at(parts, -2 if folders else -1), "^[a-z_]+=", "")
 
 
+def _period_of(path: Column, folders: bool) -> Column:
+    """The period folder a file lies in directly, NULL when it lies elsewhere."""
+    pattern = PERIOD_OF_FOLDER_PATTERN if folders else PERIOD_PATTERN
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+
+
 def list_files(spark: SparkSession, base: str, glob: str, folders: bool = False) -> DataFrame:
-    """S1 + S2: every file below ``base`` with its period, name, box and sensor; content unread.
+    """S1 + S2: every file in a period folder with its name, box and sensor; content unread.
 
     Files of zero length do not show up: Spark's readers skip them.
     """
@@ -112,13 +119,14 @@ def list_files(spark: SparkSession, base: str, glob: str, folders: bool = False)
     box, sensor = parse_name(F.col("file"))
     return (
         found.withColumn("file", name)
-        .withColumn("period", F.regexp_extract("path", PERIOD_PATTERN, 1))
+        .withColumn("period", _period_of(F.col("path"), folders))
+        .where(F.col("period").isNotNull())
         .withColumns({"box_id": box, "sensor_id": sensor})
     )
 
 
-def read_lines(spark: SparkSession, base: str, glob: str) -> DataFrame:
-    """S3: the written lines table. Row ids are fixed by writing them once."""
+def read_lines(spark: SparkSession, base: str, glob: str, folders: bool = False) -> DataFrame:
+    """S3: the written lines table of the period folders. Row ids are fixed by writing them once."""
     raw = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(base)
     )
@@ -128,7 +136,7 @@ def read_lines(spark: SparkSession, base: str, glob: str) -> DataFrame:
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").cast("binary").alias("raw"),
     )
-    return stage(lines, "lines")
+    return stage(lines.where(_period_of(F.col("path"), folders).isNotNull()), "lines")
 
 
 def _text(raw: Column, latin1: Column) -> Column:
@@ -323,7 +331,7 @@ def _file_status(
 def load_logger_files(
     spark: SparkSession, base: str, glob: str = "*.csv", folders: bool = False, mode: str = LOAD
 ) -> LoggerFiles:
-    """Readings of every good file below ``base``.
+    """Readings of every good file in the period folders below ``base``.
 
     ``folders`` takes the file name from the enclosing folder (files written by Spark). ``mode``:
 
@@ -333,7 +341,7 @@ def load_logger_files(
     * ``curate`` - for sorting into periods: tails stay, names need not parse, the first date column
       counts.
     """
-    lines = read_lines(spark, base, glob)
+    lines = read_lines(spark, base, glob, folders)
     headers = read_headers(lines, mode)
     every_row = read_rows(lines, headers, mode)
     rows = every_row if mode == CURATE else cut_tails(every_row)
