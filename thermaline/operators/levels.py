@@ -106,7 +106,7 @@ def wall_level(sensor: DataFrame) -> DataFrame:
         "normalized_internal": "normalized_internal",
     }
     per_type = (
-        sensor.where(F.col("wall_id").isNotNull())
+        sensor.dropna(subset=WALL_KEYS)
         .groupBy(*WALL_KEYS, "position", "wall_type")
         .agg(
             F.count("sensor_id").alias("n"),

@@ -236,7 +236,7 @@ INGEST = f"""{READINGS},
 texts AS (
   SELECT *, date_trunc('minute', ts) AS minute, file_order % 101 = 50 AS no_time,
     CASE WHEN file_order % 211 = 7 THEN NULL ELSE room_temp END AS room_read,
-    box_id = 2 AND sensor_id = 16 AS unnamed, lpad(CAST(file_order // 1048576 AS VARCHAR), 4, '0') AS part
+    box_id = 2 AND sensor_id = 16 AS unnamed, lpad(CAST(file_order // 67108864 AS VARCHAR), 8, '0') AS part
   FROM r),
 logs AS (
   SELECT *, CASE WHEN unnamed THEN 'GX-' ELSE 'GW_' END || box_id || '.' || sensor_id || '_' || part || '.csv' AS log,

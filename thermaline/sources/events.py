@@ -85,7 +85,7 @@ def dirty_logger_rows(readings: DataFrame) -> DataFrame:
     Latin-1 bytes in the headers of the second box. One sensor's file names do not parse.
     """
     order = F.col("file_order")
-    part = F.lpad((F.shiftright("file_order", 20)).cast("string"), 4, "0")
+    part = F.lpad(F.shiftright("file_order", 26).cast("string"), 8, "0")
     unnamed = (F.col("box_id") == 2) & (F.col("sensor_id") == 16)
     name = F.concat(
         F.when(unnamed, F.lit("GX-")).otherwise(F.lit("GW_")),
