@@ -8,12 +8,13 @@ import pytest
 
 import __spark_entry__ as entry_module
 import compare
+from thermaline.plans import catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables absent")
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = catalog.registered()
+ORACLES = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +34,8 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_entry_registers_all_of_them():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
