@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermaline.llm.hashing import mix, powers, row_groups, utf8
+from thermaline.llm.tasks import in_arrow
 from thermaline.staging import stage
 
 LENGTH = 100
@@ -137,7 +138,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 names=["anchor", "segment", "id"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "anchor long, segment long, id long")
+    return in_arrow(docs.select("id", "text"), run, "anchor long, segment long, id long")
 
 
 def multikey_order(keys: np.ndarray) -> np.ndarray:
@@ -343,7 +344,7 @@ def open_suffixes(base: DataFrame, length: int) -> DataFrame:
                     names=["id", "digest", "at", "suffix", "before"],
                 )
 
-    return base.select("id", "text", "digest", "open").mapInArrow(run, _OPEN_DDL)
+    return in_arrow(base.select("id", "text", "digest", "open"), run, _OPEN_DDL)
 
 
 def _resolved(suffixes: DataFrame, length: int) -> DataFrame:
@@ -352,7 +353,7 @@ def _resolved(suffixes: DataFrame, length: int) -> DataFrame:
         if kept:
             yield from resolve_bucket(pa.Table.from_batches(kept), length)
 
-    return suffixes.mapInArrow(run, _FOUND_DDL)
+    return in_arrow(suffixes, run, _FOUND_DDL)
 
 
 _REMOVED_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -402,7 +403,7 @@ def _removal(base: DataFrame, length: int, texts: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = _REMOVED_DDL + (", kept_text string" if texts else "")
-    return base.select("id", "text", "digest", "whole", "spans", "doc_id").mapInArrow(run, ddl)
+    return in_arrow(base.select("id", "text", "digest", "whole", "spans", "doc_id"), run, ddl)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from thermaline.llm.components import components
 from thermaline.llm.hashing import mix, row_groups, set_digests, shingle_sets, utf8
+from thermaline.llm.tasks import in_arrow
 from thermaline.staging import stage
 
 POSITIONS = 128
@@ -112,7 +113,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     schema=_SKETCH,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH_DDL)
+    return in_arrow(docs.select("doc_id", "text"), run, _SKETCH_DDL)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -142,7 +143,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return joined.mapInArrow(run, "a long, b long")
+    return in_arrow(joined, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
