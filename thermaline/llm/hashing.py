@@ -132,12 +132,9 @@ def shingle_sets(
         if end - begin >= words:
             found = np.unique(joined[begin : end - words + 1])
         else:
-            whole = np.uint64(end - begin)
-            found = hashes[begin:end]
-            if end > begin:
-                for i in range(end - begin):
-                    whole = mix(np.atleast_1d(whole * _STEP + found[i]))[0]
-                found = np.array([whole], dtype=np.uint64)
+            found = np.full(int(end > begin), end - begin, dtype=np.uint64)
+            for i in range(begin, end):
+                found = mix(found * _STEP + hashes[i : i + 1])
         sizes[row] = len(found)
         sets.append(found)
         begin = end

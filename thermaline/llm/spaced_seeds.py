@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from thermaline.staging import stage
 
-# Fixed masks: eight of twelve words each.
-MASKS = ("111011001101", "110100110111", "101111010011")
-MIN_WORDS = 5
+# Fixed masks by the number of words of a test text (from, to). Each set finds every overlap that counts: whatever
+# words of a window differ, as long as 80 % are equal, one of its masks has a place that selects equal words only.
+TIERS = (
+    (5, 11, ("111", "1101")),
+    (12, 15, ("110111", "11111")),
+    (16, 2**31 - 1, ("11010111", "11100010011")),
+)
 WINDOW = 16
 PERCENT = 80
 PROBES = 4
@@ -48,7 +52,7 @@ def _places(hashes: Column, mask: str) -> Column:
 def _seeds(hashes: Column, masks: Sequence[str], keep=None) -> Column:
     """Array of (at, mask, seed) for all masks; ``keep`` is a condition on a seed."""
 
-    def of(number: int, mask: str) -> Column:
+    def of(mask: str) -> Column:
         places = _places(hashes, mask)
         if keep is not None:
             places = F.filter(
@@ -57,11 +61,11 @@ def _seeds(hashes: Column, masks: Sequence[str], keep=None) -> Column:
         return F.transform(
             places,
             lambda at: F.struct(
-                at.alias("at"), F.lit(number).alias("mask"), _seed(hashes, at, mask).alias("seed")
+                at.alias("at"), F.lit(mask).alias("mask"), _seed(hashes, at, mask).alias("seed")
             ),
         )
 
-    return F.concat(*[of(number, mask) for number, mask in enumerate(masks)])
+    return F.concat(*[of(mask) for mask in masks])
 
 
 def _bit_set(seeds: DataFrame, bits: int) -> DataFrame:
@@ -128,22 +132,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns one row for each document and item: doc_id, item_id, doc_word and item_word (where the best window begins,
     in words from 0), n_words (its length) and n_matched. A window of 16 words, or a whole shorter item, counts when
     at least 80 % of its words are equal, in any spelling of case and punctuation. Items of under five words are too
-    short to tell and are ignored, as are null or empty texts, and rows without an id. Items of 5 to 11 words get
-    masks of their own length without ignored positions but the middle one. Rows that share a doc_id count as one
+    short to tell and are ignored, as are null or empty texts, and rows without an id. Rows that share a doc_id count as one
     document, and its best overlap is returned; likewise for items. Other columns are ignored.
     """
     items = stage(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashed("text").alias("item"))
         .where("item_id is not null")
-        .where(F.size("item") >= MIN_WORDS),
+        .where(F.size("item") >= TIERS[0][0]),
         "items",
     )
-    span = len(MASKS[0])
-    lengths = [r[0] for r in items.where(F.size("item") < span).select(F.size("item")).distinct().collect()]
-    short = [n for n in sorted(lengths)]
-    masks = [*MASKS, *["1" * (n // 2) + "0" + "1" * (n - n // 2 - 1) for n in short]]
+    seeds, masks = None, []
+    for low, high, of_tier in TIERS:
+        tier = items.where(F.size("item").between(low, high))
+        found = tier.select("item_id", F.explode(_seeds(F.col("item"), of_tier)).alias("s"))
+        seeds = found if seeds is None else seeds.union(found)
+        if not tier.isEmpty():
+            masks += of_tier
+    masks = masks or list(TIERS[-1][2])
     seeds = stage(
-        items.select("item_id", F.explode(_seeds(F.col("item"), masks)).alias("s")).select(
+        seeds.select(
             "item_id", F.col("s.at").alias("item_at"), F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed")
         ),
         "seeds",

@@ -5,10 +5,12 @@ carries one permutation of the ranks 0..127, so no two positions of the signatur
 and position j keeps the least ``rank + fraction`` over all elements. Ranks are handed out in rising order, so
 the work stops as soon as every position holds a value below the next rank (mostly after two or three ranks).
 
-Documents that share a band are candidates. No bucket is expanded to all its pairs: each member is first
-checked against the bucket's smallest document, the confirmed links are contracted, and then only members
-that a bucket still holds in different components are compared. Whatever shares a band is thus either
-compared exactly or already connected.
+Documents that share a band are candidates. No bucket is expanded to all its pairs. Shingles that no other
+candidate has bound a document's intersection with any other; documents whose own shingles are too many are
+settled by that alone. Of the rest, each member of a bucket is checked against the bucket's centre, the document
+with the smallest part of own shingles; the confirmed links are contracted, and then only members that a bucket
+still holds in different components, and whose bounds admit a link, are compared. Whatever shares a band is thus
+compared exactly, already connected, or proved to be apart.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ GROUP_BYTES = 8 << 20
 _FRACTION = np.uint64(32)
 _INVERSES = np.array([pow(2 * a + 1, -1, POSITIONS) for a in range(POSITIONS // 2)], dtype=np.uint64)
 _RANK_STEP = np.uint64(0xA24BAED4963EE407)
+_RANK_STEPS = np.arange(POSITIONS, dtype=np.uint64) * _RANK_STEP
 _MASK = np.uint64(POSITIONS - 1)
 
 
-def _fractions(elements: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    return mix(elements + ranks * _RANK_STEP) >> _FRACTION
+def _fractions(elements: np.ndarray, ranks: np.ndarray | int) -> np.ndarray:
+    return mix(elements + _RANK_STEPS[ranks]) >> _FRACTION
 
 
 def signature(elements: np.ndarray) -> np.ndarray:
@@ -49,14 +52,14 @@ def signature(elements: np.ndarray) -> np.ndarray:
     if len(elements) < DENSE_BELOW:
         places = np.arange(POSITIONS, dtype=np.uint64)[None, :]
         ranks = ((places - shift[:, None]) * _INVERSES[odd.astype(np.int64)][:, None]) & _MASK
-        values = (ranks << _FRACTION) | _fractions(elements[:, None], ranks)
+        values = (ranks << _FRACTION) | _fractions(elements[:, None], ranks.astype(np.intp))
         return values.min(axis=0)
     step = np.uint64(2) * odd + np.uint64(1)
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for level in range(POSITIONS):
         rank = np.uint64(level)
         place = (step * rank + shift) & _MASK
-        np.minimum.at(least, place.astype(np.intp), (rank << _FRACTION) | _fractions(elements, rank))
+        np.minimum.at(least, place.astype(np.intp), (rank << _FRACTION) | _fractions(elements, level))
         if int(least.max()) >> 32 <= level:
             break
     return least
@@ -116,7 +119,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, _SKETCH_DDL)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have ``100 * intersection >= percent * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +139,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 [batch.column(0), batch.column(1)], names=["a", "b"]
             ).filter(pa.array(keep))
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
     joined = (
         pairs.select("a", "b")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
     return in_arrow(joined, run, "a long, b long")
 
 
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(id, own): how many shingles of each of ``texts`` (id, text) no other id has; ids with none are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for first, after in row_groups(offsets, GROUP_BYTES):
+                sets, ends = shingle_sets(data, offsets[first : after + 1], words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[first:after], np.diff(ends))), pa.array(sets.view(np.int64))],
+                    names=["id", "shingle"],
+                )
+
+    holders = in_arrow(texts.select("id", "text"), run, "id long, shingle long").groupBy("shingle")
+    single = holders.agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Documents (doc_id, text, ...) to (doc_id, n_shingles, component_id, kept).
 
@@ -171,17 +192,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = reps.select(
         F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("band")
     )
-    centres = members.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = stage(
-        members.join(centres.select("band", "centre"), "band").dropDuplicates(["band", "id"]), "members"
+    shared = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    members = stage(members.join(shared.select("band"), "band").distinct(), "members")
+    texts = docs.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id")
+    texts = stage(texts, "texts")
+    # An id with several texts has the shingles of all of them; its bound would be wrong for each.
+    own = own_shingles(texts, words).join(
+        several.where("low < high").select(F.col("doc_id").alias("id")), "id", "left_anti"
+    )
+    owned = members.join(own, "id", "left").withColumn(
+        "held", F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    )
+    able = stage(
+        owned.where(F.col("held") * 100 >= F.col("n_shingles") * percent).select(
+            "band", "id", "n_shingles", "held"
+        ),
+        "able",
+    )
+    centres = able.groupBy("band").agg(
+        F.min_by("id", F.struct((-F.col("held") / F.col("n_shingles")).alias("part"), "id")).alias("centre")
+    )
+    spokes = (
+        able.join(centres, "band")
+        .where("id <> centre")
+        .select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+        .distinct()
     )
-    size_fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    spokes = members.where("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = stage(confirmed(spokes, docs, words, percent), "links")
+    spokes = stage(spokes, "spokes")
+    links = stage(confirmed(spokes, texts, words, percent), "links")
     found = components(links)
-    placed = members.join(
+    placed = able.join(
         found.select(F.col("vertex").alias("id"), "component"), "id", "left"
-    ).select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    ).withColumn("component", F.coalesce("component", "id"))
     split = (
         placed.groupBy("band")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -190,18 +232,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     placed = stage(placed.join(split, "band"), "placed")
     left, right = (
-        placed.select("band", *[F.col(c).alias(f"{c[0]}_{s}") for c in ("id", "n_shingles", "component")])
+        placed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n_shingles", "held", "component")])
         for s in "ab"
     )
+    at_most = "least(held_a, held_b)"
     apart = (
         left.join(right, "band")
-        .where("c_a <> c_b and i_a < i_b")
-        .where(size_fits)
-        .select(F.col("i_a").alias("a"), F.col("i_b").alias("b"))
+        .where("component_a <> component_b and id_a < id_b")
+        .where(f"100 * {at_most} >= {percent} * (n_shingles_a + n_shingles_b - {at_most})")
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
         .join(spokes, ["a", "b"], "left_anti")
     )
-    more = confirmed(apart, docs, words, percent)
+    more = confirmed(apart, texts, words, percent)
     found = components(links.union(more).union(bridges))
     placed_ids = of_set.join(
         found.select(F.col("vertex").alias("rep"), "component"), "rep", "left"

@@ -21,7 +21,7 @@ BLOCK_TOKENS = 1 << 17
 POINTS = 63
 PASSES = 6
 
-TOKENS = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _scored(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -101,6 +101,10 @@ def source_plan(
     )
 
 
+def _ticket(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
 def mixed(
     docs: DataFrame,
     target_entropy: float = TARGET_ENTROPY,
@@ -120,8 +124,8 @@ def mixed(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
-            F.coalesce(TOKENS, F.lit(0)).cast("long").alias("tokens"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("ticket"),
+            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
+            _ticket(seed).alias("ticket"),
         ),
         "tokens",
     )
@@ -168,3 +172,15 @@ def mixed(
     )
     columns = ["doc_id", "source", "tokens", "weight", "epoch", "block", "ticket"]
     return whole.select(*columns).union(final.select(*columns)).withColumn("turn", turn_of("epoch"))
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mixture of :func:`mixed` holds it."""
+    seed = settings.get("seed", 17)
+    drawn = stage(mixed(docs, **settings).groupBy("ticket").agg(F.count("*").alias("times")), "drawn")
+    rows = docs.select(F.struct("*").alias("row"), _ticket(seed).alias("ticket")).join(drawn, "ticket")
+    alike = Window.partitionBy("ticket")
+    at = F.row_number().over(alike.orderBy("ticket")) - 1
+    rows = rows.withColumn("at", at).withColumn("n", F.count("*").over(alike))
+    times = F.expr("times div n + cast(at < times % n as int)").cast("int")
+    return rows.withColumn("turn", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select("row.*")
