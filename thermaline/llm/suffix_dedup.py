@@ -4,13 +4,14 @@ Only suffixes at anchors are sorted. Among the 24-byte strings of a window of ``
 the leftmost one of least hash, so equal windows have equal anchors at equal distance, and consecutive windows
 share theirs: a stretch of text splits into segments, each with one anchor and all windows it stands for.
 
-1. Segments are compared whole by 128-bit digests, an aggregate that is combined before it is shuffled. In every
-   document but the first that holds a segment, the whole of it is repeated.
+1. Anchors that occur once are dropped, by an aggregate that is combined before it is shuffled. Of the rest, segments
+   are compared whole by 128-bit digests: in every document but the first that holds a segment, all of it is repeated.
 2. Anchors that occur in different segments (the ends of repeats) are left open. Their suffixes, with the bytes
    to their left, are range-partitioned by their leading bytes with sampled splitters. Each bucket sorts its
    suffixes by multikey quicksort, eight bytes a step, and common prefix lengths tell which windows are equal.
-3. A bucket's first and last anchor may go on in its neighbours. For these, the first window of each class is
-   compared across the boundaries.
+3. Windows that a bucket's neighbours may hold too, those that begin like its first or last suffix, are compared
+   across the boundaries: the first window of each class, and only where another bucket has the same bytes around
+   the anchor.
 
 A splitter may fall inside one anchor's suffixes, so a hot anchor is spread over as many buckets as its size
 asks for.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ LENGTH = 100
 ANCHOR = 24
 BLOCK_BYTES = 1 << 20
 BUCKET_ROWS = 60_000
+CELL = 8
+NO_ID = -(2**63)
 
 _PLACE = np.uint64((1 << 24) - 1)
 _OTHER = np.uint64(0xFF51AFD7ED558CCD)
@@ -120,23 +124,43 @@ def _repeats(row: np.ndarray, segment: np.ndarray) -> np.ndarray:
     return out
 
 
+def anchor_kinds(docs: DataFrame, length: int) -> DataFrame:
+    """(anchor, is_open): the anchors that occur more than once, and whether in different segments.
+
+    An Arrow batch is combined to a row per anchor before it leaves its task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = segments(*utf8(batch.column(0)), length)
+            order = np.lexsort((found["segment"], found["anchor"]))
+            anchor, segment = found["anchor"][order], found["segment"][order]
+            first = np.ones(len(anchor), dtype=bool)
+            first[1:] = anchor[1:] != anchor[:-1]
+            begin = np.flatnonzero(first)
+            end = np.append(begin[1:], len(anchor))[: len(begin)] - 1
+            columns = (anchor[begin], segment[begin], segment[end], end - begin + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "low", "high", "n"])
+
+    parts = in_arrow(docs.select("text"), run, "anchor long, low long, high long, n long")
+    return (
+        parts.groupBy("anchor")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        .where("n > 1")
+        .select("anchor", (F.col("low") < F.col("high")).alias("is_open"))
+    )
+
+
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, segment, id): the distinct segments of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            found = segments(*utf8(batch.column(1)), length)
             ids = batch.column(0).to_numpy()
-            found = segments(data, offsets, length)
             fresh = ~_repeats(found["row"], found["segment"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found["anchor"][fresh]),
-                    pa.array(found["segment"][fresh]),
-                    pa.array(ids[found["row"][fresh]]),
-                ],
-                names=["anchor", "segment", "id"],
-            )
+            columns = (found["anchor"][fresh], found["segment"][fresh], ids[found["row"][fresh]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "id"])
 
     return in_arrow(docs.select("id", "text"), run, "anchor long, segment long, id long")
 
@@ -182,17 +206,46 @@ def _common(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+_LONGS = pa.list_(pa.int64())
 _FOUND = pa.schema(
     [
         ("id", pa.int64()),
         ("digest", pa.int64()),
         ("start", pa.int64()),
         ("stop", pa.int64()),
-        ("window_a", pa.int64()),
-        ("window_b", pa.int64()),
+        ("cell_a", pa.int64()),
+        ("cell_b", pa.int64()),
+        ("starts", _LONGS),
+        ("window_a", _LONGS),
+        ("window_b", _LONGS),
     ]
 )
-_FOUND_DDL = "id long, digest long, start long, stop long, window_a long, window_b long"
+_FOUND_DDL = (
+    "id long, digest long, start long, stop long, cell_a long, cell_b long, "
+    "starts array<long>, window_a array<long>, window_b array<long>"
+)
+
+
+class _Lines:
+    """Digests of the bytes around the anchors of some rows of a bucket."""
+
+    def __init__(self, members: np.ndarray, left: np.ndarray, right: np.ndarray):
+        lines = np.concatenate([left[members, ::-1], right[members]], axis=1).astype(np.uint64) + np.uint64(1)
+        self.width, self.place = left.shape[1], np.zeros(len(left), dtype=np.int64)
+        self.place[members] = np.arange(len(members))
+        power, self.inverse = powers(lines.shape[1])
+        self.sums = []
+        for values in (lines, mix(lines ^ _OTHER)):
+            total = np.zeros((len(members), lines.shape[1] + 1), dtype=np.uint64)
+            np.cumsum(values * power[None, :], axis=1, out=total[:, 1:])
+            self.sums.append(total)
+
+    def digests(self, rows: np.ndarray, before: int, after: int, salt: int = 0) -> list[np.ndarray]:
+        """Two digests of the bytes from ``before`` the anchor to ``after`` it."""
+        at, begin = self.place[rows], self.width - before
+        scale = self.inverse[begin]
+        extra = np.uint64(salt)
+        return [mix((s[at, self.width + after] - s[at, begin]) * scale + extra).view(np.int64) for s in self.sums]
 
 
 def _padded(column: pa.Array, width: int, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +263,10 @@ def _padded(column: pa.Array, width: int, reverse: bool) -> tuple[np.ndarray, np
 def resolve_bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """The repeated windows of one bucket of open suffixes.
 
-    Yields runs of windows that repeat an earlier one of this bucket (window digests null) and, for the
-    bucket's first and last anchor, the first window of each class with its digests.
+    Yields runs of windows that repeat an earlier one of this bucket (cell null) and, for windows that begin like the
+    bucket's first or last suffix, the first of each class. The latter come in cells of ``CELL`` neighbouring windows
+    of one row. A cell's digest covers the bytes that all its windows share, so windows can only be equal where the
+    digests of their cells are.
     """
     width = length - ANCHOR
     columns = {name: table.column(name).to_numpy() for name in ("id", "digest", "at")}
@@ -230,52 +285,32 @@ def resolve_bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     shared[order] = common >= ANCHOR
     shared[order[:-1]] |= common[1:] >= ANCHOR
     shared |= edge
-    sums = []
-    members = np.flatnonzero(edge)
-    if len(members):
-        lines = np.concatenate([left[members, ::-1], right[members]], axis=1).astype(np.uint64) + np.uint64(1)
-        power, inverse = powers(lines.shape[1])
-        for values in (lines, mix(lines ^ _OTHER)):
-            total = np.zeros((len(members), lines.shape[1] + 1), dtype=np.uint64)
-            np.cumsum(values * power[None, :], axis=1, out=total[:, 1:])
-            sums.append(total)
-        line_of = np.zeros(n, dtype=np.int64)
-        line_of[members] = np.arange(len(members))
+    lines = _Lines(np.flatnonzero(edge), left, right)
     group, left_group = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     repeated: list[tuple[np.ndarray, np.ndarray]] = []
+    cell: list[tuple[np.ndarray, ...]] = []
     for back in range(width + 1):
         rows = np.flatnonzero(shared & (right_sizes >= length - back) & (left_sizes >= back))
-        if not len(rows):
-            continue
-        group[order] = np.cumsum(common < length - back)
-        left_group[left_order] = np.cumsum(left_common < back) if back else 0
-        key = group[rows] * (n + 1) + left_group[rows]
-        sort = np.argsort(key, kind="stable")
-        rows, key = rows[sort], key[sort]
-        first = np.ones(len(rows), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        head = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-        before = np.empty(len(rows), dtype=np.int64)
-        before[0] = rows[0]
-        before[1:] = rows[:-1]
-        later = ~first & (
-            (ids[rows] > ids[head]) | ((ids[before] == ids[rows]) & (digests[before] == digests[rows]))
-        )
-        repeated.append((rows[later], at[rows[later]] - back))
-        reps = rows[first & edge[rows]]
-        if len(reps):
-            pair = [
-                mix((s[line_of[reps], width - back + length] - s[line_of[reps], width - back]) * inverse[width - back])
-                for s in sums
-            ]
-            start = at[reps] - back
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(x)
-                    for x in (ids[reps], digests[reps], start, start, pair[0].view(np.int64), pair[1].view(np.int64))
-                ],
-                schema=_FOUND,
+        if len(rows):
+            group[order] = np.cumsum(common < length - back)
+            left_group[left_order] = np.cumsum(left_common < back) if back else 0
+            key = group[rows] * (n + 1) + left_group[rows]
+            sort = np.argsort(key, kind="stable")
+            rows, key = rows[sort], key[sort]
+            first = np.ones(len(rows), dtype=bool)
+            first[1:] = key[1:] != key[:-1]
+            head = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+            before = np.append(rows[:1], rows[:-1])
+            later = ~first & (
+                (ids[rows] > ids[head]) | ((ids[before] == ids[rows]) & (digests[before] == digests[rows]))
             )
+            repeated.append((rows[later], at[rows[later]] - back))
+            at_end = (group[rows] == group[order[0]]) | (group[rows] == group[order[-1]])
+            reps = rows[first & at_end]
+            cell.append((reps, at[reps] - back, *lines.digests(reps, back, length - back)))
+        if cell and (back % CELL == CELL - 1 or back == width):
+            yield from _cell_rows(cell, lines, back - back % CELL, back, length, ids, digests, at)
+            cell = []
     if not repeated:
         return
     rows, starts = (np.concatenate(x) for x in zip(*repeated))
@@ -291,13 +326,28 @@ def resolve_bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     )
     begin = np.flatnonzero(new)
     stop = np.append(begin[1:], len(rows)) - 1
-    none = pa.nulls(len(begin), pa.int64())
+    none, lists = pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), _LONGS)
+    known = (ids[rows[begin]], digests[rows[begin]], starts[begin], starts[stop])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[rows[begin]]), pa.array(digests[rows[begin]]), pa.array(starts[begin]), pa.array(starts[stop]), none, none],
-        schema=_FOUND,
+        [*[pa.array(x) for x in known], none, none, lists, lists, lists], schema=_FOUND
     )
 
 
+def _cell_rows(cell, lines, low: int, high: int, length: int, ids, digests, at) -> Iterator[pa.RecordBatch]:
+    rows, *values = (np.concatenate(x) for x in zip(*cell))
+    if not len(rows):
+        return
+    order = np.argsort(rows, kind="stable")
+    rows, values = rows[order], [v[order] for v in values]
+    begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    offsets = pa.array(np.append(begin, len(rows)), pa.int32())
+    own = rows[begin]
+    key = lines.digests(own, low, length - high, salt=low + 1)
+    known = (ids[own], digests[own], at[own], at[own], *key)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in known], *lists], schema=_FOUND)
+
+
 _OPEN_DDL = "id long, digest long, at long, suffix binary, before binary"
 
 
@@ -390,7 +440,7 @@ def _removal(base: DataFrame, length: int, texts: bool) -> DataFrame:
                 if texts:
                     kept.append(rest.decode("utf-8", errors="ignore"))
             columns = [
-                batch.column(5),
+                pc.if_else(pc.equal(batch.column(0), NO_ID), pa.scalar(None, pa.int64()), batch.column(0)),
                 pa.array(np.diff(offsets)),
                 pa.array(removed, pa.int64()),
                 pa.array(runs, pa.int64()),
@@ -403,7 +453,7 @@ def _removal(base: DataFrame, length: int, texts: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = _REMOVED_DDL + (", kept_text string" if texts else "")
-    return in_arrow(base.select("id", "text", "digest", "whole", "spans", "doc_id"), run, ddl)
+    return in_arrow(base.select("id", "text", "digest", "whole", "spans"), run, ddl)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
@@ -417,37 +467,56 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     if not ANCHOR < length <= 1024:
         raise ValueError(f"length must be over {ANCHOR} and at most 1024")
     docs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
         F.xxhash64("text").alias("digest"),
     )
-    seen = occurrences(docs, length)
-    firsts = seen.groupBy("anchor", "segment").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    kinds = firsts.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    kinds = anchor_kinds(docs, length)
+    again = stage(occurrences(docs, length).join(kinds, "anchor"), "again")
+    firsts = again.groupBy("anchor", "segment").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.max("is_open").alias("is_open")
+    )
     later = (
-        seen.join(firsts.where("last > first").select("anchor", "segment", "first"), ["anchor", "segment"])
+        again.join(firsts.where("last > first").select("anchor", "segment", "first"), ["anchor", "segment"])
         .where("id > first")
         .select("id", "segment", F.lit(False).alias("is_open"))
     )
-    opened = (
-        firsts.join(kinds.where("low < high").select("anchor"), "anchor")
-        .select(F.col("first").alias("id"), "segment", F.lit(True).alias("is_open"))
-    )
+    opened = firsts.where("is_open").select(F.col("first").alias("id"), "segment", "is_open")
     marks = stage(later.union(opened), "marks")
     buckets = marks.where("is_open").count() // BUCKET_ROWS + 1
     by_doc = marks.groupBy("id").agg(
         F.collect_list(F.when(~F.col("is_open"), F.col("segment"))).alias("whole"),
         F.collect_list(F.when(F.col("is_open"), F.col("segment"))).alias("open"),
     )
-    base = docs.join(by_doc, "id", "left")
-    suffixes = open_suffixes(base, length)
+    base = docs.select("id", "text", "digest").join(by_doc, "id", "left")
+    suffixes = open_suffixes(base.where("size(open) > 0"), length)
     found = _resolved(
         suffixes.repartitionByRange(buckets, "suffix", F.reverse(F.hex("before"))), length
     )
+    inside = F.when(F.col("cell_a").isNull(), F.col("id"))
+    cells = Window.partitionBy("cell_a", "cell_b", inside)
+    windows = (
+        found.withColumn("n", F.count("*").over(cells))
+        .where("cell_a is null or n > 1")
+        .select(
+            "id",
+            "digest",
+            "start",
+            "stop",
+            F.explode_outer(F.arrays_zip(F.col("starts"), F.col("window_a"), F.col("window_b"))).alias("w"),
+        )
+        .select(
+            "id",
+            "digest",
+            F.coalesce("w.starts", "start").alias("start"),
+            F.coalesce("w.starts", "stop").alias("stop"),
+            "w.window_a",
+            "w.window_b",
+        )
+    )
     classes = Window.partitionBy("window_a", "window_b", F.when(F.col("window_a").isNull(), F.col("id")))
     spans = (
-        found.withColumn("head", F.min(F.struct("id", "digest", "start")).over(classes))
+        windows.withColumn("head", F.min(F.struct("id", "digest", "start")).over(classes))
         .where(
             "window_a is null or id > head.id or (id = head.id and digest = head.digest and start > head.start)"
         )
