@@ -8,8 +8,9 @@ the work stops as soon as every position holds a value below the next rank (most
 Documents that share a band are candidates. No bucket is expanded to all its pairs. Shingles that no other
 candidate has bound a document's intersection with any other; documents whose own shingles are too many are
 settled by that alone. Of the rest, each member of a bucket is checked against the bucket's centre, the document
-with the smallest part of own shingles; the confirmed links are contracted, and then only members that a bucket
-still holds in different components, and whose bounds admit a link, are compared. Whatever shares a band is thus
+with the smallest part of own shingles; the confirmed links are contracted. Then only members that a bucket still
+holds in different components are compared, and of these only pairs whose bound admits a link: what both share
+with the centre, and at most what each has beyond it. Whatever shares a band is thus
 compared exactly, already connected, or proved to be apart.
 """
 
@@ -119,25 +120,40 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, _SKETCH_DDL)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have ``100 * intersection >= percent * union``."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Adds to pairs (a, b) what their whole sets of shingles say.
+
+    ``linked``: ``100 * intersection >= percent * union``; ``held_bits``: which of a's shingles, in order, b holds;
+    ``beyond``: how many shingles of b are not a's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [utf8(batch.column(i)) for i in (2, 3)]
             both = sides[0][1] + sides[1][1]
-            keep = np.zeros(len(batch), dtype=bool)
             for first, after in row_groups(both, GROUP_BYTES):
                 (x, xs), (y, ys) = (
                     shingle_sets(data, offsets[first : after + 1], words) for data, offsets in sides
                 )
+                linked, beyond, held = [], [], []
                 for i in range(after - first):
                     u, v = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
-                    common = len(np.intersect1d(u, v, assume_unique=True))
-                    keep[first + i] = 100 * common >= percent * (len(u) + len(v) - common)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]
-            ).filter(pa.array(keep))
+                    mask = np.isin(u, v, assume_unique=True)
+                    common = int(mask.sum())
+                    linked.append(100 * common >= percent * (len(u) + len(v) - common))
+                    beyond.append(len(v) - common)
+                    packed = np.zeros(-(-len(u) // 64) * 8, dtype=np.uint8)
+                    packed[: -(-len(u) // 8)] = np.packbits(mask)
+                    held.append(packed.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(i).slice(first, after - first) for i in (0, 1)],
+                        pa.array(linked, pa.bool_()),
+                        pa.array(held, pa.list_(pa.int64())),
+                        pa.array(beyond, pa.int64()),
+                    ],
+                    names=["a", "b", "linked", "held_bits", "beyond"],
+                )
 
     joined = (
         pairs.select("a", "b")
@@ -145,7 +161,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return in_arrow(joined, run, "a long, b long")
+    return in_arrow(joined, run, "a long, b long, linked boolean, held_bits array<long>, beyond long")
 
 
 def own_shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -212,14 +228,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     centres = able.groupBy("band").agg(
         F.min_by("id", F.struct((-F.col("held") / F.col("n_shingles")).alias("part"), "id")).alias("centre")
     )
-    spokes = (
-        able.join(centres, "band")
-        .where("id <> centre")
-        .select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
-        .distinct()
+    able = able.join(centres, "band")
+    spokes = stage(
+        compared(
+            able.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(),
+            texts,
+            words,
+            percent,
+        ),
+        "spokes",
     )
-    spokes = stage(spokes, "spokes")
-    links = stage(confirmed(spokes, texts, words, percent), "links")
+    links = spokes.where("linked").select("a", "b").distinct()
     found = components(links)
     placed = able.join(
         found.select(F.col("vertex").alias("id"), "component"), "id", "left"
@@ -230,21 +249,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .where("low < high")
         .select("band")
     )
-    placed = stage(placed.join(split, "band"), "placed")
+    about = spokes.select(F.col("a").alias("centre"), F.col("b").alias("id"), "held_bits", "beyond")
+    placed = stage(
+        placed.join(split, "band").join(about, ["centre", "id"]).select(
+            "band",
+            "id",
+            "component",
+            "n_shingles",
+            "held_bits",
+            # An own shingle isn't the centre's, nor any other's.
+            (F.col("beyond") - (F.col("n_shingles") - F.col("held"))).alias("rest"),
+        ),
+        "placed",
+    )
     left, right = (
-        placed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n_shingles", "held", "component")])
-        for s in "ab"
+        placed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "band"]) for s in "ab"
+    )
+    both = F.aggregate(
+        F.zip_with("held_bits_a", "held_bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))),
+        F.lit(0),
+        lambda total, n: total + n,
     )
-    at_most = "least(held_a, held_b)"
+    at_most = both + F.least("rest_a", "rest_b")
     apart = (
         left.join(right, "band")
         .where("component_a <> component_b and id_a < id_b")
-        .where(f"100 * {at_most} >= {percent} * (n_shingles_a + n_shingles_b - {at_most})")
+        .where(at_most * 100 >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - at_most))
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
-        .join(spokes, ["a", "b"], "left_anti")
     )
-    more = confirmed(apart, texts, words, percent)
+    more = compared(apart, texts, words, percent).where("linked").select("a", "b")
     found = components(links.union(more).union(bridges))
     placed_ids = of_set.join(
         found.select(F.col("vertex").alias("rep"), "component"), "rep", "left"
