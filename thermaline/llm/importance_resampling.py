@@ -21,7 +21,7 @@ from thermaline.llm.tasks import in_arrow
 from thermaline.staging import stage
 
 BUCKETS = 1 << 16
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: The mean log ratio of n grams counts ``LENGTH_WEIGHT * sqrt(n)`` times, as neighbouring grams aren't independent
 #: draws; so length alone doesn't decide.
 LENGTH_WEIGHT = 4.0

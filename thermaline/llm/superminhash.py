@@ -32,7 +32,7 @@ POSITIONS = 128
 BAND_ROWS = 4
 BANDS = POSITIONS // BAND_ROWS
 DENSE_BELOW = 96
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 _FRACTION = np.uint64(32)
 _INVERSES = np.array([pow(2 * a + 1, -1, POSITIONS) for a in range(POSITIONS // 2)], dtype=np.uint64)
