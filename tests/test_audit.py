@@ -32,9 +32,9 @@ def test_missing_reports(spark):
     )
     assert by_column == [
         ("internal_temp", 2, 3, "listed"), ("room_temp", 0, 3, "listed"),
-        ("surface_temp", 1, 3, "listed"),
+        ("surface_temp", 1, 3, "listed"), ("wall_type", 0, 3, "listed"),
     ]
-    assert rows(audit.rows_with_missing(r), "file_order", "n_missing") == [(0, 1), (1, 2)]
+    assert rows(audit.rows_with_missing(r), "file_order", "n_missing") == [(0, 1), (1, 2), (3, 1)]
 
 
 def test_files_with_many_gaps_list_no_rows(spark):
@@ -72,9 +72,12 @@ def test_sensor_sets(spark):
     r = frame(spark)
     got = {(x["period"], x["box_id"]): x for x in audit.sensor_availability(r).collect()}
     assert got["Period1", 1]["found"] == "1,9" and got["Period1", 1]["n_missing"] == 14
-    assert got["Period1", 2]["found"] == "4"
-    missing = rows(audit.missing_sensors(r).where("box_id = 2"), "sensor_id")
+    assert got["Period1", 2]["found"] == "4,17" and got["Period1", 2]["n_found"] == 2
+    assert got["Period1", 2]["n_missing"] == 15
+    missing = rows(audit.missing_sensors(r).where("box_id = 2 and period = 'Period1'"), "sensor_id")
     assert [s for (s,) in missing] == [s for s in range(1, 17) if s != 4]
+    absent = audit.missing_sensors(r.where("box_id = 1")).where("box_id = 2 or period = 'Period2'")
+    assert absent.count() == 3 * 16
     walls = rows(audit.coverage(r), "box_id", "wall_id", "n_sensors", "out_sensors", "in_sensors")
     assert walls == [(1, 1, 2, "1", "9"), (2, 2, 1, "4", "")]
 
@@ -102,8 +105,8 @@ def test_range_reports(spark):
     times = rows(audit.missing_times(r), "measure", "missing_at")
     assert times == [
         ("internal_temp", "2025-10-23 00:00:00, 2025-10-24 00:00:00"),
-        ("surface_temp", "2025-10-24 00:00:00"),
-    ]
+        ("surface_temp", "2025-10-24 00:00:00"), ("wall_type", "2025-10-23 00:00:00"),
+    ]
 
 
 def test_invalid_times_are_listed_below_ten_only(spark):
@@ -123,10 +126,11 @@ def test_bounded_lists_are_limited_before_the_shuffle(spark):
 def test_rollups(spark):
     r = frame(spark)
     got = rows(
-        audit.valid_rollup(r).where("box_id = 2"), "wall_id", "n_files", "rows", "valid_rows",
+        audit.valid_rollup(r).where("box_id = 2 and period = 'Period1'"), "wall_id", "n_files", "rows", "valid_rows",
         "n_expected",
     )
-    assert got == [(2, 1, 1, 0, 4), (None, 2, 2, 1, 16)]
+    assert got == [(1, 0, 0, 0, 4), (2, 1, 1, 0, 4), (3, 0, 0, 0, 4), (4, 0, 0, 0, 4), (None, 2, 2, 1, 16)]
+    assert audit.valid_rollup(r).where("period = 'Period2' and n_files = 0").count() == 10
     report = audit.audit_report(r)
     assert rows(report.where("level = 'period'"), "n_files", "rows", "missing_internal_temp") == [
         (4, 6, 2)
@@ -153,3 +157,27 @@ def test_days_profile_and_first_rows(spark):
     assert profile["GW_1.9_111025.csv"]["null_count"] == 1
     assert profile["GW_2.17_111025.csv"]["has_nulls"] is False
     assert rows(audit.first_readings(r), "file_order") == [(0,), (3,), (4,), (5,)]
+
+
+def test_overview_counts_all_levels_in_one_pass(spark):
+    from thermaline.plans.flows import build_levels
+
+    levels = build_levels(frame(spark))
+    got = rows(audit.overview(levels.sensor), "level", "rows", "n_periods", "n_items")
+    assert got == [
+        ("box", levels.box.count(), 1, 2), ("sensor", levels.sensor.count(), 1, 4),
+        ("wall", levels.wall.count(), 1, 2),
+    ]
+    plan = audit.overview(levels.sensor)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
+def test_failed_files_are_in_the_profile(spark):
+    files = spark.createDataFrame(
+        [("Period1", "a", "no header", 0), ("Period1", "b", "ragged row", 0), ("Period1", "c", None, 3)],
+        "period string, file string, reason string, rows bigint",
+    )
+    profile = audit.file_profile(frame(spark), files)
+    assert rows(profile.where("status <> 'SUCCESS'"), "file", "status", "rows") == [
+        ("a", "FAILED", 0), ("b", "ERROR", 0),
+    ]

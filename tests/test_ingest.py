@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 import pytest
 from frames import rows
 
 from thermaline.operators import audit
-from thermaline.plans.flows import curate_folder, load_levels
+from thermaline.plans.flows import curate_folder, load_curated, load_levels
 from thermaline.sources import logger_files as lf
 from thermaline.sources.sinks import read_curated
+from thermaline.staging import staging_dir
 
 HEADER = "Date/Time,Value Heat Surface Sensor,Internal temp sensor,Out Air temp,Wall Type"
 PREAMBLE = [f"preamble {n}" for n in range(14)]
@@ -84,7 +86,7 @@ def minute(m):
 
 def test_statuses(loaded):
     reasons = {r["file"]: r["reason"] for r in loaded.files.collect()}
-    assert len(reasons) == 17
+    assert len(reasons) == 18
     failed = {name: reason for name, reason in reasons.items() if reason}
     assert failed == {
         "notes.csv": "unparsable name",
@@ -92,12 +94,13 @@ def test_statuses(loaded):
         "GW_1.13_111025.csv": "no valid time",
         "GW_1.14_111025.csv": "ragged row",
         "GW_1.15_111025.csv": "no header",
+        "GW_1.16_111025.csv": "no header",
     }
 
 
 def test_load_summary(loaded):
     got = rows(lf.load_summary(loaded.files), "period", "n_files", "n_loaded", "n_failed", "rows")
-    assert got == [("Period1", 16, 11, 5, 48), ("Period2", 1, 1, 0, 5)]
+    assert got == [("Period1", 17, 11, 6, 48), ("Period2", 1, 1, 0, 5)]
 
 
 def test_clean_blank_lines_and_latin1(loaded):
@@ -183,12 +186,62 @@ def test_folders_to_levels_and_to_curated_periods(spark, base, tmp_path):
     assert levels.box.count() == 3
     totals = {r["status"]: (r["n_files"], r["rows"])
               for r in curate_folder(spark, str(base), str(tmp_path)).collect()}
-    assert totals == {"Period1": (12, 54), "excluded": (5, 5)}
+    assert totals == {"Period1": (12, 54), "excluded": (6, 5)}
     assert read_curated(spark, str(tmp_path)).count() == 54
     out = spark.read.parquet(f"{tmp_path}/quarantine")
-    assert rows(out.select("file", "reason").distinct(), "file", "reason") == [
-        ("Period2_GW2.17_121125.csv", "no rows in period range")
+    assert rows(out.groupBy("file", "reason").count(), "file", "reason", "count") == [
+        ("Period1_GW_1.10_111025.csv", "no date column", 18),
+        ("Period1_GW_1.13_111025.csv", "no valid time", 18),
+        ("Period1_GW_1.14_111025.csv", "ragged row", 18),
+        ("Period1_GW_1.15_111025.csv", "no header", 3),
+        ("Period2_GW2.17_121125.csv", "no rows in period range", 20),
     ]
+    raw = out.where("file like '%1.15%'").orderBy("block", "line_id").select("raw").collect()
+    assert [bytes(r.raw) for r in raw] == [b"only", b"three", b"lines"]
+    verdicts = spark.read.parquet(f"{tmp_path}/verdicts")
+    assert verdicts.count() == 18 and verdicts.where("status = 'excluded'").count() == 6
+
+
+def test_a_second_run_leaves_nothing_of_the_first(spark, base, tmp_path):
+    target = str(tmp_path / "target")
+    curate_folder(spark, str(base), target)
+    small = tmp_path / "small"
+    small.mkdir()
+    write(small, "Period2", "GW2.1_121125.csv", clean(3, 4, 12))
+    curate_folder(spark, str(small), target)
+    again = read_curated(spark, target)
+    assert rows(again.select("period").distinct(), "period") == [("Period2",)]
+    assert spark.read.schema("file string").parquet(f"{target}/quarantine").count() == 0
+
+
+def test_nothing_staged_is_left_behind(spark, base, tmp_path):
+    folder = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    curate_folder(spark, str(base), str(tmp_path))
+    assert set(os.listdir(folder)) <= before
+
+
+def test_levels_from_curated_data(spark, tmp_path):
+    drop, target = tmp_path / "drop", str(tmp_path / "target")
+    drop.mkdir()
+    body = clean(8, 4, 12)
+    body[5] = body[5].replace("15.5", "").replace("20.0", "")
+    write(drop, "Period2", "GW2.1_121125.csv", body)
+    write(drop, "Period2", "notes.csv", clean(4, 4, 12))
+    write(drop, "Period1", "GW1.1_111025.csv", clean(4, 4, 12))
+    curate_folder(spark, str(drop), target)
+    levels = load_curated(spark, target, "1 minute")
+    assert rows(levels.sensor, "box_id", "sensor_id", "timestamp") == [
+        (2, 1, datetime(2025, 12, 4, 0, m)) for m in range(5)
+    ]
+
+
+def test_numbers_are_decimal_texts_only(spark, tmp_path):
+    texts = ["72.5F", "1d", "0x1p3", "1_0", "--1", "1e2", " 7. ", "-.5", "+3", "Infinity", "nan"]
+    body = [f"10/23/2025 0:{i:02d},{text},1,2,Exposed" for i, text in enumerate(texts)]
+    write(tmp_path, "Period1", "GW1.1_x.csv", body)
+    got = rows(lf.load_logger_files(spark, str(tmp_path)).readings, "timestamp", "surface_temp")
+    assert [v for _, v in got] == [None] * 5 + [100.0, 7.0, -0.5, 3.0, float("inf"), None]
 
 
 def test_last_matching_column_wins(spark, tmp_path):

@@ -196,3 +196,28 @@ def test_lag_of_a_shifted_series_is_the_shift(spark):
     (row,) = thermal_lag(frame, ["g"]).collect()
     assert row["lag_minutes"] == 70 and row["r"] == pytest.approx(1.0)
 
+
+
+def test_any_positive_window_smooths(spark):
+    from thermaline.functions.timebins import duration_micros
+
+    df = spark.createDataFrame(
+        [(1, datetime(2025, 1, 1, 0, m), float(m)) for m in range(0, 60, 10)] + [(1, None, 5.0)],
+        "k int, timestamp timestamp_ntz, x double",
+    )
+    got = {r.timestamp: r.x_smooth for r in series.smooth(df, ["x"], "30min", ["k"]).collect()}
+    assert len(got) == 7 and got[None] is None
+    assert got[datetime(2025, 1, 1, 0, 50)] == 40.0
+    assert duration_micros("1h30min") == 5_400_000_000 and duration_micros("2 D") == 172_800_000_000
+    for wrong in ("", "soon", "0h", "3", "3 parsecs"):
+        with pytest.raises(ValueError):
+            duration_micros(wrong)
+
+
+def test_rows_without_a_time_keep_a_regime(spark):
+    df = spark.createDataFrame(
+        [(1, None, "a"), (1, datetime(2025, 1, 1), "a"), (1, datetime(2025, 1, 2), "b")],
+        "k int, timestamp timestamp_ntz, wall_type string",
+    )
+    got = {r.timestamp: r.regime_id for r in series.with_regimes(df, ["k"]).collect()}
+    assert got == {None: 1, datetime(2025, 1, 1): 1, datetime(2025, 1, 2): 2}

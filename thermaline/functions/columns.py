@@ -22,10 +22,13 @@ def clean_wall_type(value: Column) -> Column:
     return fixed
 
 
+# Fixed value: the texts that are numbers - decimal notation and infinity; no unit, type letter or hexadecimal digits.
+NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
 def to_number(value: Column) -> Column:
     """Text to double; anything unreadable, and NaN itself, becomes NULL."""
-    number = F.trim(value).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(F.rlike(value, F.lit(NUMBER_PATTERN)), F.trim(value).try_cast("double"))
 
 
 def normalized_columns() -> dict[str, Column]:

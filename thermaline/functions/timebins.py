@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,22 @@ def whole_days(start: Column, end: Column) -> Column:
 def to_seconds_text(timestamp: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS``."""
     return F.left(timestamp.cast("string"), F.lit(19))
+
+
+# Units of a duration, unit -> microseconds.
+DURATION_UNITS = {
+    "us": 1, "ms": 1_000, "s": 1_000_000, "sec": 1_000_000, "min": 60_000_000, "t": 60_000_000,
+    "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000,
+}
+
+
+def duration_micros(text: str) -> int:
+    """Microseconds of a positive duration such as ``30min``, ``3h``, ``1.5 h`` or ``1h30min``."""
+    parts = re.findall(r"(\d+(?:\.\d+)?|)\s*([a-z]+)\s*", text.strip().lower())
+    if "".join(n + u for n, u in parts) != re.sub(r"\s", "", text.lower()) or not parts:
+        raise ValueError(f"not a duration: {text!r}")
+    unknown = [unit for _, unit in parts if unit not in DURATION_UNITS]
+    micros_ = 0 if unknown else round(sum(float(n or 1) * DURATION_UNITS[u] for n, u in parts))
+    if micros_ <= 0:
+        raise ValueError(f"not a positive duration: {text!r}")
+    return micros_

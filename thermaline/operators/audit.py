@@ -17,11 +17,14 @@ from thermaline.functions.timebins import to_seconds_text, whole_days
 from thermaline.operators.levels import with_topology
 from thermaline.operators.selection import with_range_flag
 from thermaline.schema import (
+    BOX_NAMES,
     MEASURES,
     PERIODS,
     READINGS_PER_DAY,
     SENSORS_PER_BOX,
     SENSORS_PER_WALL,
+    WALL_SENSORS,
+    small_table,
 )
 from thermaline.staging import stage
 
@@ -32,7 +35,11 @@ LOW_ROW_COUNT = 5
 TYPE_LIST_WIDTH = 28
 TYPE_LIST_CUT = 25
 
+# Reasons that make a file FAILED; other reasons make it an ERROR.
+FAILED_REASONS = ["no header", "no date column", "empty file"]
+
 FILE_KEYS = ["period", "file", "box_id", "sensor_id"]
+CHECKED = [*MEASURES, "wall_type"]
 
 
 def _bit(sensor: Column) -> Column:
@@ -49,6 +56,14 @@ def _sensors_in(mask: Column, present: bool = True) -> Column:
     )
 
 
+def _expected_boxes(df: DataFrame, walls: bool = False) -> DataFrame:
+    """The boxes (and their walls, NULL for the whole box) that each expected period should hold."""
+    below = [None, *WALL_SENSORS] if walls else [None]
+    rows = [(name, box, wall) for name, *_ in PERIODS for box in BOX_NAMES for wall in below]
+    table = small_table(df.sparkSession, rows, "period string, box_id int, wall_id int")
+    return table if walls else table.drop("wall_id")
+
+
 def _missing(column: str) -> Column:
     return F.count_if(F.col(column).isNull())
 
@@ -59,29 +74,29 @@ def file_table(readings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.min("timestamp").alias("min_time"),
         F.max("timestamp").alias("max_time"),
-        *[_missing(m).alias(f"missing_{m}") for m in MEASURES],
+        *[_missing(m).alias(f"missing_{m}") for m in CHECKED],
     )
 
 
 def missing_profile(readings: DataFrame) -> DataFrame:
-    """Missing values per file and measure, count and percent."""
+    """Missing values per file and column (measures and treatment), count and percent."""
     return file_table(readings).select(
         "period",
         "file",
         "rows",
-        *[F.col(f"missing_{m}") for m in MEASURES],
+        *[F.col(f"missing_{m}") for m in CHECKED],
         *[
             (F.col(f"missing_{m}") * 100.0 / F.col("rows")).alias(f"missing_{m}_pct")
-            for m in MEASURES
+            for m in CHECKED
         ],
     )
 
 
 def missing_by_column(readings: DataFrame) -> DataFrame:
-    """Per file and measure the missing values, the file's total and how to report it."""
-    total = sum((F.col(f"missing_{m}") for m in MEASURES), F.lit(0))
+    """Per file and column the missing values, the file's total and how to report it."""
+    total = sum((F.col(f"missing_{m}") for m in CHECKED), F.lit(0))
     named = F.array(
-        *[F.struct(F.lit(m).alias("measure"), F.col(f"missing_{m}").alias("n")) for m in MEASURES]
+        *[F.struct(F.lit(m).alias("measure"), F.col(f"missing_{m}").alias("n")) for m in CHECKED]
     )
     return (
         file_table(readings)
@@ -101,7 +116,7 @@ def rows_with_missing(readings: DataFrame, order: str = "file_order") -> DataFra
 
     Each file's rows are numbered only up to the limit (a group limit before the shuffle).
     """
-    gaps = sum((F.col(m).isNull().cast("int") for m in MEASURES), F.lit(0))
+    gaps = sum((F.col(m).isNull().cast("int") for m in CHECKED), F.lit(0))
     by_file = Window.partitionBy("period", "file")
     bounded = (
         readings.select("period", "file", order, gaps.alias("n_missing"))
@@ -155,15 +170,19 @@ def sensor_mapping(readings: DataFrame, order: str = "file_order") -> DataFrame:
 def sensor_availability(
     readings: DataFrame, group: Sequence[str] = ("period", "box_id")
 ) -> DataFrame:
-    """Sensors found and missing per group, as counts and sorted lists."""
-    masks = readings.groupBy(*group).agg(F.bit_or(_bit(F.col("sensor_id"))).alias("mask"))
-    found = _sensors_in(F.col("mask"))
+    """Sensors found (any id) and expected ones missing per group, as counts and sorted lists."""
+    sensors = readings.where(F.col("sensor_id").isNotNull()).groupBy(*group, "sensor_id").agg(
+        F.bit_or(_bit(F.col("sensor_id"))).alias("bit")
+    )
+    per_group = sensors.groupBy(*group).agg(
+        F.array_sort(F.collect_list("sensor_id")).alias("ids"), F.bit_or("bit").alias("mask")
+    )
     absent = _sensors_in(F.col("mask"), present=False)
-    return masks.select(
+    return per_group.select(
         *group,
-        F.size(found).cast("bigint").alias("n_found"),
+        F.size("ids").cast("bigint").alias("n_found"),
         F.size(absent).cast("bigint").alias("n_missing"),
-        F.concat_ws(",", found.cast("array<string>")).alias("found"),
+        F.concat_ws(",", F.col("ids").cast("array<string>")).alias("found"),
         F.concat_ws(",", absent.cast("array<string>")).alias("missing"),
     )
 
@@ -171,9 +190,12 @@ def sensor_availability(
 def missing_sensors(readings: DataFrame, group: Sequence[str] = ("period", "box_id")) -> DataFrame:
     """Expected sensors (1..16) without any row, one row per (group, sensor).
 
-    The difference is taken inside each group's bit mask: one aggregate, no grid and no join.
+    The difference is taken inside each group's bit mask, one aggregate. Per period and box, every expected box
+    counts: one without any row misses all its sensors.
     """
     masks = readings.groupBy(*group).agg(F.bit_or(_bit(F.col("sensor_id"))).alias("mask"))
+    if list(group) == ["period", "box_id"]:
+        masks = masks.join(_expected_boxes(readings), list(group), "full")
     return masks.select(
         *group, F.explode(_sensors_in(F.col("mask"), present=False)).alias("sensor_id")
     )
@@ -233,16 +255,20 @@ def sensor_summary(readings: DataFrame) -> DataFrame:
     return with_topology(table)
 
 
-def file_profile(readings: DataFrame) -> DataFrame:
-    """Status, rows, time span and NULLs of each file."""
-    nulls = sum((F.col(f"missing_{m}") for m in MEASURES), F.col("missing_wall_type"))
-    return (
+def file_profile(readings: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Status, rows, time span and NULLs of each file.
+
+    ``files`` (period, file, reason, rows), the status table of an ingest, adds the files that could not be read:
+    FAILED without a header or columns to read, ERROR for the rest.
+    """
+    nulls = sum((F.col(f"missing_{m}") for m in CHECKED), F.col("missing_timestamp"))
+    profile = (
         readings.groupBy("period", "file")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("timestamp").alias("min_time"),
             F.max("timestamp").alias("max_time"),
-            *[_missing(m).alias(f"missing_{m}") for m in [*MEASURES, "wall_type"]],
+            *[_missing(m).alias(f"missing_{m}") for m in [*CHECKED, "timestamp"]],
         )
         .select(
             "period",
@@ -255,6 +281,15 @@ def file_profile(readings: DataFrame) -> DataFrame:
             nulls.alias("null_count"),
         )
     )
+    if files is None:
+        return profile
+    failed = files.where(F.col("reason").isNotNull()).select(
+        "period",
+        "file",
+        F.when(F.col("reason").isin(*FAILED_REASONS), "FAILED").otherwise("ERROR").alias("status"),
+        F.lit(0).cast("bigint").alias("rows"),
+    )
+    return profile.unionByName(failed, allowMissingColumns=True)
 
 
 def _bounded_list(
@@ -301,7 +336,10 @@ def range_check(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS))
 
 
 def valid_rollup(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)) -> DataFrame:
-    """Files and valid rows per box and, below it, per wall (``wall_id`` NULL = whole box)."""
+    """Files and valid rows per box and, below it, per wall (``wall_id`` NULL = whole box).
+
+    Expected boxes and walls without files are there with zeros.
+    """
     flagged = with_range_flag(readings.select(*FILE_KEYS, "timestamp"), periods)
     files = with_topology(
         flagged.groupBy(*FILE_KEYS).agg(
@@ -316,14 +354,23 @@ def valid_rollup(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS))
         F.sum("rows").alias("rows"),
         F.sum("valid_rows").alias("valid_rows"),
     )
-    whole_box = F.col("whole") == 1
-    return grouped.where(whole_box | F.col("wall_id").isNotNull()).select(
+    found = grouped.where((F.col("whole") == 1) | F.col("wall_id").isNotNull()).drop("whole")
+    expected = _expected_boxes(readings, walls=True)
+    same = [
+        found[c].eqNullSafe(expected[c]) if c == "wall_id" else found[c] == expected[c]
+        for c in ("period", "box_id", "wall_id")
+    ]
+    every = found.join(expected, same, "full").select(
+        *[F.coalesce(found[c], expected[c]).alias(c) for c in ("period", "box_id", "wall_id")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_files", "rows", "valid_rows")],
+    )
+    return every.select(
         "period",
         "box_id",
         box_name(F.col("box_id")).alias("box_name"),
         "wall_id",
         "n_files",
-        F.when(whole_box, SENSORS_PER_BOX)
+        F.when(F.col("wall_id").isNull(), SENSORS_PER_BOX)
         .otherwise(SENSORS_PER_WALL)
         .cast("bigint")
         .alias("n_expected"),
@@ -361,7 +408,7 @@ def audit_report(readings: DataFrame) -> DataFrame:
         F.sum("rows").alias("rows"),
         F.min("min_time").alias("min_time"),
         F.max("max_time").alias("max_time"),
-        *[F.sum(f"missing_{m}").alias(f"missing_{m}") for m in MEASURES],
+        *[F.sum(f"missing_{m}").alias(f"missing_{m}") for m in CHECKED],
         F.bit_or(_bit(F.col("sensor_id"))).alias("mask"),
     )
     level = (
@@ -380,7 +427,7 @@ def audit_report(readings: DataFrame) -> DataFrame:
             "rows",
             "min_time",
             "max_time",
-            *[f"missing_{m}" for m in MEASURES],
+            *[f"missing_{m}" for m in CHECKED],
             F.when(F.col("level") == "box", F.concat_ws(",", absent)).alias("missing_sensors"),
         )
     )
@@ -404,7 +451,7 @@ def range_audit(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS))
     for name, start in ranges.items():
         first_day = F.when(F.col("period") == name, F.lit(start.date())).otherwise(first_day)
     flagged = with_range_flag(
-        readings.where(F.col("timestamp").isNotNull()).select(*FILE_KEYS, "timestamp", *MEASURES),
+        readings.where(F.col("timestamp").isNotNull()).select(*FILE_KEYS, "timestamp", *CHECKED),
         periods,
     )
     inside = F.coalesce(F.col("in_range"), F.lit(False))
@@ -413,7 +460,7 @@ def range_audit(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS))
         F.max("timestamp").alias("orig_end"),
         F.count(F.lit(1)).alias("orig_rows"),
         F.count_if(inside).alias("range_rows"),
-        *[F.count_if(inside & F.col(m).isNull()).alias(f"missing_{m}") for m in MEASURES],
+        *[F.count_if(inside & F.col(m).isNull()).alias(f"missing_{m}") for m in CHECKED],
     )
     return table.withColumns(
         {
@@ -427,11 +474,11 @@ def missing_times(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)
     """Times of missing values in range per file and measure, where fewer than seven."""
     flagged = with_range_flag(
         readings.where(F.col("timestamp").isNotNull()).select(
-            "period", "file", "timestamp", *MEASURES
+            "period", "file", "timestamp", *CHECKED
         ),
         periods,
     ).where("in_range")
-    absent = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) for m in MEASURES]))
+    absent = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) for m in CHECKED]))
     cells = flagged.select("period", "file", "timestamp", F.explode(absent).alias("measure"))
     return _bounded_list(
         cells, ["period", "file", "measure"], "timestamp", MAX_LISTED_MISSING, "missing_at"
@@ -450,20 +497,33 @@ def first_readings(readings: DataFrame, order: str = "file_order") -> DataFrame:
     )
 
 
-def overview(sensor: DataFrame, wall: DataFrame, box: DataFrame) -> DataFrame:
-    """Rows per level, and the distinct periods, sensors and walls in them."""
-
-    def counted(level: str, df: DataFrame, identity: list[str]) -> DataFrame:
-        per_item = df.groupBy("period", *identity).agg(F.count(F.lit(1)).alias("n"))
-        return per_item.agg(
-            F.lit(level).alias("level"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.count_distinct("period").alias("n_periods"),
-            F.count_distinct(*identity).alias("n_items"),
-        )
+def overview(sensor: DataFrame) -> DataFrame:
+    """Rows per level, and the distinct periods, sensors and walls in them.
 
-    return (
-        counted("sensor", sensor, ["box_id", "sensor_id"])
-        .unionByName(counted("wall", wall, ["box_id", "wall_id"]))
-        .unionByName(counted("box", box, ["box_id"]))
+    All from one pass over the sensor level: a wall or box has a row for each bin in which one of its sensors has one.
+    Bins are counted where the sensor level has them together, so only a row per sensor and its bins' heads move on.
+    """
+    bins = sensor.groupBy("period", "box_id", "timestamp").agg(
+        F.collect_set(F.struct("wall_id", "sensor_id")).alias("sensors")
+    )
+    walls = F.array_distinct(F.transform("sensors", lambda s: s["wall_id"]))
+    walls = F.filter(walls, lambda w: w.isNotNull())
+    items = F.concat(
+        F.transform("sensors", lambda s: _item("sensor", s["sensor_id"])),
+        F.transform(walls, lambda w: _item("wall", w)),
+        F.array(_item("box", F.lit(None).cast("int"))),
+    )
+    counted = (
+        bins.select("period", "box_id", F.inline(items))
+        .groupBy("level", "period", "box_id", "item")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return counted.groupBy("level").agg(
+        F.sum("n").alias("rows"),
+        F.count_distinct("period").alias("n_periods"),
+        F.count_distinct("box_id", F.coalesce("item", F.lit(-1))).alias("n_items"),
     )
+
+
+def _item(level: str, item: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), item.cast("int").alias("item"))

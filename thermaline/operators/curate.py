@@ -106,6 +106,24 @@ def curated_rows(judged: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)) -
     )
 
 
+def quarantined_lines(lines: DataFrame, files: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """K3: every line, as it was read, of the excluded files, also of those that could not be parsed.
+
+    ``files`` (path, period, file) names the file of a line's path. The file name gets its source period in front.
+    """
+    excluded = verdicts.where(F.col("status") == EXCLUDED).select(*_FILE, "status", "reason")
+    named = files.select("path", F.col("period").alias("source_period"), "file").join(excluded, _FILE)
+    return lines.join(stage(named, "excluded-files"), "path").select(
+        "status",
+        "source_period",
+        F.concat_ws("_", "source_period", "file").alias("file"),
+        "reason",
+        "block",
+        "line_id",
+        "raw",
+    )
+
+
 def quarantined_rows(judged: DataFrame) -> DataFrame:
     """K3: rows of excluded files, the name prefixed with its source period."""
     return judged.where(F.col("status") == EXCLUDED).withColumn(

@@ -111,7 +111,7 @@ def _block_scores(placed: DataFrame, keys: Sequence[str], max_lag: int, block: i
             products, F.lit(0.0), lambda total, product: total + F.coalesce(product, F.lit(0.0))
         )
 
-    shifts = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n").cast("int") - 1))
+    shifts = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n") - 1).cast("int"))
     return (
         blocks.select(*keys, "n", outside.alias("outside"), inside.alias("inside"))
         .select(*keys, F.posexplode(F.transform(shifts, score)).alias("shift", "part"))

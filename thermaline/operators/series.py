@@ -12,18 +12,21 @@ from thermaline.functions.columns import bin_start
 from thermaline.functions.timebins import (
     MICROS_PER_DAY,
     MICROS_PER_MINUTE,
+    duration_micros,
     floor_to,
     from_micros,
     micros,
 )
 from thermaline.operators.chunks import row_positions
-from thermaline.schema import SMOOTHING_WINDOWS
 from thermaline.staging import stage
 
 # Start and step of the regenerated clock.
 REGENERATED_START = datetime(2025, 12, 3, 11, 11, 0)
 REGENERATED_STEP_MINUTES = 10
 
+# Rows without a time stand before all others, in a chunk of their own.
+NO_TIME = "0001-01-01 00:00:00"
+
 
 def smooth(
     df: DataFrame,
@@ -34,13 +37,13 @@ def smooth(
 ) -> DataFrame:
     """Mean over ``(t - window, t]`` as ``<column>_smooth``; no window, no change.
 
-    Each series is smoothed on its own. Rows go to the time chunk they lie in, and those of the last
+    ``window`` is any positive duration (``30min``, ``3h``). A row without a time keeps NULL means. Each series is smoothed on its own. Rows go to the time chunk they lie in, and those of the last
     ``window`` of a chunk also to the next one, where they only feed the frame. Chunks are at least
     eight windows long, so at most about one row in eight is sent twice.
     """
     if window is None:
         return df
-    span = SMOOTHING_WINDOWS[window]
+    span = duration_micros(window)
     chunk = max(8 * span, MICROS_PER_DAY)
     present = [c for c in columns if c in df.columns]
     timed = df.withColumn("_t", micros(F.col(timestamp))).withColumn(
@@ -59,8 +62,10 @@ def smooth(
         Window.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(-(span - 1), 0)
     )
     return (
-        spread.withColumns({f"{c}_smooth": F.avg(c).over(frame) for c in present})
-        .where(F.col("_chunk") == F.col("_home"))
+        spread.withColumns(
+            {f"{c}_smooth": F.when(F.col("_t").isNotNull(), F.avg(c).over(frame)) for c in present}
+        )
+        .where(F.col("_chunk").eqNullSafe(F.col("_home")))
         .drop("_t", "_home", "_chunk")
     )
 
@@ -74,7 +79,9 @@ def _marked_runs(
         F.lag(category).over(inside)
     )
     return (
-        df.withColumn("_chunk", bin_start(timestamp, chunk))
+        df.withColumn("_at", F.coalesce(F.col(timestamp).cast("timestamp_ntz"), F.lit(NO_TIME).cast("timestamp_ntz")))
+        .withColumn("_chunk", bin_start("_at", chunk))
+        .drop("_at")
         .withColumn("_starts", starts.cast("int"))
         .withColumn("_run", F.sum("_starts").over(inside))
         .drop("_starts")
@@ -94,11 +101,22 @@ def treatment_runs(
     ``changed`` is false on a run that carries on the regime of the chunk before. The first row of a
     series counts as a change. Runs are staged, since two passes read them.
     """
+    marked = _marked_runs(df, keys, category, timestamp, chunk)
+    return _numbered_runs(marked, keys, category, timestamp, measures)
+
+
+def _numbered_runs(
+    marked: DataFrame,
+    keys: Sequence[str],
+    category: str,
+    timestamp: str,
+    measures: Sequence[str] = (),
+) -> DataFrame:
+    """The runs of rows that :func:`_marked_runs` has marked, numbered across chunk borders."""
     runs = stage(
-        _marked_runs(df, keys, category, timestamp, chunk)
-        .groupBy(*keys, "_chunk", "_run")
+        marked.groupBy(*keys, "_chunk", "_run")
         .agg(
-            F.min_by(category, timestamp).alias(category),
+            F.any_value(category).alias(category),
             F.min(timestamp).alias("first_time"),
             F.max(timestamp).alias("last_time"),
             F.count(F.lit(1)).alias("n"),
@@ -157,12 +175,12 @@ def with_regimes(
     chunk: str = "30 days",
 ) -> DataFrame:
     """``regime_id`` on every row, 1..k along each series."""
-    regimes = treatment_runs(df, keys, category, timestamp, chunk=chunk).select(
+    marked = stage(_marked_runs(df, keys, category, timestamp, chunk), "marked-runs")
+    regimes = _numbered_runs(marked, keys, category, timestamp).select(
         *keys, "_chunk", "_run", "regime_id"
     )
     return (
-        _marked_runs(df, keys, category, timestamp, chunk)
-        .join(regimes, [*keys, "_chunk", "_run"])
+        marked.join(regimes, [*keys, "_chunk", "_run"])
         .drop("_chunk", "_run")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thermaline.functions.timebins import floor_to, format_logger_time
 from thermaline.operators import analysis, audit, curate, levels, nearest, selection, series
-from thermaline.plans.flows import Levels, answer, build_levels
+from thermaline.plans.flows import Levels, answer, build_levels, curate_folder, load_curated
 from thermaline.schema import BOX_KEYS, BOX_SMOOTHED, MEASURES, SERIES_KEYS, WALL_SMOOTHED
 from thermaline.sources import logger_files, sinks
 from thermaline.sources.events import dirty_logger_rows, logger_slices, readings_from_events
@@ -94,11 +94,20 @@ def _repaired(readings: DataFrame) -> DataFrame:
     )
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> logger_files.LoggerFiles:
-    path = sinks.write_logger_text(
-        dirty_logger_rows(readings_from_events(spark, sf_dir)), staging_path(spark, "logger")
-    )
-    return logger_files.load_logger_files(spark, path, "*.txt", folders=True)
+def _drop(spark: SparkSession, readings: DataFrame, path: str, empty_file: bool = False) -> str:
+    """The readings as a folder of logger files below ``path``; on demand with one of zero length."""
+    sinks.write_logger_text(dirty_logger_rows(readings), path)
+    if empty_file:
+        nothing = spark.createDataFrame([], "value string").coalesce(1)
+        nothing.write.text(f"{path}/folder=Period1/file=GW_1.1_empty.csv")
+    return path
+
+
+def _ingested(
+    spark: SparkSession, sf_dir: str, mode: str = logger_files.LOAD, empty_file: bool = False
+) -> logger_files.LoggerFiles:
+    path = _drop(spark, readings_from_events(spark, sf_dir), staging_path(spark, "logger"), empty_file)
+    return logger_files.load_logger_files(spark, path, "*.txt", folders=True, mode=mode)
 
 
 def _logger_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +119,44 @@ def _logger_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logger_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logger_files.load_summary(_ingested(spark, sf_dir).files)
+    return logger_files.load_summary(_ingested(spark, sf_dir, empty_file=True).files)
+
+
+def _audit_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(logger_files.readings_only(_ingested(spark, sf_dir, logger_files.AUDIT)))
+
+
+def _audit_file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded = _ingested(spark, sf_dir, logger_files.AUDIT, empty_file=True)
+    return audit.file_profile(loaded.readings, loaded.files)
+
+
+def _curated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drop, target = staging_path(spark, "drop"), staging_path(spark, "curation")
+    _drop(spark, readings_from_events(spark, sf_dir), drop)
+    curate_folder(spark, drop, target, EVENT_PERIODS, "*.txt", folders=True)
+    box = load_curated(spark, target, WIDTH).box
+    return comparable(box.select("period", "box_id", "timestamp", "sensor_count", "internal_temp"))
+
+
+def _quarantine_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine after two runs into one target, the second over the first box only."""
+    readings, target = readings_from_events(spark, sf_dir), staging_path(spark, "curation")
+    for part in (readings, readings.where("box_id = 1")):
+        drop = _drop(spark, part, staging_path(spark, "drop"))
+        curate_folder(spark, drop, target, EVENT_PERIODS, "*.txt", folders=True)
+    held = sinks.read_quarantine(spark, target)
+    return held.groupBy("status", "source_period", "file", "reason").agg(F.count("*").alias("n_lines"))
+
+
+def _without_a_box(readings: DataFrame) -> DataFrame:
+    return readings.where("not (period = 'Period2' and box_id = 2)")
+
+
+def _twenty_sensors(readings: DataFrame) -> DataFrame:
+    """Ids up to 20, four of them beyond the expected ones."""
+    number = F.shiftright("file_order", 1) % 20 + 1
+    return readings.where("sensor_id <> 3").withColumn("sensor_id", number.cast("int"))
 
 
 def _verdicts(readings: DataFrame) -> DataFrame:
@@ -215,6 +261,7 @@ def registered() -> dict[str, Query]:
         "box_timeline": on_levels(lambda lv: analysis.box_timeline(lv.box)),
         "wall_timeline": on_levels(lambda lv: analysis.wall_timeline(lv.wall, 2, [1, 3])),
         # series
+        "smooth_30min": _smooth_box("30min"),
         "smooth_1h": _smooth_box("1h"),
         "smooth_3h": _smooth_box("3h"),
         "smooth_12h": _smooth_box("12h"),
@@ -255,6 +302,7 @@ def registered() -> dict[str, Query]:
         "exclude_sensors_box": on_levels(lambda lv: answer(lv, excluded=EXCLUDED_PAIRS).box),
         "answer_smoothed": on_levels(_smoothed_answer, "10 minutes"),
         "missing_sensors": on_readings(audit.missing_sensors),
+        "missing_sensors_absent_box": on_readings(lambda r: audit.missing_sensors(_without_a_box(r))),
         "missing_sensors_by_bin": on_levels(
             lambda lv: audit.missing_sensors(lv.sensor, BOX_KEYS), "10 minutes"
         ),
@@ -269,12 +317,16 @@ def registered() -> dict[str, Query]:
                 r.withColumn("day", F.col("timestamp").cast("date")), ["period", "box_id", "day"]
             )
         ),
+        "sensor_availability_wide": on_readings(lambda r: audit.sensor_availability(_twenty_sensors(r))),
         "coverage": on_readings(audit.coverage),
         "period_summary": on_readings(audit.period_summary),
         "sensor_summary": on_readings(audit.sensor_summary),
         "file_profile": on_readings(audit.file_profile),
         "range_check": on_readings(lambda r: audit.range_check(logger_slices(r), EVENT_PERIODS)),
         "valid_rollup": on_readings(lambda r: audit.valid_rollup(r, EVENT_PERIODS)),
+        "valid_rollup_absent_box": on_readings(
+            lambda r: audit.valid_rollup(_without_a_box(r), EVENT_PERIODS)
+        ),
         "rows_per_day": on_readings(audit.rows_per_day),
         "audit_report": on_readings(audit.audit_report),
         "readiness": on_readings(audit.readiness),
@@ -282,12 +334,16 @@ def registered() -> dict[str, Query]:
         "missing_times": on_readings(lambda r: audit.missing_times(r, EVENT_PERIODS)),
         "first_readings": on_readings(audit.first_readings),
         "overview": on_levels(
-            lambda lv: audit.overview(lv.sensor, lv.wall, lv.box), "10 minutes"
+            lambda lv: audit.overview(lv.sensor), "10 minutes"
         ),
         # ingest, curation, sinks
         "logger_ingest": _logger_ingest,
         "logger_file_status": _logger_file_status,
         "logger_load_summary": _logger_load_summary,
+        "audit_ingest": _audit_ingest,
+        "audit_file_profile": _audit_file_profile,
+        "curated_levels": _curated_levels,
+        "quarantine_reload": _quarantine_reload,
         "curation_verdicts": on_readings(_verdicts),
         "curation_totals": on_readings(lambda r: curate.curation_totals(_verdicts(r))),
         "curated_rows": on_readings(

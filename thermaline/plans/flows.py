@@ -12,15 +12,15 @@ from thermaline.operators.curate import (
     curation_totals,
     file_verdicts,
     judged_rows,
-    quarantined_rows,
+    quarantined_lines,
 )
 from thermaline.operators.levels import box_level, sensor_level, wall_level
 from thermaline.operators.selection import exclude_sensors, in_period
 from thermaline.operators.series import smooth
-from thermaline.schema import BOX_SMOOTHED, PERIODS, WALL_SMOOTHED
-from thermaline.sources.logger_files import CURATE, load_logger_files, readings_only
-from thermaline.sources.sinks import write_curated, write_quarantine
-from thermaline.staging import stage
+from thermaline.schema import BOX_SMOOTHED, PERIODS, READINGS_SCHEMA, WALL_SMOOTHED
+from thermaline.sources.logger_files import CURATE, cut_tails, load_logger_files, readings_only
+from thermaline.sources.sinks import read_curated, write_curated, write_quarantine, write_verdicts
+from thermaline.staging import staging_scope
 
 
 class Levels:
@@ -69,11 +69,13 @@ def save_sensor_level(sensor: DataFrame, table: str, buckets: int) -> DataFrame:
     """Keep the sensor level as a table for many questions.
 
     Partitioned by period (a period filter prunes folders) and bucketed by box and time, so the wall
-    and box roll-ups of every later question, with or without excluded sensors, need no exchange.
+    and box roll-ups of every later question, with or without excluded sensors, need no exchange. Rows are
+    dealt to the buckets before the write, so there is one file per bucket and period.
     """
     spark: SparkSession = sensor.sparkSession
     (
-        sensor.write.mode("overwrite")
+        sensor.repartition(buckets, "box_id", "timestamp")
+        .write.mode("overwrite")
         .partitionBy("period")
         .bucketBy(buckets, "box_id", "timestamp")
         .sortBy("box_id", "timestamp")
@@ -101,18 +103,37 @@ def load_levels(spark: SparkSession, base: str, width: str = "10 minutes") -> Le
     return build_levels(readings_only(load_logger_files(spark, base)), width)
 
 
+def load_curated(spark: SparkSession, base: str, width: str = "10 minutes") -> Levels:
+    """Curated periods (see :func:`curate_folder`) to the three levels.
+
+    As when raw files are loaded for analysis, a file's name must parse and its tail is cut; what counts is the file
+    as curation left it, clipped to its period.
+    """
+    rows = read_curated(spark, base).where("box_id is not null and sensor_id is not null")
+    kept = cut_tails(rows, ["period", "file"])
+    return build_levels(kept.select(*READINGS_SCHEMA.fieldNames()), width)
+
+
 def curate_folder(
-    spark: SparkSession, base: str, target: str, periods: Sequence[tuple] = tuple(PERIODS)
+    spark: SparkSession,
+    base: str,
+    target: str,
+    periods: Sequence[tuple] = tuple(PERIODS),
+    glob: str = "*.csv",
+    folders: bool = False,
 ) -> DataFrame:
-    """Folders of raw logger files to curated periods and quarantine below ``target``.
+    """Folders of raw logger files to curated periods, quarantine and verdicts below ``target``.
 
-    Returns the totals per outcome. Files that cannot be read count as excluded.
+    Excluded files go to the quarantine whole, line by line, whether they were read or not; every file has a row
+    among the verdicts. A new run replaces all of it. Returns the totals per outcome. What was staged on the way is
+    deleted at the end.
     """
-    loaded = load_logger_files(spark, base, mode=CURATE)
-    rows = loaded.readings.withColumnRenamed("period", "source_period")
-    failed = loaded.files.where("reason is not null").withColumnRenamed("period", "source_period")
-    verdicts = stage(file_verdicts(rows, periods, failed), "verdicts")
-    judged = judged_rows(rows, verdicts)
-    write_curated(curated_rows(judged, periods), target)
-    write_quarantine(quarantined_rows(judged), target)
-    return curation_totals(verdicts)
+    with staging_scope(spark):
+        loaded = load_logger_files(spark, base, glob, folders, CURATE)
+        rows = loaded.readings.withColumnRenamed("period", "source_period")
+        failed = loaded.files.where("reason is not null").withColumnRenamed("period", "source_period")
+        written = write_verdicts(file_verdicts(rows, periods, failed), target)
+        verdicts = spark.read.parquet(written)
+        write_curated(curated_rows(judged_rows(rows, verdicts), periods).drop("path"), target)
+        write_quarantine(quarantined_lines(loaded.lines, loaded.files, verdicts), target)
+    return curation_totals(spark.read.parquet(written))

@@ -17,7 +17,8 @@ r AS (
     CAST((sensor_id - 1) % 8 // 2 + 1 AS INTEGER) AS wall_id,
     CASE WHEN sensor_id <= 8 THEN 'out' ELSE 'in' END AS pos,
     'GW_' || box_id || '.' || sensor_id || CASE period WHEN 'Period1' THEN '_111025.csv' ELSE '_121125.csv' END AS file,
-    CASE WHEN box_id = 1 OR extract(day FROM ts) <= 8 THEN 'Exposed'
+    CASE WHEN file_order % 83 = 5 THEN NULL
+         WHEN box_id = 1 OR extract(day FROM ts) <= 8 THEN 'Exposed'
          WHEN extract(day FROM ts) <= 16 THEN 'Yarka'
          WHEN extract(day FROM ts) <= 24 THEN 'Dry soil' ELSE 'Succalents' END AS wall_type
   FROM raw_readings)"""
@@ -157,6 +158,7 @@ def smooth(source: str, keys: str, columns: list[str], window: str) -> str:
     return f"SELECT {keys}, bin AS timestamp, {shown} FROM {source}"
 
 
+BELOW_30MIN = "29 minutes 59.999999 seconds"
 BELOW_1H = "59 minutes 59.999999 seconds"
 BELOW_3H = "2 hours 59 minutes 59.999999 seconds"
 BELOW_12H = "11 hours 59 minutes 59.999999 seconds"
@@ -226,16 +228,19 @@ files AS (
   SELECT period, file, box_id, sensor_id, wall_id, pos, count(*) AS rows, min(ts) AS min_time, max(ts) AS max_time,
     count(*) FILTER (surface_temp IS NULL) AS missing_surface_temp,
     count(*) FILTER (internal_temp IS NULL) AS missing_internal_temp,
-    count(*) FILTER (room_temp IS NULL) AS missing_room_temp
+    count(*) FILTER (room_temp IS NULL) AS missing_room_temp,
+    count(*) FILTER (wall_type IS NULL) AS missing_wall_type
   FROM r GROUP BY ALL)"""
 
-MISSING = [f"missing_{m}" for m in MEASURES]
+CHECKED = [*MEASURES, "wall_type"]
+MISSING = [f"missing_{m}" for m in CHECKED]
+ALL_MISSING = " + ".join(MISSING)
 MISSING_SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MISSING)
 
 INGEST = f"""{READINGS},
 texts AS (
   SELECT *, date_trunc('minute', ts) AS minute, file_order % 101 = 50 AS no_time,
-    CASE WHEN file_order % 211 = 7 THEN NULL ELSE room_temp END AS room_read,
+    CASE WHEN file_order % 211 BETWEEN 7 AND 10 THEN NULL ELSE room_temp END AS room_read,
     box_id = 2 AND sensor_id = 16 AS unnamed, lpad(CAST(file_order // 67108864 AS VARCHAR), 8, '0') AS part
   FROM r),
 logs AS (
@@ -254,6 +259,27 @@ status AS (
     coalesce(n, 0) AS rows
   FROM cuts c LEFT JOIN (SELECT period, log, count(*) AS n FROM loaded GROUP BY ALL) USING (period, log))"""
 
+AUDITED = f"""{INGEST},
+audit_bad AS (SELECT *, (surface_temp IS NULL)::INT + (internal_temp IS NULL)::INT + (wall_type IS NULL)::INT >= 2 AS bad2 FROM logs),
+audit_cuts AS (
+  SELECT period, log, min(file_order) FILTER (bad2) AS cut2, min(file_order) AS head2 FROM audit_bad GROUP BY period, log),
+audited AS (
+  SELECT a.* REPLACE (CASE WHEN no_time THEN NULL ELSE minute END AS minute, CASE WHEN unnamed THEN NULL ELSE box_id END AS box_id,
+    CASE WHEN unnamed THEN NULL ELSE sensor_id END AS sensor_id, CASE WHEN unnamed THEN NULL ELSE wall_id END AS wall_id,
+    CASE WHEN unnamed THEN NULL ELSE pos END AS pos)
+  FROM audit_bad a JOIN audit_cuts USING (period, log) WHERE cut2 IS NULL OR cut2 = head2 OR file_order < cut2)"""
+
+CURATED_LEVELS = f"""{INGEST},
+clipped AS (
+  SELECT * FROM logs WHERE period = 'Period2' AND NOT no_time AND NOT unnamed
+    AND minute BETWEEN TIMESTAMP '2024-01-18 11:00:00' AND TIMESTAMP '2024-01-26 11:59:59'),
+clip_cuts AS (SELECT log, min(file_order) FILTER (bad) AS cut2, min(file_order) AS head2 FROM clipped GROUP BY log),
+left_over AS (
+  SELECT clipped.* FROM clipped JOIN clip_cuts USING (log) WHERE cut2 IS NULL OR cut2 = head2 OR file_order < cut2),
+sensors AS (
+  SELECT period, box_id, sensor_id, time_bucket(INTERVAL '6 hours', minute) AS bin, avg(internal_temp) AS internal_temp
+  FROM left_over GROUP BY ALL)"""
+
 VERDICTS = f"""{READINGS},{SLICES},{RANGES},
 facts AS (
   SELECT source_period, file, min(ts) AS orig_start, max(ts) AS orig_end, count(*) AS n,
@@ -280,7 +306,7 @@ def _missing_times() -> str:
     cells = " UNION ALL ".join(
         f"SELECT period, file, ts, '{m}' AS measure FROM r JOIN ranges USING (period) "
         f"WHERE ts BETWEEN lo AND hi AND {m} IS NULL"
-        for m in MEASURES
+        for m in CHECKED
     )
     return f"""WITH {READINGS},{RANGES}, cells AS ({cells})
 SELECT period, file, measure, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY ts) AS missing_at
@@ -375,6 +401,22 @@ def _sensor_list(present: bool, position: str | None = None) -> str:
     return f"array_to_string(list_filter(range(1, 17), lambda x: {test}({found}, x::INTEGER)), ',')"
 
 
+EXPECTED_BOXES = "(VALUES ('Period1', 1), ('Period1', 2), ('Period2', 1), ('Period2', 2)) AS e(period, box_id)"
+
+
+def _valid_rollup(where: str) -> str:
+    return f"""WITH {READINGS},{RANGES},
+j AS (SELECT r.*, ts BETWEEN lo AND hi AS ok FROM r JOIN ranges USING (period){where}),
+u AS (SELECT period, box_id, -1 AS wall, count(DISTINCT file) AS n_files, count(*) AS rows,
+    count(*) FILTER (ok) AS valid_rows FROM j GROUP BY period, box_id
+  UNION ALL SELECT period, box_id, wall_id, count(DISTINCT file), count(*), count(*) FILTER (ok) FROM j GROUP BY period, box_id, wall_id),
+every AS (SELECT period, box_id, CAST(wall AS INTEGER) AS wall FROM {EXPECTED_BOXES}, (VALUES (-1), (1), (2), (3), (4)) AS x(wall))
+SELECT period, box_id, CASE box_id WHEN 1 THEN 'Control' ELSE 'Experimental' END AS box_name, nullif(wall, -1) AS wall_id,
+  coalesce(n_files, 0) AS n_files, CAST(CASE WHEN wall = -1 THEN 16 ELSE 4 END AS BIGINT) AS n_expected,
+  coalesce(rows, 0) AS rows, coalesce(valid_rows, 0) AS valid_rows
+FROM every LEFT JOIN u USING (period, box_id, wall)"""
+
+
 def oracle_sql() -> dict[str, str]:
     nine_s = nine(*MEASURES)
     normalized = nine("normalized_surface", "normalized_internal")
@@ -436,6 +478,7 @@ FROM c JOIN m USING (period, box_id, bin)""",
   {nine('internal_temp AS internal', 'surface_temp AS surface')} FROM b""",
         "wall_timeline": f"""WITH {levels()} SELECT period, bin AS timestamp, wall_id, {nine('in_surface', 'out_surface')}
 FROM w WHERE box_id = 2 AND wall_id IN (1, 3)""",
+        "smooth_30min": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_30MIN)}",
         "smooth_1h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_1H)}",
         "smooth_3h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_3H)}",
         "smooth_12h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_12H)}",
@@ -475,32 +518,41 @@ sm AS ({smooth('p', 'period, box_id', BOX_SMOOTHED, BELOW_3H)})
 SELECT period, timestamp, box_id, CASE box_id WHEN 1 THEN 'Control' ELSE 'Experimental' END AS box_name,
   normalized_internal_smooth AS internal, normalized_surface_smooth AS surface FROM sm""",
         "missing_sensors": f"""WITH {READINGS}
-SELECT period, box_id, CAST(g.s AS INTEGER) AS sensor_id FROM (SELECT DISTINCT period, box_id FROM r), range(1, 17) g(s)
+SELECT period, box_id, CAST(g.s AS INTEGER) AS sensor_id FROM {EXPECTED_BOXES}, range(1, 17) g(s)
 EXCEPT SELECT period, box_id, sensor_id FROM r""",
+        "missing_sensors_absent_box": f"""WITH {READINGS}
+SELECT period, box_id, CAST(g.s AS INTEGER) AS sensor_id FROM {EXPECTED_BOXES}, range(1, 17) g(s)
+EXCEPT SELECT period, box_id, sensor_id FROM r WHERE NOT (period = 'Period2' AND box_id = 2)""",
         "missing_sensors_by_bin": f"""WITH {sensor('10 minutes')}
 SELECT period, box_id, bin AS timestamp, CAST(g.s AS INTEGER) AS sensor_id
 FROM (SELECT DISTINCT period, box_id, bin FROM s), range(1, 17) g(s)
 EXCEPT SELECT period, box_id, bin, sensor_id FROM s""",
         "missing_profile": f"WITH {READINGS},{FILES} SELECT period, file, rows, {', '.join(MISSING)}, {percent} FROM files",
         "missing_by_column": f"""WITH {READINGS},{FILES},
-t AS (SELECT *, missing_surface_temp + missing_internal_temp + missing_room_temp AS total_missing FROM files),
-u AS ({' UNION ALL '.join(f"SELECT period, file, total_missing, '{m}' AS measure, missing_{m} AS n_missing FROM t" for m in MEASURES)})
+t AS (SELECT *, {ALL_MISSING} AS total_missing FROM files),
+u AS ({' UNION ALL '.join(f"SELECT period, file, total_missing, '{m}' AS measure, missing_{m} AS n_missing FROM t" for m in CHECKED)})
 SELECT *, CASE WHEN total_missing = 0 THEN 'none' WHEN total_missing < 10 THEN 'listed' ELSE 'too many' END AS verdict FROM u""",
         "rows_with_missing": f"""WITH {READINGS},
-g AS (SELECT period, file, file_order, (surface_temp IS NULL)::INT + (internal_temp IS NULL)::INT + (room_temp IS NULL)::INT AS n_missing FROM r)
+g AS (SELECT period, file, file_order, (surface_temp IS NULL)::INT + (internal_temp IS NULL)::INT + (room_temp IS NULL)::INT + (wall_type IS NULL)::INT AS n_missing FROM r)
 SELECT period, file, file_order, n_missing FROM (SELECT *, sum(n_missing) OVER (PARTITION BY period, file) AS total FROM g)
 WHERE n_missing > 0 AND total < 10""",
         "type_distribution": f"""WITH {READINGS}, c AS (SELECT period, file, wall_type, count(*) AS n FROM r GROUP BY ALL)
 SELECT period, file, wall_type, n, {nine('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY period, file) AS pct')} FROM c""",
         "sensor_mapping": f"""WITH {READINGS},
 c AS (SELECT period, file, box_id, sensor_id, wall_id, pos, wall_type, count(*) AS n, min(file_order) AS head FROM r GROUP BY ALL),
-t AS (SELECT period, file, box_id, sensor_id, wall_id, pos, CAST(sum(n) AS BIGINT) AS rows, count(*) AS n_wall_types,
+t AS (SELECT period, file, box_id, sensor_id, wall_id, pos, CAST(sum(n) AS BIGINT) AS rows, count(wall_type) AS n_wall_types,
   string_agg(wall_type, ', ' ORDER BY head) AS txt FROM c GROUP BY ALL)
-SELECT * EXCLUDE (txt, pos), pos AS position, CASE WHEN length(txt) > 28 THEN left(txt, 25) || '...' ELSE txt END AS wall_types FROM t""",
+SELECT * EXCLUDE (txt, pos), pos AS position, CASE WHEN txt IS NULL THEN 'N/A' WHEN length(txt) > 28 THEN left(txt, 25) || '...' ELSE txt END AS wall_types FROM t""",
         "sensor_availability": f"""WITH {READINGS}
 SELECT period, box_id, CAST(ts AS DATE) AS day, count(DISTINCT sensor_id) AS n_found,
   16 - count(DISTINCT sensor_id) AS n_missing, {_sensor_list(True)} AS found, {_sensor_list(False)} AS missing
 FROM r GROUP BY period, box_id, CAST(ts AS DATE)""",
+        "sensor_availability_wide": f"""WITH {READINGS},
+v AS (SELECT period, box_id, CAST((file_order // 2) % 20 + 1 AS INTEGER) AS sensor_id FROM r WHERE sensor_id <> 3)
+SELECT period, box_id, count(DISTINCT sensor_id) AS n_found,
+  16 - count(DISTINCT sensor_id) FILTER (sensor_id <= 16) AS n_missing,
+  array_to_string(list_sort(list(DISTINCT sensor_id)), ',') AS found, {_sensor_list(False)} AS missing
+FROM v GROUP BY period, box_id""",
         "coverage": f"""WITH {READINGS} SELECT period, box_id, wall_id, count(DISTINCT sensor_id) AS n_sensors,
   CAST(4 AS BIGINT) AS n_expected, {_sensor_list(True, 'out')} AS out_sensors, {_sensor_list(True, 'in')} AS in_sensors
 FROM r GROUP BY period, box_id, wall_id""",
@@ -510,7 +562,7 @@ FROM r GROUP BY period, box_id, wall_id""",
         "sensor_summary": f"""WITH {READINGS},{FILES} SELECT period, box_id, sensor_id, wall_id, pos AS position,
   CAST(sum(rows) AS BIGINT) AS rows, {MISSING_SUMS} FROM files GROUP BY ALL""",
         "file_profile": f"""WITH {READINGS},{FILES},
-t AS (SELECT *, missing_surface_temp + missing_internal_temp + missing_room_temp AS null_count FROM files)
+t AS (SELECT *, {ALL_MISSING} AS null_count FROM files)
 SELECT period, file, 'SUCCESS' AS status, rows, min_time, max_time, null_count > 0 AS has_nulls, null_count FROM t""",
         "range_check": f"""WITH {READINGS},{SLICES},{RANGES},
 j AS (SELECT s.period, s.file, ts, ts BETWEEN lo AND hi AS ok FROM slices s JOIN ranges USING (period))
@@ -518,18 +570,17 @@ SELECT period, file, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (NOT ok
   CASE WHEN count(*) FILTER (NOT ok) < 10 THEN string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY ts) FILTER (NOT ok) END AS invalid_times,
   {nine('count(*) FILTER (ok) * 100.0::DOUBLE / count(*) AS percent_valid')}
 FROM j GROUP BY period, file""",
-        "valid_rollup": f"""WITH {READINGS},{RANGES}, j AS (SELECT r.*, ts BETWEEN lo AND hi AS ok FROM r JOIN ranges USING (period)),
-u AS (SELECT period, box_id, CAST(NULL AS INTEGER) AS wall_id, count(DISTINCT file) AS n_files, CAST(16 AS BIGINT) AS n_expected,
-  count(*) AS rows, count(*) FILTER (ok) AS valid_rows FROM j GROUP BY period, box_id
-UNION ALL SELECT period, box_id, wall_id, count(DISTINCT file), 4, count(*), count(*) FILTER (ok) FROM j GROUP BY period, box_id, wall_id)
-SELECT *, CASE box_id WHEN 1 THEN 'Control' ELSE 'Experimental' END AS box_name FROM u""",
+        "valid_rollup_absent_box": _valid_rollup(" WHERE NOT (r.period = 'Period2' AND box_id = 2)"),
+        "valid_rollup": _valid_rollup(""),
         "rows_per_day": f"""WITH {READINGS}, d AS (SELECT period, file, CAST(ts AS DATE) AS day, count(*) AS rows FROM r GROUP BY ALL)
 SELECT period, file, day, rows, rows = 144 AS as_expected, {nine('avg(rows) OVER (PARTITION BY period, file) AS avg_per_day')} FROM d""",
         "audit_report": f"""WITH {READINGS},
-x AS (SELECT *, (surface_temp IS NULL)::INT AS a, (internal_temp IS NULL)::INT AS c, (room_temp IS NULL)::INT AS d FROM r)
+x AS (SELECT *, (surface_temp IS NULL)::INT AS a, (internal_temp IS NULL)::INT AS c, (room_temp IS NULL)::INT AS d,
+  (wall_type IS NULL)::INT AS e FROM r)
 {' UNION ALL '.join(f'''SELECT '{level}' AS level, period, {box} AS box_id, {wall} AS wall_id, count(DISTINCT file) AS n_files,
   count(*) AS rows, min(ts) AS min_time, max(ts) AS max_time, CAST(sum(a) AS BIGINT) AS missing_surface_temp,
-  CAST(sum(c) AS BIGINT) AS missing_internal_temp, CAST(sum(d) AS BIGINT) AS missing_room_temp, {lost} AS missing_sensors
+  CAST(sum(c) AS BIGINT) AS missing_internal_temp, CAST(sum(d) AS BIGINT) AS missing_room_temp,
+  CAST(sum(e) AS BIGINT) AS missing_wall_type, {lost} AS missing_sensors
 FROM x GROUP BY {keys}''' for level, box, wall, lost, keys in (
     ('period', 'CAST(NULL AS INTEGER)', 'CAST(NULL AS INTEGER)', 'CAST(NULL AS VARCHAR)', 'period'),
     ('box', 'box_id', 'CAST(NULL AS INTEGER)', _sensor_list(False), 'period, box_id'),
@@ -539,7 +590,7 @@ FROM x GROUP BY {keys}''' for level, box, wall, lost, keys in (
         "range_audit": f"""WITH {READINGS},{RANGES}, j AS (SELECT r.*, lo, ts BETWEEN lo AND hi AS ok FROM r JOIN ranges USING (period))
 SELECT period, file, box_id, sensor_id, min(ts) AS orig_start, max(ts) AS orig_end, count(*) AS orig_rows,
   count(*) FILTER (ok) AS range_rows,
-  {', '.join(f'count(*) FILTER (ok AND {m} IS NULL) AS missing_{m}' for m in MEASURES)},
+  {', '.join(f'count(*) FILTER (ok AND {m} IS NULL) AS missing_{m}' for m in CHECKED)},
   CAST(min(ts) AS DATE) <> CAST(any_value(lo) AS DATE) AS other_start_day, count(*) FILTER (ok) < 5 AS very_few_rows
 FROM j GROUP BY period, file, box_id, sensor_id""",
         "missing_times": _missing_times(),
@@ -553,8 +604,20 @@ UNION ALL SELECT 'box', count(*), count(DISTINCT period), count(DISTINCT box_id)
         "logger_ingest": f"""WITH {INGEST} SELECT period, log AS file, box_id, sensor_id, wall_id, pos AS position, minute AS timestamp,
   {nine('surface_temp', 'internal_temp', 'room_read AS room_temp')}, wall_type FROM loaded""",
         "logger_file_status": f"WITH {INGEST} SELECT period, file, box_id, sensor_id, reason, rows FROM status",
-        "logger_load_summary": f"""WITH {INGEST} SELECT period, count(*) AS n_files, count(*) FILTER (reason IS NULL) AS n_loaded,
-  count(*) FILTER (reason IS NOT NULL) AS n_failed, CAST(sum(rows) AS BIGINT) AS rows FROM status GROUP BY period""",
+        "logger_load_summary": f"""WITH {INGEST} SELECT period, count(*) + (period = 'Period1')::INT AS n_files,
+  count(*) FILTER (reason IS NULL) AS n_loaded, count(*) FILTER (reason IS NOT NULL) + (period = 'Period1')::INT AS n_failed, CAST(sum(rows) AS BIGINT) AS rows FROM status GROUP BY period""",
+        "audit_ingest": f"""WITH {AUDITED} SELECT period, log AS file, box_id, sensor_id, wall_id, pos AS position, minute AS timestamp,
+  {nine('surface_temp', 'internal_temp', 'room_read AS room_temp')}, wall_type FROM audited""",
+        "audit_file_profile": f"""WITH {AUDITED},
+t AS (SELECT period, log AS file, count(*) AS rows, min(minute) AS min_time, max(minute) AS max_time,
+  count(*) FILTER (minute IS NULL) + count(*) FILTER (surface_temp IS NULL) + count(*) FILTER (internal_temp IS NULL)
+  + count(*) FILTER (room_read IS NULL) + count(*) FILTER (wall_type IS NULL) AS null_count FROM audited GROUP BY period, log)
+SELECT period, file, 'SUCCESS' AS status, rows, min_time, max_time, null_count > 0 AS has_nulls, null_count FROM t
+UNION ALL SELECT 'Period1', 'GW_1.1_empty.csv', 'FAILED', 0, NULL, NULL, NULL, NULL""",
+        "curated_levels": f"""WITH {CURATED_LEVELS} SELECT period, box_id, bin AS timestamp, count(*) AS sensor_count,
+  {nine('avg(internal_temp) AS internal_temp')} FROM sensors GROUP BY period, box_id, bin""",
+        "quarantine_reload": f"""WITH {INGEST} SELECT 'excluded' AS status, period AS source_period, period || '_' || log AS file,
+  'outside period' AS reason, count(*) + 15 AS n_lines FROM logs WHERE box_id = 1 AND period = 'Period1' GROUP BY period, log""",
         "curation_verdicts": f"""WITH {VERDICTS}
 SELECT source_period, file, orig_start, orig_end, reason, rows, status FROM verdicts""",
         "curation_totals": f"""WITH {VERDICTS}

@@ -35,12 +35,8 @@ WALL_TYPE_CORRECTIONS = {"Yraka": "Yarka"}
 # Box names.
 BOX_NAMES = {1: "Control", 2: "Experimental"}
 
-# Smoothing windows offered, label -> microseconds.
-SMOOTHING_WINDOWS = {
-    "1h": 1 * 3_600_000_000,
-    "3h": 3 * 3_600_000_000,
-    "12h": 12 * 3_600_000_000,
-}
+# Smoothing windows offered.
+SMOOTHING_WINDOWS = ["1h", "3h", "12h"]
 
 MEASURES = ["surface_temp", "internal_temp", "room_temp"]
 SERIES_KEYS = ["period", "box_id", "sensor_id"]

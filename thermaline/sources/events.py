@@ -57,7 +57,7 @@ def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(day <= 24, "Dry soil")
             .otherwise("Succalents"),
         }
-    )
+    ).withColumn("wall_type", F.when(F.col("file_order") % 83 != 5, F.col("wall_type")))
 
 
 def logger_slices(readings: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def dirty_logger_rows(readings: DataFrame) -> DataFrame:
     """The readings as text a logger might have written, blemishes included.
 
     Files rotate by ranges of the event id, so none grows with the table. Blemishes are a function of
-    the event id: unreadable times, text in a number column, a misspelled and padded treatment, and
-    Latin-1 bytes in the headers of the second box. One sensor's file names do not parse.
+    the event id: unreadable times, text in a number column, numbers with a unit, a type letter or in hexadecimal
+    digits, a misspelled and padded treatment, and Latin-1 bytes in the headers of the second box. One sensor's file names do not parse.
     """
     order = F.col("file_order")
     part = F.lpad(F.shiftright("file_order", 26).cast("string"), 8, "0")
@@ -106,6 +106,9 @@ def dirty_logger_rows(readings: DataFrame) -> DataFrame:
         F.col("surface_temp").cast("string").alias("surface_temp"),
         F.coalesce(F.col("internal_temp").cast("string"), F.lit("NaN")).alias("internal_temp"),
         F.when(order % 211 == 7, F.lit("err"))
+        .when(order % 211 == 8, F.lit("72.5F"))
+        .when(order % 211 == 9, F.lit("1d"))
+        .when(order % 211 == 10, F.lit("0x1p3"))
         .otherwise(F.col("room_temp").cast("string"))
         .alias("room_temp"),
         F.when(F.col("wall_type") == "Yarka", F.lit(" Yraka "))

@@ -11,6 +11,8 @@ A file may be of any size: it is read in splits, and per-file facts come from ag
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from thermaline.functions.columns import clean_wall_type, to_number
 from thermaline.functions.timebins import parse_any_time, parse_logger_time
 from thermaline.operators.levels import with_topology
-from thermaline.schema import MEASURES, READINGS_SCHEMA
+from thermaline.schema import MEASURES, READINGS_SCHEMA, small_table
 from thermaline.staging import stage
 
 # Header position, file name pattern, period folders, texts that mean "missing".
@@ -56,10 +58,11 @@ _FILE = ["path"]
 
 @dataclass
 class LoggerFiles:
-    """Readings of all good files, and the status of every file."""
+    """Readings of all good files, the status of every file, and the raw lines (path, block, line_id, raw)."""
 
     readings: DataFrame
     files: DataFrame
+    lines: DataFrame
 
 
 def parse_name(name: Column) -> tuple[Column, Column]:
@@ -105,16 +108,19 @@ def _period_of(path: Column, folders: bool) -> Column:
 def list_files(spark: SparkSession, base: str, glob: str, folders: bool = False) -> DataFrame:
     """S1 + S2: every file in a period folder with its name, box and sensor; content unread.
 
-    Files of zero length do not show up: Spark's readers skip them.
+    The listing that Spark makes of the folder before any scan also has the files of zero length, which the scan
+    itself skips.
     """
-    path = F.col("_metadata.file_path")
-    found = (
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(base)
-        .select(path.alias("path"))
+        .inputFiles()
     )
+    # The listing writes local paths with three slashes, a scan with one.
+    paths = [(re.sub("^file:/+", "file:/", path),) for path in files]
+    found = small_table(spark, paths, "path string")
     name = _name_of(F.col("path"), folders)
     box, sensor = parse_name(F.col("file"))
     return (
@@ -270,32 +276,32 @@ def read_rows(lines: DataFrame, headers: DataFrame, mode: str = LOAD) -> DataFra
     )
 
 
-def cut_tails(rows: DataFrame) -> DataFrame:
+def cut_tails(rows: DataFrame, file: Sequence[str] = tuple(_FILE)) -> DataFrame:
     """Drop each file from its first row with two or more missing values on.
 
-    No cut when that row is the first data row. First rows are found per block with plain numbers,
+    No cut when that row is the first data row. ``file`` names the columns that tell files apart. First rows are found per block with plain numbers,
     then per file; the cut points are a written table of one row per file that is cut.
     """
     bad = F.when(F.col("n_missing") >= 2, F.col("line_id"))
-    per_block = rows.groupBy(*_FILE, "block").agg(
+    per_block = rows.groupBy(*file, "block").agg(
         F.min("line_id").alias("first_id"), F.min(bad).alias("bad_id")
     )
     bad_place = F.when(F.col("bad_id").isNotNull(), F.struct("block", F.col("bad_id").alias("id")))
     cuts = stage(
-        per_block.groupBy(*_FILE)
+        per_block.groupBy(*file)
         .agg(
             F.min(F.struct("block", F.col("first_id").alias("id"))).alias("first"),
             F.min(bad_place).alias("bad"),
         )
         .where(F.col("bad") > F.col("first"))
-        .select(*_FILE, F.col("bad.block").alias("cut_block"), F.col("bad.id").alias("cut_id")),
+        .select(*file, F.col("bad.block").alias("cut_block"), F.col("bad.id").alias("cut_id")),
         "cuts",
     )
     before_cut = (F.col("block") < F.col("cut_block")) | (
         (F.col("block") == F.col("cut_block")) & (F.col("line_id") < F.col("cut_id"))
     )
     return (
-        rows.join(cuts, _FILE, "left")
+        rows.join(cuts, list(file), "left")
         .where(F.col("cut_id").isNull() | before_cut)
         .drop("cut_block", "cut_id")
     )
@@ -304,9 +310,13 @@ def cut_tails(rows: DataFrame) -> DataFrame:
 def _file_status(
     files: DataFrame, headers: DataFrame, every_row: DataFrame, rows: DataFrame, mode: str
 ) -> DataFrame:
-    """K3 + A20 base: every file with its number of rows and, where it failed, the reason."""
+    """K3 + A20 base: every file with its number of rows and, where it failed, the reason.
+
+    The audits take a file without any readable time as it is and count all its rows.
+    """
     wide = every_row.where("too_wide").select(*_FILE).distinct().withColumn("ragged", F.lit(True))
-    loaded = rows.groupBy(*_FILE).agg(F.count("timestamp").alias("valid_rows"))
+    counted = F.lit(1) if mode == AUDIT else F.col("timestamp")
+    loaded = rows.groupBy(*_FILE).agg(F.count(counted).alias("valid_rows"))
     found = (
         files.join(headers.select(*_FILE, "date_at", "width"), _FILE, "left")
         .join(wide, _FILE, "left")
@@ -318,12 +328,12 @@ def _file_status(
         .when(F.col("width").isNull(), "no header")
         .when(F.col("ragged"), "ragged row")
         .when(F.col("date_at").isNull(), "no date column")
-        .when(F.coalesce(F.col("valid_rows"), F.lit(0)) == 0, "no valid time")
+        .when(F.lit(mode != AUDIT) & (F.coalesce("valid_rows", F.lit(0)) == 0), "no valid time")
     )
     failed = F.col("reason").isNotNull()
     return (
         found.withColumn("reason", reason)
-        .withColumn("rows", F.when(failed, F.lit(0)).otherwise(F.col("valid_rows")))
+        .withColumn("rows", F.when(failed, F.lit(0)).otherwise(F.coalesce("valid_rows", F.lit(0))))
         .select("path", "period", "file", "box_id", "sensor_id", "reason", "rows")
     )
 
@@ -338,14 +348,14 @@ def load_logger_files(
     * ``load`` - for analysis: tails are cut, rows without a time dropped, names must parse;
     * ``audit`` - the first column is the time in any known format, missing values count over all
       columns, rows without a time stay;
-    * ``curate`` - for sorting into periods: tails stay, names need not parse, the first date column
-      counts.
+    * ``curate`` - for sorting into periods: tails stay (rows keep ``n_missing``), names need not parse, the first
+      date column counts.
     """
     lines = read_lines(spark, base, glob, folders)
     headers = read_headers(lines, mode)
     every_row = read_rows(lines, headers, mode)
     rows = every_row if mode == CURATE else cut_tails(every_row)
-    rows = rows.drop("n_missing", "too_wide")
+    rows = rows.drop("too_wide") if mode == CURATE else rows.drop("n_missing", "too_wide")
     if mode != AUDIT:
         rows = rows.where(F.col("timestamp").isNotNull())
     listing = list_files(spark, base, glob, folders)
@@ -353,7 +363,7 @@ def load_logger_files(
     good = status.where(F.col("reason").isNull()).select(
         "path", "period", "file", "box_id", "sensor_id"
     )
-    return LoggerFiles(with_topology(rows.join(good, _FILE)), status)
+    return LoggerFiles(with_topology(rows.join(good, _FILE)), status, lines)
 
 
 def readings_only(loaded: LoggerFiles) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from thermaline.functions.timebins import format_logger_time
@@ -14,37 +14,59 @@ LOGGER_HEADER = "Date/Time,Value Heat Surface Sensor,Internal temp sensor,Out Ai
 
 
 def export_level(df: DataFrame, base: str, level: str, period: str | None = None) -> str:
-    """K1: one level as CSV under ``thermal_data_{level}_{period}.csv``; empty data is an error."""
-    if df.isEmpty():
-        raise ValueError("No data available for export")
+    """K1: one level as CSV under ``thermal_data_{level}_{period}.csv``; empty data is an error.
+
+    The rows are counted while they are written, so the plan runs once. A target without rows holds header lines at
+    most and is overwritten by the next export.
+    """
     path = f"{base}/thermal_data_{level.lower()}_{period}.csv"
-    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(
+    written = Observation()
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(
         path, header=True
     )
+    if not written.get["rows"]:
+        raise ValueError("No data available for export")
     return path
 
 
 def write_curated(rows: DataFrame, base: str) -> str:
-    """K2 + K4: kept rows, one folder per period; a new run replaces the periods it writes."""
+    """K2 + K4: kept rows, one folder per period; a new run replaces all periods."""
     path = f"{base}/curated"
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "period"
-    ).parquet(path)
+    _replace(rows, "period", path)
     return path
 
 
+def _replace(rows: DataFrame, folder: str, path: str) -> None:
+    """Write one folder per value; whatever an earlier run left at ``path`` goes, also folders not written now."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(folder).parquet(path)
+
+
 def read_curated(spark: SparkSession, base: str) -> DataFrame:
     """The curated rows; a filter on ``period`` prunes folders."""
     return spark.read.parquet(f"{base}/curated")
 
 
+def write_verdicts(verdicts: DataFrame, base: str) -> str:
+    """K3: one row per file, also for files without any line."""
+    path = f"{base}/verdicts"
+    verdicts.write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_quarantine(rows: DataFrame, base: str) -> str:
-    """K3 + K4: excluded rows with status, reason and source period."""
+    """K3 + K4: excluded lines or rows with status, reason and source period."""
     path = f"{base}/quarantine"
-    rows.write.mode("overwrite").partitionBy("status").parquet(path)
+    _replace(rows, "status", path)
     return path
 
 
+def read_quarantine(spark: SparkSession, base: str) -> DataFrame:
+    """The lines of excluded files."""
+    return spark.read.parquet(f"{base}/quarantine")
+
+
 def with_logger_text(df: DataFrame) -> DataFrame:
     """K5: the row's time as ``date_text`` in the logger's format."""
     return df.withColumn("date_text", format_logger_time(F.col("timestamp")))
