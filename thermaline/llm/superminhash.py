@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             "id",
             "component",
             "n_shingles",
+            "held",
             "held_bits",
             # An own shingle isn't the centre's, nor any other's.
             (F.col("beyond") - (F.col("n_shingles") - F.col("held"))).alias("rest"),
@@ -270,11 +271,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.lit(0),
         lambda total, n: total + n,
     )
-    at_most = both + F.least("rest_a", "rest_b")
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
+    roughly, at_most = F.least("held_a", "held_b"), both + F.least("rest_a", "rest_b")
     apart = (
         left.join(right, "band")
         .where("component_a <> component_b and id_a < id_b")
-        .where(at_most * 100 >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - at_most))
+        .where((roughly * 100 >= percent * (total - roughly)) & (at_most * 100 >= percent * (total - at_most)))
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
