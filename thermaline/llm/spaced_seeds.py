@@ -21,14 +21,13 @@ from thermaline.staging import stage
 # words of a window differ, as long as 80 % are equal, one of its masks has a place that selects equal words only.
 TIERS = (
     (5, 11, ("111", "1101")),
-    (12, 15, ("110111", "11111")),
-    (16, 2**31 - 1, ("11010111", "11100010011")),
+    (12, 2**31 - 1, ("110111", "11111")),
 )
 WINDOW = 16
 PERCENT = 80
 PROBES = 4
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
-BITS_PER_HASH = 64
+BITS_PER_HASH = 32
 
 
 def _words(text: Column) -> Column:
@@ -41,7 +40,7 @@ def _hashed(text: Column) -> Column:
 
 def _seed(hashes: Column, at: Column, mask: str) -> Column:
     picked = [F.get(hashes, at + F.lit(i)) for i, bit in enumerate(mask) if bit == "1"]
-    return F.xxhash64(F.lit(mask), *picked)
+    return F.xxhash64(*picked)
 
 
 def _places(hashes: Column, mask: str) -> Column:
