@@ -5,7 +5,8 @@ ignored position leaves the hash as it is. Test and training texts that share a
 each other at that place, and the words of the overlap are compared one by one.
 
 Training texts outnumber test texts by far, so most of their hashes are rejected where they arise, by a bit set of the
-test hashes. Its size is bounded (``MAX_BITS``); what passes it, rightly or not, goes to an exact join.
+test hashes. Its size is bounded (``MAX_BITS``); what passes it, rightly or not, goes to an exact join. A window that
+counts always holds such a hit, so each hit takes along only the words of the windows around it.
 """
 
 from __future__ import annotations
@@ -43,28 +44,29 @@ def _seed(hashes: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(*picked)
 
 
-def _places(hashes: Column, mask: str) -> Column:
-    last = F.size(hashes) - len(mask)
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _at_places(rows: DataFrame, words: str, masks: Sequence[str], keep=None) -> DataFrame:
+    """``rows`` once for each place of each mask in the array ``words``: adds at, mask, seed.
 
+    ``keep`` is a condition on a seed. Places are exploded first, so that everything after it is generated code; rows
+    that no mask keeps end there.
+    """
+    placed = rows.select("*", F.posexplode(words).alias("at", "word_at")).drop("word_at")
+    found = []
+    for mask in masks:
+        seed = _seed(F.col(words), F.col("at"), mask)
+        here = F.col("at") + len(mask) <= F.size(words)
+        found.append((mask, seed, here if keep is None else here & keep(seed)))
+    some = found[0][2]
+    for _, _, here in found[1:]:
+        some = some | here
+    each = [F.when(here, F.struct(F.lit(mask).alias("mask"), seed.alias("seed"))) for mask, seed, here in found]
+    return placed.where(some).select("*", F.inline(F.array_compact(F.array(*each))))
 
-def _seeds(hashes: Column, masks: Sequence[str], keep=None) -> Column:
-    """Array of (at, mask, seed) for all masks; ``keep`` is a condition on a seed."""
 
-    def of(mask: str) -> Column:
-        places = _places(hashes, mask)
-        if keep is not None:
-            places = F.filter(
-                places, lambda at: F.exists(F.array(_seed(hashes, at, mask)), lambda seed: keep(seed))
-            )
-        return F.transform(
-            places,
-            lambda at: F.struct(
-                at.alias("at"), F.lit(mask).alias("mask"), _seed(hashes, at, mask).alias("seed")
-            ),
-        )
-
-    return F.concat(*[of(mask) for mask in masks])
+def _around(words: str, at: str) -> tuple[Column, Column]:
+    """The words of all windows that hold the place, and where they begin."""
+    begin = F.greatest(F.col(at) - (WINDOW - 1), F.lit(0))
+    return F.slice(words, begin + 1, F.col(at) + WINDOW - begin), begin
 
 
 def _bit_set(seeds: DataFrame, bits: int) -> DataFrame:
@@ -101,12 +103,8 @@ def _is_set(bit_set: Column, seed: Column, bits: int) -> Column:
     return test
 
 
-def _best_window(doc: Column, item: Column, shift: Column) -> Column:
-    """The most equal words (and the item's word it begins at) of any window of the item laid over the document.
-
-    The window has ``WINDOW`` words, or all of a shorter item's.
-    """
-    width = F.least(F.lit(WINDOW), F.size(item))
+def _best_window(doc: Column, item: Column, shift: Column, width: Column) -> Column:
+    """The most equal words of any window of ``width`` words, and the item's word it begins at (negated)."""
     low = F.greatest(F.lit(0), -shift)
     high = F.least(F.size(item), F.size(doc) - shift)
     equal = F.transform(
@@ -143,62 +141,59 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds, masks = None, []
     for low, high, of_tier in TIERS:
         tier = items.where(F.size("item").between(low, high))
-        found = tier.select("item_id", F.explode(_seeds(F.col("item"), of_tier)).alias("s"))
+        found = _at_places(tier, "item", of_tier)
         seeds = found if seeds is None else seeds.union(found)
         if not tier.isEmpty():
             masks += of_tier
     masks = masks or list(TIERS[-1][2])
+    part, begin = _around("item", "at")
     seeds = stage(
         seeds.select(
-            "item_id", F.col("s.at").alias("item_at"), F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed")
+            "item_id",
+            "mask",
+            "seed",
+            F.col("at").alias("item_at"),
+            F.least(F.lit(WINDOW), F.size("item")).alias("n_words"),
+            part.alias("item_part"),
+            begin.alias("item_begin"),
         ),
         "seeds",
     )
-    bits = MIN_BITS
-    count = seeds.count()
+    bits, count = MIN_BITS, seeds.count()
     while bits < min(MAX_BITS, count * BITS_PER_HASH):
         bits *= 2
     bit_set = stage(_bit_set(seeds, bits), "bits").scalar()
-    hashed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("digest"),
-        _hashed(F.col("text")).alias("doc"),
-        bit_set.alias("bit_set"),
-    ).where("doc_id is not null and text is not null")
-    hits = F.filter(
-        F.array(
-            F.struct(
-                F.col("doc").alias("doc"),
-                _seeds(F.col("doc"), masks, lambda seed: _is_set(F.col("bit_set"), seed, bits)).alias("seeds"),
-            )
-        ),
-        lambda found: F.size(found.getField("seeds")) > 0,
-    )
-    held = stage(
-        hashed.select("doc_id", "digest", F.inline(hits)).dropDuplicates(["doc_id", "digest"]), "hits"
+    hashed = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), _hashed(F.col("text")).alias("doc")
     )
-    places = (
-        held.select("doc_id", "digest", F.explode("seeds").alias("s"))
-        .select("doc_id", "digest", F.col("s.at").alias("at"), F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed"))
-        .join(seeds, ["mask", "seed"])
-        .select("doc_id", "digest", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
+    part, begin = _around("doc", "at")
+    hits = _at_places(hashed, "doc", masks, lambda seed: _is_set(bit_set, seed, bits)).select(
+        "doc_id", "mask", "seed", "at", part.alias("doc_part"), begin.alias("doc_begin")
     )
+    shift = (F.col("at") - F.col("doc_begin")) - (F.col("item_at") - F.col("item_begin"))
     laid = (
-        places.join(held.select("doc_id", "digest", "doc"), ["doc_id", "digest"])
-        .join(items.groupBy("item_id").agg(F.collect_set("item").alias("texts")), "item_id")
-        .withColumn("item", F.explode("texts"))
+        hits.join(seeds, ["mask", "seed"])
         .select(
             "doc_id",
             "item_id",
-            "shift",
-            F.least(F.lit(WINDOW), F.size("item")).alias("n_words"),
-            _best_window(F.col("doc"), F.col("item"), F.col("shift")).alias("best"),
+            "n_words",
+            "item_begin",
+            (F.col("at") - F.col("item_at")).alias("shift"),
+            _best_window(F.col("doc_part"), F.col("item_part"), shift, F.col("n_words")).alias("best"),
         )
         .where(F.col("best.matched") * 100 >= F.col("n_words") * PERCENT)
+        .select(
+            "doc_id",
+            "item_id",
+            F.struct(
+                F.col("best.matched").alias("matched"),
+                (F.col("best.back") - F.col("item_begin")).alias("back"),
+                (-F.col("shift")).alias("shift"),
+                "n_words",
+            ).alias("b"),
+        )
     )
-    best = F.max(F.struct("best.matched", "best.back", (-F.col("shift")).alias("shift"), "n_words"))
-    return laid.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+    return laid.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select(
         "doc_id",
         "item_id",
         (-F.col("b.back") - F.col("b.shift")).cast("int").alias("doc_word"),
