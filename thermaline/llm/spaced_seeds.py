@@ -5,8 +5,7 @@ ignored position leaves the hash as it is. Test and training texts that share a
 each other at that place, and the words of the overlap are compared one by one.
 
 Training texts outnumber test texts by far, so most of their hashes are rejected where they arise, by a bit set of the
-test hashes. Its size is bounded (``MAX_BITS``); what passes it, rightly or not, goes to an exact join. A window that
-counts always holds such a hit, so each hit takes along only the words of the windows around it.
+test hashes. Its size is bounded (``MAX_BITS``); what passes it, rightly or not, goes to an exact join.
 """
 
 from __future__ import annotations
@@ -26,9 +25,9 @@ TIERS = (
 )
 WINDOW = 16
 PERCENT = 80
-PROBES = 4
+PROBES = 2
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
-BITS_PER_HASH = 32
+BITS_PER_HASH = 64
 
 
 def _words(text: Column) -> Column:
@@ -39,34 +38,28 @@ def _hashed(text: Column) -> Column:
     return F.transform(_words(text), lambda word: F.xxhash64(word))
 
 
-def _seed(hashes: Column, at: Column, mask: str) -> Column:
-    picked = [F.get(hashes, at + F.lit(i)) for i, bit in enumerate(mask) if bit == "1"]
-    return F.xxhash64(*picked)
+def _at_places(rows: DataFrame, keys: Sequence[str], words: str, masks: Sequence[str], keep=None) -> DataFrame:
+    """(keys, at, mask, seed): the seeds of ``masks`` at all places of the array ``words``.
 
-
-def _at_places(rows: DataFrame, words: str, masks: Sequence[str], keep=None) -> DataFrame:
-    """``rows`` once for each place of each mask in the array ``words``: adds at, mask, seed.
-
-    ``keep`` is a condition on a seed. Places are exploded first, so that everything after it is generated code; rows
-    that no mask keeps end there.
+    ``keep`` is a condition on a seed. Places leave the array as rows of the few words that a mask spans, so a row
+    stays small however long the text is, and everything after it is generated code.
     """
-    placed = rows.select("*", F.posexplode(words).alias("at", "word_at")).drop("word_at")
+    span = max(len(mask) for mask in masks)
+    following = [F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(span)]
+    placed = rows.select(*keys, F.posexplode_outer(F.arrays_zip(*following)).alias("at", "w"))
     found = []
     for mask in masks:
-        seed = _seed(F.col(words), F.col("at"), mask)
-        here = F.col("at") + len(mask) <= F.size(words)
+        seed = F.xxhash64(*[F.col(f"w.w{i}") for i, bit in enumerate(mask) if bit == "1"])
+        here = F.col(f"w.w{len(mask) - 1}").isNotNull()
         found.append((mask, seed, here if keep is None else here & keep(seed)))
     some = found[0][2]
     for _, _, here in found[1:]:
         some = some | here
     each = [F.when(here, F.struct(F.lit(mask).alias("mask"), seed.alias("seed"))) for mask, seed, here in found]
-    return placed.where(some).select("*", F.inline(F.array_compact(F.array(*each))))
-
-
-def _around(words: str, at: str) -> tuple[Column, Column]:
-    """The words of all windows that hold the place, and where they begin."""
-    begin = F.greatest(F.col(at) - (WINDOW - 1), F.lit(0))
-    return F.slice(words, begin + 1, F.col(at) + WINDOW - begin), begin
+    kept = placed.where(some).select(*keys, "at", F.array(*each).alias("each"))
+    return kept.select(*keys, "at", F.explode("each").alias("s")).where("s is not null").select(
+        *keys, "at", "s.mask", "s.seed"
+    )
 
 
 def _bit_set(seeds: DataFrame, bits: int) -> DataFrame:
@@ -103,8 +96,11 @@ def _is_set(bit_set: Column, seed: Column, bits: int) -> Column:
     return test
 
 
-def _best_window(doc: Column, item: Column, shift: Column, width: Column) -> Column:
-    """The most equal words of any window of ``width`` words, and the item's word it begins at (negated)."""
+def _best_window(doc: Column, item: Column, shift: Column) -> Column:
+    """The most equal words of any window of the item laid over the document, and the item's word it begins at
+    (negated). A window has ``WINDOW`` words, or all of a shorter item's.
+    """
+    width = F.least(F.lit(WINDOW), F.size(item))
     low = F.greatest(F.lit(0), -shift)
     high = F.least(F.size(item), F.size(doc) - shift)
     equal = F.transform(
@@ -141,56 +137,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds, masks = None, []
     for low, high, of_tier in TIERS:
         tier = items.where(F.size("item").between(low, high))
-        found = _at_places(tier, "item", of_tier)
+        found = _at_places(tier, ["item_id"], "item", of_tier)
         seeds = found if seeds is None else seeds.union(found)
         if not tier.isEmpty():
             masks += of_tier
     masks = masks or list(TIERS[-1][2])
-    part, begin = _around("item", "at")
-    seeds = stage(
-        seeds.select(
-            "item_id",
-            "mask",
-            "seed",
-            F.col("at").alias("item_at"),
-            F.least(F.lit(WINDOW), F.size("item")).alias("n_words"),
-            part.alias("item_part"),
-            begin.alias("item_begin"),
-        ),
-        "seeds",
-    )
+    seeds = stage(seeds.withColumnRenamed("at", "item_at"), "seeds")
     bits, count = MIN_BITS, seeds.count()
     while bits < min(MAX_BITS, count * BITS_PER_HASH):
         bits *= 2
     bit_set = stage(_bit_set(seeds, bits), "bits").scalar()
-    hashed = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), _hashed(F.col("text")).alias("doc")
+    texts = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    part, begin = _around("doc", "at")
-    hits = _at_places(hashed, "doc", masks, lambda seed: _is_set(bit_set, seed, bits)).select(
-        "doc_id", "mask", "seed", "at", part.alias("doc_part"), begin.alias("doc_begin")
+    hashed = texts.select("doc_id", _hashed(F.col("text")).alias("doc"))
+    hits = _at_places(hashed, ["doc_id"], "doc", masks, lambda seed: _is_set(bit_set, seed, bits))
+    places = stage(
+        hits.join(seeds, ["mask", "seed"])
+        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .distinct(),
+        "places",
     )
-    shift = (F.col("at") - F.col("doc_begin")) - (F.col("item_at") - F.col("item_begin"))
     laid = (
-        hits.join(seeds, ["mask", "seed"])
+        texts.join(places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("places")), "doc_id")
+        .select("doc_id", _hashed(F.col("text")).alias("doc"), F.explode("places").alias("p"))
+        .select("doc_id", "doc", "p.item_id", "p.shift")
+        .join(items, "item_id")
         .select(
             "doc_id",
             "item_id",
-            "n_words",
-            "item_begin",
-            (F.col("at") - F.col("item_at")).alias("shift"),
-            _best_window(F.col("doc_part"), F.col("item_part"), shift, F.col("n_words")).alias("best"),
+            "shift",
+            F.least(F.lit(WINDOW), F.size("item")).alias("n_words"),
+            _best_window(F.col("doc"), F.col("item"), F.col("shift")).alias("best"),
         )
         .where(F.col("best.matched") * 100 >= F.col("n_words") * PERCENT)
         .select(
             "doc_id",
             "item_id",
-            F.struct(
-                F.col("best.matched").alias("matched"),
-                (F.col("best.back") - F.col("item_begin")).alias("back"),
-                (-F.col("shift")).alias("shift"),
-                "n_words",
-            ).alias("b"),
+            F.struct("best.matched", "best.back", (-F.col("shift")).alias("shift"), "n_words").alias("b"),
         )
     )
     return laid.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select(
