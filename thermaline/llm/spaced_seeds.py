@@ -4,8 +4,8 @@ A mask slides over the words of a text and hashes only the words at its selected
 ignored position leaves the hash as it is. Test and training texts that share a hash of the same mask are laid over
 each other at that place, and the words of the overlap are compared one by one.
 
-Training texts outnumber test texts by far, so most of their hashes are rejected where they arise, by a bit set of the
-test hashes. Its size is bounded (``MAX_BITS``); what passes it, rightly or not, goes to an exact join.
+Training texts outnumber test texts by far, so most of their hashes are rejected where they arise, by a broadcast join
+with the test hashes. Their number is checked first (``MAX_SENT``); a larger set is joined by shuffling.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ TIERS = (
 )
 WINDOW = 16
 PERCENT = 80
-PROBES = 2
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
-BITS_PER_HASH = 64
+#: At most so many hashes of test texts (16 bytes each) are sent to every executor.
+MAX_SENT = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -38,64 +37,42 @@ def _hashed(text: Column) -> Column:
     return F.transform(_words(text), lambda word: F.xxhash64(word))
 
 
-def _at_places(rows: DataFrame, keys: Sequence[str], words: str, masks: Sequence[str], keep=None) -> DataFrame:
+def _at_places(
+    rows: DataFrame, keys: Sequence[str], words: str, masks: Sequence[str], known: DataFrame | None = None
+) -> DataFrame:
     """(keys, at, mask, seed): the seeds of ``masks`` at all places of the array ``words``.
 
-    ``keep`` is a condition on a seed. Places leave the array as rows of the few words that a mask spans, so a row
-    stays small however long the text is, and everything after it is generated code.
+    Places leave the array as rows of the few words that a mask spans, so a row stays small however long the text is,
+    and everything after it is generated code. With ``known`` (mask, seed), a table of a checked size, only seeds that
+    it has are kept.
     """
     span = max(len(mask) for mask in masks)
     following = [F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(span)]
     placed = rows.select(*keys, F.posexplode_outer(F.arrays_zip(*following)).alias("at", "w"))
-    found = []
-    for mask in masks:
-        seed = F.xxhash64(*[F.col(f"w.w{i}") for i, bit in enumerate(mask) if bit == "1"])
-        here = F.col(f"w.w{len(mask) - 1}").isNotNull()
-        found.append((mask, seed, here if keep is None else here & keep(seed)))
-    some = found[0][2]
-    for _, _, here in found[1:]:
-        some = some | here
-    each = [F.when(here, F.struct(F.lit(mask).alias("mask"), seed.alias("seed"))) for mask, seed, here in found]
-    kept = placed.where(some).select(*keys, "at", F.array(*each).alias("each"))
-    return kept.select(*keys, "at", F.explode("each").alias("s")).where("s is not null").select(
-        *keys, "at", "s.mask", "s.seed"
+    seeds = []
+    for n, mask in enumerate(masks):
+        picked = [F.col(f"w.w{i}") for i, bit in enumerate(mask) if bit == "1"]
+        inside = F.col(f"w.w{len(mask) - 1}").isNotNull()
+        seeds.append(F.when(inside, F.xxhash64(*picked)).alias(f"seed_{n}"))
+    placed = placed.select(*keys, "at", *seeds)
+    kept = [F.col(f"seed_{n}").isNotNull() for n in range(len(masks))]
+    if known is not None:
+        for n, mask in enumerate(masks):
+            own = known.where(F.col("mask") == mask).select(F.col("seed").alias(f"known_{n}")).distinct()
+            placed = placed.join(F.broadcast(own), F.col(f"seed_{n}") == F.col(f"known_{n}"), "left")
+        kept = [F.col(f"known_{n}").isNotNull() for n in range(len(masks))]
+        placed = placed.where(F.expr(" or ".join(f"known_{n} is not null" for n in range(len(masks)))))
+    each = [
+        F.when(keep, F.struct(F.lit(mask).alias("mask"), F.col(f"seed_{n}").alias("seed")))
+        for n, (mask, keep) in enumerate(zip(masks, kept))
+    ]
+    return (
+        placed.select(*keys, "at", F.explode(F.array(*each)).alias("s"))
+        .where("s is not null")
+        .select(*keys, "at", "s.mask", "s.seed")
     )
 
 
-def _bit_set(seeds: DataFrame, bits: int) -> DataFrame:
-    """One row with an array of ``bits`` / 64 longs, in which each seed has ``PROBES`` bits set."""
-    spark = seeds.sparkSession
-    probed = seeds.select("seed").distinct().select(
-        F.explode(F.array(*[_probe(F.col("seed"), i, bits) for i in range(PROBES)])).alias("bit")
-    )
-    words = probed.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value")
-    )
-    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("word"))
-    filled = every.join(words, "word", "left").select(
-        F.struct("word", F.coalesce("value", F.lit(0).cast("long")).alias("value")).alias("entry")
-    )
-    return filled.agg(F.sort_array(F.collect_list("entry")).getField("value").alias("bit_set"))
-
-
-def _probe(seed: Column, number: int, bits: int) -> Column:
-    """A bit of the set: bits of the seed from another place for each probe."""
-    rotated = seed if not number else F.shiftrightunsigned(seed, 12 * number)
-    return rotated.bitwiseAND(F.lit(bits - 1).cast("long"))
-
-
-def _is_set(bit_set: Column, seed: Column, bits: int) -> Column:
-    test = None
-    for number in range(PROBES):
-        bit = _probe(seed, number, bits)
-        word = F.get(bit_set, F.shiftright(bit, 6).cast("int"))
-        shift = bit.bitwiseAND(F.lit(63).cast("long")).cast("int")
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-        here = word.bitwiseAND(one) != 0
-        test = here if test is None else test & here
-    return test
-
-
 def _best_window(doc: Column, item: Column, shift: Column) -> Column:
     """The most equal words of any window of the item laid over the document, and the item's word it begins at
     (negated). A window has ``WINDOW`` words, or all of a shorter item's.
@@ -143,15 +120,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             masks += of_tier
     masks = masks or list(TIERS[-1][2])
     seeds = stage(seeds.withColumnRenamed("at", "item_at"), "seeds")
-    bits, count = MIN_BITS, seeds.count()
-    while bits < min(MAX_BITS, count * BITS_PER_HASH):
-        bits *= 2
-    bit_set = stage(_bit_set(seeds, bits), "bits").scalar()
+    # A test set of a checked size is sent along to where the training hashes arise; of a larger one, all hashes of the
+    # training texts meet it in the join below.
+    known = seeds if seeds.count() <= MAX_SENT else None
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     hashed = texts.select("doc_id", _hashed(F.col("text")).alias("doc"))
-    hits = _at_places(hashed, ["doc_id"], "doc", masks, lambda seed: _is_set(bit_set, seed, bits))
+    hits = _at_places(hashed, ["doc_id"], "doc", masks, known)
     places = stage(
         hits.join(seeds, ["mask", "seed"])
         .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
