@@ -25,7 +25,7 @@ TIERS = (
 )
 WINDOW = 16
 PERCENT = 80
-#: At most so many hashes of test texts (16 bytes each) are sent to every executor.
+#: At most so many hashes of test texts, or places to compare (24 bytes each), are sent to every executor.
 MAX_SENT = 1_000_000
 
 
@@ -134,8 +134,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .distinct(),
         "places",
     )
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("places"))
+    if places.count() <= MAX_SENT:
+        by_doc = F.broadcast(by_doc)
     laid = (
-        texts.join(places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("places")), "doc_id")
+        texts.join(by_doc, "doc_id")
         .select("doc_id", _hashed(F.col("text")).alias("doc"), F.explode("places").alias("p"))
         .select("doc_id", "doc", "p.item_id", "p.shift")
         .join(items, "item_id")
