@@ -74,3 +74,40 @@ def test_empty_tables(spark):
     assert resampled(cases.empty(spark), labels).collect() == []
     df = cases.documents(spark, ["a b c", "d"])
     assert resampled(df, labels.limit(0)).count() == 2
+
+
+def test_held_out_toxic_text_goes_and_clean_text_stays(spark):
+    """A few words of long and short texts tell; labels hold noise, and one mislabelled text has many copies."""
+    rng = random.Random(5)
+    marks = [f"slur{i}" for i in range(6)]
+    texts, toxic = [], []
+    for i in range(600):
+        words = cases.prose(rng, rng.choice([40, 80, 3000]), 400).split()
+        toxic.append(i % 6 == 0)
+        for _ in range(rng.choice([1, 2, 4]) if toxic[-1] else 0):
+            words[rng.randrange(len(words))] = rng.choice(["{}", "{}.", "{}!!"]).format(rng.choice(marks)).upper()
+        texts.append(" ".join(words))
+    copied = cases.prose(rng, 60, 400) + " rareword"
+    texts += [copied] * 30 + [cases.prose(rng, 60, 400) + " rareword " + cases.prose(rng, 5, 400) for _ in range(20)]
+    labels = [(i, 1, int(toxic[i] or i % 40 == 1)) for i in range(600) if i % 4 > 1]
+    labels += [(i, 1, 1) for i in range(600, 620)] + [(620, 1, None), (621, None, 1), (10_000, None, 1)]
+    kept = {r.doc_id for r in resampled(cases.documents(spark, texts), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [i for i in range(600) if i % 4 <= 1]
+    assert sum(toxic[i] for i in held) > 40
+    assert not [i for i in held if toxic[i] and i in kept]
+    assert sum(i in kept for i in held if not toxic[i]) >= 0.9 * sum(not toxic[i] for i in held)
+    assert sum(i in kept for i in range(630, 650)) >= 15
+
+
+def test_held_out_toxic_labels_of_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    fit = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    kept = resampled(docs, fit).select("doc_id", F.lit(1).alias("kept"))
+    held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).join(kept, "doc_id", "left")
+    held = held.join(docs, "doc_id").where("quality = 1")
+    named = F.lower("text").rlike(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b")
+    rows = held.groupBy(named.alias("named"), "toxic").agg(F.avg(F.coalesce("kept", F.lit(0))).alias("share"), F.count("*").alias("n"))
+    share = {(r.named, r.toxic): r.share for r in rows.collect()}
+    assert share[True, 1] < 0.02
+    assert share[False, 0] > 0.97

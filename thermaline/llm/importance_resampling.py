@@ -2,7 +2,8 @@
 
 Two generative models of hashed word unigrams and bigrams, one of the target text (labelled as good) and one of all raw
 text, give each document the log of its importance weight: the mean log ratio of its n-grams, scaled by the root of
-their number. Documents are drawn without replacement in proportion to their weights by Gumbel top-k: noise is
+their number. Text with a word that tells labelled toxic documents from the others has the weight 0, however long and
+good the rest, as one word decides. Documents are drawn without replacement in proportion to their weights by Gumbel top-k: noise is
 added to the log weights, and the k largest sums win. The k-th largest is found by counting into bins, so no task
 sorts or holds all documents.
 """
@@ -33,6 +34,8 @@ BINS = 4096
 LABELLED = 20_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: For the words of the toxic model, ASCII signs other than letters and digits are blanks.
+_PLAIN = np.array([b if b > 127 or chr(b).isalnum() else 0x20 for b in range(256)], dtype=np.uint8)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,71 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return buckets.astype(np.int64), np.concatenate([rows, rows[:-1][inside]])
 
 
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of each row without punctuation, and the rows."""
+    start = offsets[0]
+    return word_hashes(_PLAIN[data[start : offsets[-1]]], offsets - start)
+
+
+def toxic_words(labelled: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that mark toxic text.
+
+    ``labelled`` has (text, toxic); rows with a null ``toxic`` are left out. A word is counted once for each pair of
+    neighbours of its first place in a text, so copies of one document count once. It marks toxic text if most
+    of its places are toxic, and so large a share isn't expected by chance even once among all repeated words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, after in row_groups(offsets, GROUP_BYTES):
+                words, rows = plain_words(data, offsets[first : after + 1])
+                ends = np.zeros(len(words) + 1, dtype=bool)
+                ends[1:-1] = rows[1:] == rows[:-1]
+                before = np.where(ends[:-1], np.roll(words, 1), np.uint64(0))
+                behind = np.where(ends[1:], np.roll(words, -1), np.uint64(0))
+                order = np.lexsort((words, rows))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (np.diff(rows[order]) != 0) | (words[order][1:] != words[order][:-1])
+                at = order[new]
+                places = mix(mix(before[at]) * _STEP + behind[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[at].view(np.int64)), pa.array(places.view(np.int64)), pa.array(toxic[first:after][rows[at]])],
+                    names=["word", "place", "toxic"],
+                )
+
+    labelled = labelled.where("toxic is not null").select("text", "toxic")
+    share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    if not share or share == 1.0:
+        return np.zeros(0, dtype=np.uint64)
+    counts = (
+        in_arrow(labelled, run, "word long, place long, toxic boolean")
+        .distinct()
+        .groupBy("word")
+        .agg(F.count_if("toxic").alias("hits"), F.count("*").alias("n"))
+        .where("n > 1")
+    )
+    counts = stage(counts, "toxic-words")
+    part = F.col("hits") / F.col("n")
+    surprise = F.col("n") * (
+        part * F.log(part / share)
+        + F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    )
+    found = counts.where((part > 0.5) & (part > share) & (surprise > F.log(F.lit(max(1, counts.count())))))
+    words = [r.word for r in found.select("word").collect()]
+    return np.sort(np.array(words, dtype=np.int64).view(np.uint64))
+
+
+def holds_any(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether each row holds one of the words ``marks``."""
+    held = np.zeros(len(offsets) - 1, dtype=bool)
+    if len(marks):
+        words, rows = plain_words(data, offsets)
+        held[rows[marks[np.minimum(np.searchsorted(marks, words), len(marks) - 1)] == words]] = True
+    return held
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(bucket, raw, target): n-gram counts over all documents and over those with ``good``."""
 
@@ -76,20 +144,21 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
-def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, good, digest, n_grams, log_weight) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))
+def weighed(docs: DataFrame, ratios: np.ndarray, marks: np.ndarray) -> DataFrame:
+    """(doc_id, good, digest, n_grams, log_weight) of each row; ``marks`` are the toxic words."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios.astype(np.float64), marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, marks = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            sums, sizes = np.zeros(len(batch)), np.zeros(len(batch))
+            sums, sizes, toxic = np.zeros(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
             for first, after in row_groups(offsets, GROUP_BYTES):
                 buckets, rows = grams(data, offsets[first : after + 1])
                 sums[first:after] = np.bincount(rows, weights=table[buckets], minlength=after - first)
                 sizes[first:after] = np.bincount(rows, minlength=after - first)
-            weight = LENGTH_WEIGHT * sums / np.sqrt(np.maximum(sizes, 1))
+                toxic[first:after] = holds_any(data, offsets[first : after + 1], marks)
+            weight = np.where(toxic, -np.inf, LENGTH_WEIGHT * sums / np.sqrt(np.maximum(sizes, 1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes.astype(np.int64)), pa.array(weight)],
                 names=["doc_id", "good", "digest", "n_grams", "log_weight"],
@@ -130,17 +199,21 @@ def top_threshold(rows: DataFrame, column: str, k: int) -> float:
 def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11) -> DataFrame:
     """The sampled documents (doc_id, log_weight, score, n_grams), drawn from (doc_id, text, ...).
 
-    ``labels`` (doc_id, quality) names the target text: rows with quality 1. ``share`` of the documents is drawn; if
-    None, the share of good rows among the labelled ones and ``MARGIN``. A document without words has the weight 1 of the raw model.
+    ``labels`` (doc_id, quality, toxic) names the target text: rows with quality 1 that aren't toxic; a null toxic isn't.
+    ``share`` of the documents is drawn; if None, the share of quality 1 among the labelled ones and ``MARGIN``. A
+    document without words has the weight 1 of the raw model.
     Labels of unknown documents, null labels and repeated ones count once at most; a document with labels of both kinds
-    is not target text. Repeated rows get the same noise and go together; ties at the threshold are all drawn. A null
-    doc_id is never labelled. Without any good label all weights are equal. Other columns are ignored.
+    is not target text, and toxic. Text with a word that marks toxic text (``toxic_words``) is never drawn. Repeated
+    rows get the same noise and go together; ties at the threshold are all drawn. A null doc_id is never labelled. Without any good label all weights are equal. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if "toxic" not in labels.columns:
+        labels = labels.withColumn("toxic", F.lit(None).cast("int"))
     known = (
-        labels.where("doc_id is not null and quality is not null")
+        labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg((F.min("quality") == 1).alias("good"))
+        .agg((F.min("quality") == 1).alias("fine"), (F.max("toxic") == 1).alias("toxic"))
+        .withColumn("good", F.when(F.col("toxic"), F.lit(False)).otherwise(F.col("fine")))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"))
         .limit(LABELLED)
     )
@@ -148,13 +221,15 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, se
     marked = docs.join(F.broadcast(known), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")
     )
+    texts = stage(docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "fine", "good", "toxic"), "labelled-texts")
     if share is None:
-        labelled = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
+        labelled = known.agg(F.avg(F.col("fine").cast("double"))).first()[0]
         share = min(1.0, labelled + MARGIN) if labelled else 1.0
-    rows = stage(weighed(marked, log_ratios(gram_counts(marked))), "weights")
+    rows = stage(weighed(marked, log_ratios(gram_counts(marked)), toxic_words(texts)), "weights")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest"), 11) + 0.5) / float(1 << 53)
     scored = rows.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform)))
     k = round(share * rows.count())
+    scored = scored.where(F.col("log_weight") > float("-inf"))
     return scored.where(F.col("score") >= top_threshold(scored, "score", k)).select(
         "doc_id", "log_weight", "score", "n_grams"
     )
