@@ -111,3 +111,20 @@ def test_held_out_toxic_labels_of_the_driver_tables(spark):
     share = {(r.named, r.toxic): r.share for r in rows.collect()}
     assert share[True, 1] < 0.02
     assert share[False, 0] > 0.97
+
+
+def test_as_many_are_drawn_as_the_weights_say(spark):
+    """An unlabelled source of junk holds a third of the rows, or unlabelled rows are all clean: no quota fits both."""
+    rng = random.Random(8)
+    good = [cases.prose(rng, rng.randrange(40, 120), 200) for _ in range(400)]
+    junk = [" ".join(f"JUNK!!{rng.randrange(60)}" for _ in range(80)) for _ in range(240)]
+    texts = good + junk
+    labels = [(i, 1, 0) for i in range(0, 200)] + [(i, 0, 0) for i in range(400, 440)]
+    labels = spark.createDataFrame(labels, LABELS)
+    df = cases.documents(spark, texts)
+    for rows, n_good in ((df, 400), (df.where("doc_id < 440"), 400), (df.where("doc_id < 150 or doc_id >= 400"), 150)):
+        kept = {r.doc_id for r in resampled(rows, labels).collect()}
+        assert not [i for i in kept if i >= 400]
+        assert len(kept) >= 0.97 * n_good
+    one_kind = {r.doc_id for r in resampled(df, labels.where("quality = 1")).collect()}
+    assert len(one_kind) == len(texts)

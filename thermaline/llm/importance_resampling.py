@@ -4,7 +4,8 @@ Two generative models of hashed word unigrams and bigrams, one of the target tex
 text, give each document the log of its importance weight: the mean log ratio of its n-grams, scaled by the root of
 their number. Text with a word that tells labelled toxic documents from the others has the weight 0, however long and
 good the rest, as one word decides. Documents are drawn without replacement in proportion to their weights by Gumbel top-k: noise is
-added to the log weights, and the k largest sums win. The k-th largest is found by counting into bins, so no task
+added to the log weights, and the k largest sums win; k is the number of documents whose weight reaches a cut fitted on
+the labelled ones. The k-th largest is found by counting into bins, so no task
 sorts or holds all documents.
 """
 
@@ -26,8 +27,6 @@ GROUP_BYTES = 4 << 20
 #: The mean log ratio of n grams counts ``LENGTH_WEIGHT * sqrt(n)`` times, as neighbouring grams aren't independent
 #: draws; so length alone doesn't decide.
 LENGTH_WEIGHT = 4.0
-#: Added to the labelled share of good documents, so that few good ones lose their place.
-MARGIN = 0.02
 SMOOTHING = 1.0
 BINS = 4096
 #: The target model is fitted on at most so many labelled documents, drawn by hash; the raw model on all documents.
@@ -133,17 +132,74 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """The log ratio of the two models for each of the fixed number of buckets."""
+def models(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The raw and the target count of each of the fixed number of buckets."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, n, m in counts.collect():
         raw[bucket], target[bucket] = n, m
+    return raw, target
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of the two models for each bucket."""
     scale = SMOOTHING * max(1.0, target.sum()) / max(1.0, raw.sum())
     p = (target + scale) / (target.sum() + scale * BUCKETS)
     q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
     return np.log(p) - np.log(q)
 
 
+def fitted_cut(texts: DataFrame, raw: np.ndarray, target: np.ndarray) -> float:
+    """The log weight that tells best good labelled documents from those of quality 0.
+
+    ``texts`` has (doc_id, text, fine, good). A good document is weighed by the target model without itself, as
+    documents without a label are. The cut has the largest difference of the two shares that reach it; it lies half-way
+    between the weights next to it. Without documents of both kinds it's minus infinity.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((raw, target))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = shared.value
+        ratios, total = log_ratios(raw, target), target.sum()
+        scale = SMOOTHING * max(1.0, total) / max(1.0, raw.sum())
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            good = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            weight = np.zeros(len(batch))
+            for first, after in row_groups(offsets, GROUP_BYTES):
+                buckets, rows = grams(data, offsets[first : after + 1])
+                sizes = np.bincount(rows, minlength=after - first)
+                pairs, own = np.unique(rows * BUCKETS + buckets, return_counts=True)
+                row, bucket = pairs // BUCKETS, pairs % BUCKETS
+                less = np.where(good[first:after][row], own, 0)
+                rest = total - np.where(good[first:after], sizes, 0)
+                change = np.log(np.maximum(target[bucket] - less, 0) + scale) - np.log(target[bucket] + scale)
+                change += np.log(total + scale * BUCKETS) - np.log(rest + scale * BUCKETS)[row]
+                sums = np.bincount(row, weights=own * (ratios[bucket] + change), minlength=after - first)
+                weight[first:after] = LENGTH_WEIGHT * sums / np.sqrt(np.maximum(sizes, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(weight)], names=["doc_id", "good", "log_weight"]
+            )
+
+    known = in_arrow(
+        texts.where("good or not fine").select("doc_id", "text", "good"),
+        run,
+        "doc_id long, good boolean, log_weight double",
+    )
+    rows = known.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("log_weight").alias("w")).collect()
+    weights = np.array([r.w for r in rows])
+    good = np.array([r.good for r in rows], dtype=bool)
+    if not good.any() or good.all():
+        return float("-inf")
+    order = np.argsort(weights, kind="stable")
+    weights, good = weights[order], good[order]
+    below = np.cumsum(np.where(good, -1.0 / good.sum(), 1.0 / (~good).sum()))
+    ends = np.append(np.diff(weights) > 0, False)
+    if not ends.any() or below[ends].max() <= 0:
+        return float("-inf")
+    at = int(np.argmax(np.where(ends, below, -np.inf)))
+    return float((weights[at] + weights[at + 1]) / 2)
+
+
 def weighed(docs: DataFrame, ratios: np.ndarray, marks: np.ndarray) -> DataFrame:
     """(doc_id, good, digest, n_grams, log_weight) of each row; ``marks`` are the toxic words."""
     shared = docs.sparkSession.sparkContext.broadcast((ratios.astype(np.float64), marks))
@@ -200,10 +256,10 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, se
     """The sampled documents (doc_id, log_weight, score, n_grams), drawn from (doc_id, text, ...).
 
     ``labels`` (doc_id, quality, toxic) names the target text: rows with quality 1 that aren't toxic; a null toxic isn't.
-    ``share`` of the documents is drawn; if None, the share of quality 1 among the labelled ones and ``MARGIN``. A
-    document without words has the weight 1 of the raw model.
+    ``share`` of the documents is drawn; if None, as many as have a weight that reaches ``fitted_cut``. A document
+    without words has the weight 1 of the raw model.
     Labels of unknown documents, null labels and repeated ones count once at most; a document with labels of both kinds
-    is not target text, and toxic. Text with a word that marks toxic text (``toxic_words``) is never drawn. Repeated
+    is not target text, and toxic. Text with a word that marks toxic text (``toxic_words``) has the weight 0 and is never drawn. Repeated
     rows get the same noise and go together; ties at the threshold are all drawn. A null doc_id is never labelled. Without any good label all weights are equal. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -222,13 +278,14 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, se
         "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")
     )
     texts = stage(docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "fine", "good", "toxic"), "labelled-texts")
-    if share is None:
-        labelled = known.agg(F.avg(F.col("fine").cast("double"))).first()[0]
-        share = min(1.0, labelled + MARGIN) if labelled else 1.0
-    rows = stage(weighed(marked, log_ratios(gram_counts(marked)), toxic_words(texts)), "weights")
+    raw, target = models(gram_counts(marked))
+    rows = stage(weighed(marked, log_ratios(raw, target), toxic_words(texts)), "weights")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest"), 11) + 0.5) / float(1 << 53)
     scored = rows.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform)))
-    k = round(share * rows.count())
+    if share is None:
+        k = rows.where((F.col("log_weight") >= fitted_cut(texts, raw, target)) & (F.col("log_weight") > float("-inf"))).count()
+    else:
+        k = round(share * rows.count())
     scored = scored.where(F.col("log_weight") > float("-inf"))
     return scored.where(F.col("score") >= top_threshold(scored, "score", k)).select(
         "doc_id", "log_weight", "score", "n_grams"
