@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from thermaline.llm import url_boosting
 from thermaline.llm.url_boosting import RULES, filtered_urls, with_lexical_features, with_parts
 
 SCHEMA = "page_id long, url string, html string, host string, label string, features string"
@@ -95,3 +98,14 @@ def test_without_labels_of_both_kinds(spark):
 def test_no_python_in_the_plan(spark):
     plan = filtered_urls(table(spark, many()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_copies_of_one_url_do_not_fill_the_sample(spark, monkeypatch):
+    """The hot URL comes first by hash and has more copies than the sample has places."""
+    monkeypatch.setattr(url_boosting, "LABELLED", 200)
+    urls = many(2)
+    hot = [(f"https://hot.com/de/{i}",) for i in range(3000)]
+    first = spark.createDataFrame(hot, "url string").orderBy(F.xxhash64(F.lit(5), "url")).first()[0]
+    rows = filtered_urls(table(spark, urls + [first] * 300)).collect()
+    assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+    assert len({r.block_probability for r in rows if r.rule is None}) > 2

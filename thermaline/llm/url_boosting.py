@@ -24,7 +24,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: The trees are fitted on at most so many labelled URLs, drawn by hash.
+#: The trees are fitted on at most so many distinct labelled URLs, drawn by hash.
 LABELLED = 20_000
 PRIOR_ROWS = 20.0
 FEATURES = (
@@ -114,7 +114,7 @@ def filtered_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
 
     ``verdict`` is the rule's where one fits, else the trees'; the probability is the trees' own and null where a rule
     decides. Null and empty URLs, and URLs without '://', have an empty host and path and are judged by the trees.
-    Without labelled URLs of both verdicts the more frequent one holds for all (allow, if there is none). Repeated
+    A URL counts once for the trees, however many copies it has. Without drawn URLs of both verdicts the more frequent one holds for all (allow, if there is none). Repeated
     rows and null ids stay as they are; other columns are ignored. An empty table gives no rows.
     """
     judged = with_lexical_features(with_rule(with_parts(pages.select("page_id", "url")), rules))
@@ -126,21 +126,24 @@ def filtered_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
     blocked, known = labelled.agg(F.sum("label"), F.count("*")).first()
     blocked = blocked or 0.0
     judged = with_suffix_rates(judged, labelled)
-    if not 0 < blocked < known:
-        judged = judged.withColumn("prediction", F.lit(1.0 if known and blocked == known else 0.0)).withColumn(
+    sample = stage(
+        judged.where("label is not null")
+        .select("url", "label", *FEATURES)
+        .distinct()
+        .orderBy(F.xxhash64(F.lit(seed), "url"), "url")
+        .limit(LABELLED),
+        "sample",
+    )
+    if sample.select("label").distinct().count() < 2:
+        judged = judged.withColumn("prediction", F.lit(1.0 if 2 * blocked > known else 0.0)).withColumn(
             "block_probability", F.col("prediction")
         )
     else:
-        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(judged)
-        sample = stage(
-            assembled.where("label is not null")
-            .orderBy(F.xxhash64(F.lit(seed), "url"), "page_id")
-            .limit(LABELLED)
-            .select("features", "label"),
-            "sample",
+        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        trees = GBTClassifier(maxIter=15, maxDepth=4, maxBins=32, subsamplingRate=1.0, seed=seed).fit(
+            assembler.transform(sample).select("features", "label")
         )
-        trees = GBTClassifier(maxIter=15, maxDepth=4, maxBins=32, subsamplingRate=1.0, seed=seed).fit(sample)
-        judged = trees.transform(assembled).withColumn(
+        judged = trees.transform(assembler.transform(judged)).withColumn(
             "block_probability", F.element_at(vector_to_array("probability"), 2)
         )
     method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
