@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, each over its whole table, and their SQL."""
+"""Registered queries of the training-data operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermaline.llm.filter_audit import filter_audit
 from thermaline.llm.importance_resampling import resampled
 from thermaline.llm.lpt_shards import lpt_shards
 from thermaline.llm.mtree import top_inner_products
+from thermaline.llm.phrase_mining import collocations
 from thermaline.llm.secret_ownership import secrets
 from thermaline.llm.spaced_seeds import contaminated
 from thermaline.llm.suffix_dedup import remove_repeats
 from thermaline.llm.superminhash import near_duplicates
 from thermaline.llm.temperature_mix import mixed
 from thermaline.llm.token_counts import token_counts
+from thermaline.llm.toxicity_kernel import toxicity
 from thermaline.llm.url_boosting import filtered_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +78,20 @@ def url_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered_urls(table(spark, sf_dir, "pages"))
 
 
+def string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents whose id has a crc32 divisible by 5 are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), held_out)
+
+
+def filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def dynamic_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_importance_resampling": importance_resampling,
@@ -87,8 +104,7 @@ def registered() -> dict[str, Query]:
         "op8_secret_ownership": secret_ownership,
         "op9_mtree_search": mtree_search,
         "op10_url_boosting": url_boosting,
+        "op11_string_kernel": string_kernel_toxicity,
+        "op12_filter_orders": filter_orders,
+        "op13_dynamic_itemsets": dynamic_itemsets,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
