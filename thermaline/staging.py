@@ -31,17 +31,21 @@ def staging_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the staging folder, never reused."""
-    return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def staging_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh path under the staging folder, never reused; deleted with the innermost scope, or the one ``outer`` of it."""
+    path = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES[:-1][-1:] if outer else _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
 
+def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet and read it back.
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back."""
+    With ``outer`` it outlives the innermost scope: so a block's result is kept while what it staged on the way goes.
+    """
     spark = df.sparkSession
-    path = staging_path(spark, name)
-    for scope in _SCOPES[-1:]:
-        scope.append(path)
+    path = staging_path(spark, name, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
