@@ -8,7 +8,10 @@ its exact total after one full cycle of its own.
 
 What tasks must know is when a subphrase reached the threshold. That is kept in a table of fixed size: a byte for each
 hash slot, the step at which the first phrase of the slot got there. Phrases that share a slot are only activated
-earlier than they need be, in each scan alike, and still for one full cycle; so totals stay exact.
+earlier than they need be, in each scan alike, and still for one full cycle; so none is missed.
+
+Scans count 64-bit keys, as most phrases occur once or twice and needn't be spelled out. A last scan spells the frequent
+ones and counts them by their text, so phrases that share a key do no harm.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 
 from thermaline.llm.hashing import mix, powers, row_groups, utf8
 from thermaline.llm.tasks import in_arrow
-from thermaline.staging import stage, staging_path, staging_scope
+from thermaline.staging import discard, stage, staging_path, staging_scope
 
-SHARDS = 4
+SHARDS = 3
 #: Slots of the table of steps, for each length; its size doesn't grow with the corpus.
 SLOTS = 1 << 21
 NEVER = 255
@@ -96,148 +99,166 @@ def _word_keys(words: pa.Array) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + sizes)
 
 
-def _phrase_keys(keys: np.ndarray, langs: np.ndarray, length: int, slots: int) -> np.ndarray:
-    """Hash slots of the phrases of ``length`` words that begin at each word."""
-    found = langs + np.uint64(length)
+def _phrase_keys(keys: np.ndarray, langs: np.ndarray, length: int) -> np.ndarray:
+    """64-bit keys of the phrases of ``length`` words that begin at each word."""
     count = max(0, len(keys) - length + 1)
-    found = found[:count]
+    found = langs[:count] + np.uint64(length)
     for i in range(length):
         found = mix(found * _STEP + keys[i : i + count])
-    return (found % np.uint64(slots)).astype(np.int64)
-
-
-def _lang_keys(langs: list[str]) -> dict[str, np.uint64]:
-    return {lang: _word_keys(pa.array([lang.encode()], pa.large_binary()))[0] for lang in set(langs)}
-
-
-def _activation(slots: np.ndarray | None, reached: list[np.ndarray], length: int, count: int) -> np.ndarray:
-    """The step after which the phrase at each word is active; single words are so from the start."""
-    if length == 1:
-        return np.full(count, -1, dtype=np.int16)
-    steps = reached[length - 2][slots].astype(np.int16)
-    return np.maximum(steps[:-1], steps[1:])
+    return found
+
+
+class Range:
+    """The phrases of one range of texts."""
+
+    def __init__(self, words: pa.Array, piece: np.ndarray, rows: np.ndarray, langs: np.ndarray, lang_keys: np.ndarray):
+        encoded = words.dictionary_encode()
+        self.dictionary, self.places = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        self.words, self.lang = _word_keys(self.dictionary)[self.places], langs[rows]
+        self.lang_keys, self.piece, self.rows = lang_keys[self.lang], piece, rows
+
+    def keys(self, length: int) -> np.ndarray:
+        return _phrase_keys(self.words, self.lang_keys, length)
+
+    def whole(self, length: int) -> np.ndarray:
+        """Whether the words from each one on are in one piece."""
+        count = max(0, len(self.places) - length + 1)
+        return (self.piece[:count] == self.piece[length - 1 :]) & (self.rows[:count] == self.rows[length - 1 :])
+
+    def spelled(self, at: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(languages, texts, counts) of the distinct phrases that begin at ``at``."""
+        group, width = np.unique(self.lang[at], return_inverse=True)[1], len(self.dictionary)
+        for i in range(length):
+            if i > 1:
+                group = np.unique(group, return_inverse=True)[1]
+            group = group * width + self.places[at + i]
+        _, head, n = np.unique(group, return_index=True, return_counts=True)
+        head = at[head]
+        phrase = self.dictionary.take(pa.array(self.places[head]))
+        for i in range(1, length):
+            following = self.dictionary.take(pa.array(self.places[head + i]))
+            phrase = pc.binary_join_element_wise(phrase, following, pa.scalar(b" ", pa.large_binary()))
+        return self.lang[head], phrase, n
+
+
+def _text_ranges(batch: pa.RecordBatch) -> tuple[list[str], Iterator[Range]]:
+    """The languages of a batch of (lang, text), and its ranges."""
+    names = batch.column(0).to_pylist()
+    order = sorted(set(names))
+    code = {name: i for i, name in enumerate(order)}
+    langs = np.array([code[name] for name in names], dtype=np.int64)
+    lang_keys = _word_keys(pa.array([name.encode() for name in order], pa.large_binary()))
+    data, offsets = utf8(batch.column(1))
+    return order, (Range(*found, langs, lang_keys) for found in pieces(data, offsets))
 
 
 def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached: list[np.ndarray]) -> DataFrame:
-    """(lang, length, phrase, n) of the phrases active at ``step`` in one of ``shards`` shards of (lang, text).
+    """(length, key, n) of the phrases active at ``step`` in one of ``shards`` shards of (lang, text).
 
-    ``reached`` holds, for each length but the longest, the steps at which hash slots reached the threshold. Counts are
-    combined in ranges of texts, by the words' places in a dictionary, before rows leave Python.
+    ``reached`` holds, for each length, the steps at which hash slots reached the threshold. Single words are active
+    from the start, longer phrases after both subphrases got there, each for one cycle.
     """
     shared = shard.sparkSession.sparkContext.broadcast(reached)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = shared.value
+        slots = np.uint64(len(reached[0]))
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            hashes = _lang_keys(names)
-            order = sorted(hashes)
-            codes = np.array([order.index(name) for name in names], dtype=np.int64)
-            lang_keys = np.array([hashes[name] for name in order], dtype=np.uint64)
-            data, offsets = utf8(batch.column(1))
-            for words, piece, rows in pieces(data, offsets):
-                encoded = words.dictionary_encode()
-                dictionary = encoded.dictionary
-                places = encoded.indices.to_numpy().astype(np.int64)
-                width = len(dictionary)
-                keys, lang = _word_keys(dictionary)[places], codes[rows]
-                local = np.unique(lang, return_inverse=True)[1]
-                slots = None
+            for part in _text_ranges(batch)[1]:
+                steps = None
                 for length in range(1, longest + 1):
-                    count = len(places) - length + 1
-                    if count <= 0:
+                    keys, ok = part.keys(length), part.whole(length)
+                    active = np.maximum(steps[:-1], steps[1:]) if length > 1 else np.full(len(keys), -1, dtype=np.int16)
+                    found, n = np.unique(keys[ok & (active < step) & (step <= active + shards)], return_counts=True)
+                    if len(found):
+                        columns = [np.full(len(found), length, dtype=np.int32), found.view(np.int64), n]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "key", "n"])
+                    steps = reached[length - 1][(keys % slots).astype(np.int64)].astype(np.int16)
+                    if (steps == NEVER).all():
                         break
-                    active = _activation(slots, reached, length, count)
-                    slots = _phrase_keys(keys, lang_keys[lang], length, len(reached[0]))
-                    ok = (piece[:count] == piece[length - 1 :]) & (rows[:count] == rows[length - 1 :])
-                    ok &= (active < step) & (step <= active + shards)
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    group = local[at]
-                    for i in range(length):
-                        if i > 1:
-                            group = np.unique(group, return_inverse=True)[1]
-                        group = group * width + places[at + i]
-                    _, head, n = np.unique(group, return_index=True, return_counts=True)
-                    head = at[head]
-                    phrase = dictionary.take(pa.array(places[head]))
-                    for i in range(1, length):
-                        following = dictionary.take(pa.array(places[head + i]))
-                        phrase = pc.binary_join_element_wise(phrase, following, pa.scalar(b" ", pa.large_binary()))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([order[code] for code in lang[head].tolist()], pa.string()),
-                            pa.array(np.full(len(head), length, dtype=np.int32)),
-                            pc.cast(phrase, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True)),
-                            pa.array(n.astype(np.int64)),
-                        ],
-                        names=["lang", "length", "phrase", "n"],
-                    )
-
-    return in_arrow(shard, run, _COUNTS)
 
+    return in_arrow(shard, run, "length int, key long, n long")
 
-def reached_slots(counts: DataFrame, least: int, length: int, slots: int) -> np.ndarray:
-    """Whether each slot has a phrase of ``length`` words with ``least`` occurrences in ``counts``.
 
-    Tasks mark slots in words of 64 bits, which are joined by a bitwise or; the driver reads at most ``slots / 64``.
-    """
+def spelled_counts(corpus: DataFrame, longest: int, reached: list[np.ndarray]) -> DataFrame:
+    """(lang, length, phrase, n) of all phrases in slots that reached the threshold; length 0 counts all words."""
+    shared = corpus.sparkSession.sparkContext.broadcast([steps != NEVER for steps in reached])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(slots, dtype=bool)
+        frequent = shared.value
+        slots = np.uint64(len(frequent[0]))
         for batch in batches:
-            if not len(batch):
-                continue
-            langs = batch.column(0).to_pylist()
-            hashes = _lang_keys(langs)
-            words = pc.split_pattern(batch.column(1).cast(pa.large_binary()), b" ").flatten().dictionary_encode()
-            keys = _word_keys(words.dictionary)[words.indices.to_numpy()]
-            found = np.array([hashes[lang] for lang in langs], dtype=np.uint64) + np.uint64(length)
-            for i in range(length):
-                found = mix(found * _STEP + keys[i::length])
-            marks[(found % np.uint64(slots)).astype(np.int64)] = True
-        bits = np.packbits(marks, bitorder="little").view(np.int64)
-        held = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(bits[held])], names=["at", "bits"])
-
-    frequent = counts.where((F.col("length") == length) & (F.col("n") >= least)).select("lang", "phrase")
-    merged = in_arrow(frequent, run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+            names, parts = _text_ranges(batch)
+            total = np.zeros(len(names), dtype=np.int64)
+            for part in parts:
+                total += np.bincount(part.lang, minlength=len(names))
+                for length in range(1, longest + 1):
+                    held = frequent[length - 1][(part.keys(length) % slots).astype(np.int64)]
+                    at = np.flatnonzero(held & part.whole(length))
+                    if not len(at):
+                        break
+                    lang, phrase, n = part.spelled(at, length)
+                    yield _counted(names, lang, length, phrase, n)
+            lang = np.flatnonzero(total)
+            yield _counted(names, lang, 0, pa.array([b""] * len(lang), pa.large_binary()), total[lang])
+
+    return in_arrow(corpus, run, _COUNTS)
+
+
+def _counted(names: list[str], lang: np.ndarray, length: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    text = pc.cast(phrase, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+    columns = [pa.array([names[code] for code in lang.tolist()], pa.string()), pa.array(np.full(len(lang), length, dtype=np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["lang", "length", "phrase", "n"])
+
+
+def reached_slots(counts: DataFrame, least: int, length: int, slots: int) -> np.ndarray:
+    """Whether each slot has a key of phrases of ``length`` words with ``least`` occurrences in ``counts``.
+
+    Slots are marked in words of 64 bits, joined by a bitwise or; so the driver reads at most ``slots / 64`` rows.
+    """
+    frequent = counts.where((F.col("length") == length) & (F.col("n") >= least))
+    slot = f"pmod(key, {slots})"
+    marks = frequent.selectExpr(f"{slot} div 64 as at", f"shiftleft(1L, cast({slot} % 64 as int)) as bit")
+    merged = marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     found = np.zeros(slots // 64, dtype=np.int64)
     found[merged.column(0).to_numpy()] = merged.column(1).to_numpy()
     return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
 
 
 def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """(lang, length, phrase, n): exact totals of all words, and of all phrases that can have ``least`` occurrences.
+    """(lang, length, phrase, n): exact totals of all phrases with ``least`` occurrences, and some others.
 
-    ``docs`` has (lang, text) without null languages. One job scans one shard and writes the running totals, so a lost
-    executor repeats a part of one scan. There are at most ``longest`` cycles.
-    ``slots`` is a multiple of 64.
+    ``docs`` has (lang, text) without nulls; length 0 stands for all words of a language. One job scans one shard and
+    writes the running totals, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
+    the last scan. ``slots`` is a power of two from 64 on.
     """
     spark = docs.sparkSession
     path = staging_path(spark, "shards")
     sharded = docs.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
     sharded.write.partitionBy("shard").parquet(path)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
-    reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
+    reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest)]
     ends = [shards - 1] + [-1] * (longest - 1)
-    totals = spark.createDataFrame([], _COUNTS)
-    step = 0
+    totals, written, step = spark.createDataFrame([], "length int, key long, n long"), None, 0
     while step <= max(ends):
         shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
         scanned = shard_counts(shard, step, shards, longest, reached)
-        totals = stage(
-            totals.unionByName(scanned).groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")), "phrases"
-        )
-        for length in range(1, longest):
+        before, written = written, staging_path(spark, "phrases")
+        totals.unionByName(scanned).groupBy("length", "key").agg(F.sum("n").alias("n")).write.parquet(written)
+        totals = spark.read.schema(totals.schema).parquet(written)
+        if before:
+            discard(spark, before)
+        for length in range(1, longest + 1):
             if step <= ends[length - 1]:
                 new = reached_slots(totals, least, length, slots) & (reached[length - 1] == NEVER)
                 if new.any():
                     reached[length - 1] = np.where(new, np.uint8(step), reached[length - 1])
-                    ends[length] = step + shards
+                    if length < longest:
+                        ends[length] = step + shards
         step += 1
-    return totals
+    discard(spark, written)
+    spelled = spelled_counts(corpus.select("lang", "text"), longest, reached)
+    return stage(spelled.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")), "spelled")
 
 
 def scored_phrases(counts: DataFrame, longest: int, least: int) -> DataFrame:
@@ -246,7 +267,7 @@ def scored_phrases(counts: DataFrame, longest: int, least: int) -> DataFrame:
     A cut after the first k words has the score floor(1000000 * a * a / (l * r)); of equal scores the smallest k counts.
     Parts are found by joins with the frequent phrases, whose written table has a true size.
     """
-    frequent = counts.where(F.col("n") >= least)
+    frequent = counts.where((F.col("length") > 0) & (F.col("n") >= least))
     heads = frequent.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
     tails = frequent.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r"))
     words = F.split("phrase", " ")
@@ -317,7 +338,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with staging_scope(docs.sparkSession):
         counts = phrase_counts(docs, longest, least)
-        sizes = counts.where("length = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+        sizes = counts.where("length = 0").select("lang", "n")
         candidates = stage(scored_phrases(counts, longest, least), "candidates")
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         ranked = without_contained(candidates, longest).withColumn("rank", F.row_number().over(order))
