@@ -50,6 +50,12 @@ def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside, once the block has written its results elsewhere."""
@@ -58,5 +64,4 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            discard(spark, path)
