@@ -84,8 +84,36 @@ def test_most_entries_are_not_computed():
 
     page.vectors = page.vectors.view(Counted)
     for at in range(0, len(vectors), 333):
-        got = page.search(vectors[at], at, 5, mtree.NONE, largest)
+        got = page.search(vectors[at], at, 5, mtree.NONE)
         scores = vectors @ vectors[at]
         scores[at] = -(2**62)
         assert [s for s, _ in got] == sorted(scores.tolist(), reverse=True)[:5]
     assert np.mean(computed) * 12 < len(vectors) * 12 and sum(computed) < 0.5 * len(vectors) * len(range(0, len(vectors), 333))
+
+
+def test_pages_are_dropped_before_they_are_joined(spark):
+    """On clustered vectors the directory alone rules out most pages, and what is left gives the exact result."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-2000, 2000, (32, 8))
+    vectors = np.repeat(centres, 40, axis=0) + rng.integers(-10, 10, (32 * 40, 8))
+    largest, width = int((vectors**2).sum(axis=1).max()), 8
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, v array<long>")
+    routes = mtree._routes(mtree._lifted(vectors, largest), 32)
+    placed = mtree.assigned(df, routes, width, largest)
+    pages = mtree.pages_of(placed, width, 40, largest)
+    blocks = mtree.blocks_of(placed.where("vec_id % 20 = 0"), width, 2)
+    bounds = {i: int(np.sort(vectors @ vectors[i])[-6]) for i in range(0, len(vectors), 20)}
+    known = spark.createDataFrame([(bounds,)], "m map<long, long>")
+    bounded = blocks.join(known).selectExpr("block", "query_ids", "queries", "transform(query_ids, q -> m[q]) as bounds")
+    pairs = mtree.admitted(bounded, pages, routes, width, largest)
+    assert 0 < pairs.count() < 0.5 * pages.count() * blocks.count()
+    got = sorted(tuple(r) for r in mtree._hits(mtree.searched(pairs, bounded, pages, width, 5, largest)).collect())
+    for i in bounds:
+        scores = sorted((int(s) for j, s in enumerate(vectors @ vectors[i]) if j != i), reverse=True)[:5]
+        assert sorted((s for q, _, s in got if q == i), reverse=True)[:5] == scores
+
+
+def test_sums_beyond_the_whole_numbers_of_doubles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-(2**29), 2**29, 4)).tolist()) for i in range(60)]
+    assert found(spark, rows, 5) == brute(rows, 5, lambda i: i % 20 == 0)
