@@ -211,25 +211,27 @@ def _counted(names: list[str], lang: np.ndarray, length: int, phrase: pa.Array,
     return pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["lang", "length", "phrase", "n"])
 
 
-def reached_slots(counts: DataFrame, least: int, length: int, slots: int) -> np.ndarray:
-    """Whether each slot has a key of phrases of ``length`` words with ``least`` occurrences in ``counts``.
+def reached_slots(counts: DataFrame, least: int, longest: int, slots: int) -> list[np.ndarray]:
+    """For each length, whether each slot has a key with ``least`` occurrences in ``counts``.
 
-    Slots are marked in words of 64 bits, joined by a bitwise or; so the driver reads at most ``slots / 64`` rows.
+    Slots are marked in words of 64 bits, joined by a bitwise or; so the driver reads at most ``slots / 64`` rows a length.
     """
-    frequent = counts.where((F.col("length") == length) & (F.col("n") >= least))
     slot = f"pmod(key, {slots})"
-    marks = frequent.selectExpr(f"{slot} div 64 as at", f"shiftleft(1L, cast({slot} % 64 as int)) as bit")
-    merged = marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    found = np.zeros(slots // 64, dtype=np.int64)
-    found[merged.column(0).to_numpy()] = merged.column(1).to_numpy()
-    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+    marks = counts.where(F.col("n") >= least).selectExpr(
+        "length", f"{slot} div 64 as at", f"shiftleft(1L, cast({slot} % 64 as int)) as bit"
+    )
+    merged = marks.groupBy("length", "at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    length, at, bits = (column.to_numpy() for column in merged.columns)
+    found = np.zeros((longest, slots // 64), dtype=np.int64)
+    found[length - 1, at] = bits
+    return [np.unpackbits(row.view(np.uint8), bitorder="little").astype(bool) for row in found]
 
 
 def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(lang, length, phrase, n): exact totals of all phrases with ``least`` occurrences, and some others.
 
     ``docs`` has (lang, text) without nulls; length 0 stands for all words of a language. One job scans one shard and
-    writes the running totals, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
+    writes the running totals of lengths still counted, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
     the last scan. ``slots`` is a power of two from 64 on.
     """
     spark = docs.sparkSession
@@ -244,13 +246,15 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
         shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
         scanned = shard_counts(shard, step, shards, longest, reached)
         before, written = written, staging_path(spark, "phrases")
+        open_lengths = [length for length in range(1, longest + 1) if step <= ends[length - 1]]
+        totals = totals.where(F.col("length").isin(open_lengths))
         totals.unionByName(scanned).groupBy("length", "key").agg(F.sum("n").alias("n")).write.parquet(written)
         totals = spark.read.schema(totals.schema).parquet(written)
         if before:
             discard(spark, before)
-        for length in range(1, longest + 1):
+        for length, frequent in enumerate(reached_slots(totals, least, longest, slots), 1):
             if step <= ends[length - 1]:
-                new = reached_slots(totals, least, length, slots) & (reached[length - 1] == NEVER)
+                new = frequent & (reached[length - 1] == NEVER)
                 if new.any():
                     reached[length - 1] = np.where(new, np.uint8(step), reached[length - 1])
                     if length < longest:
