@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 from frames import at, readings, rows
+from pyspark.sql import functions as F
 
 from thermaline.operators import audit
 from thermaline.schema import PERIODS
@@ -82,6 +85,44 @@ def test_sensor_sets(spark):
     assert walls == [(1, 1, 2, "1", "9"), (2, 2, 1, "4", "")]
 
 
+def test_boxes_without_sensors_have_a_line(spark):
+    r = frame(spark).withColumn("sensor_id", F.when(F.col("box_id") == 1, F.col("sensor_id")))
+    got = rows(audit.sensor_availability(r), "period", "box_id", "n_found", "n_missing", "found")
+    assert got == [
+        ("Period1", 1, 2, 14, "1,9"), ("Period1", 2, 0, 16, ""), ("Period2", 1, 0, 16, ""), ("Period2", 2, 0, 16, ""),
+    ]
+
+
+def test_missing_sensors_on_the_grid_of_all_bins(spark):
+    periods = [("Period1", datetime(2025, 10, 23), datetime(2025, 10, 23, 0, 29, 59))]
+    levels = spark.createDataFrame(
+        [("Period1", 1, datetime(2025, 10, 23, 0, 10), s) for s in (1, 2, 17)] + [("Period1", 2, datetime(2025, 10, 24), 1)],
+        "period string, box_id int, timestamp timestamp_ntz, sensor_id int",
+    )
+    got = audit.missing_sensors_on_grid(levels, "10 minutes", periods)
+    assert got.count() == 3 * 2 * 16 - 2
+    held = rows(got.where("box_id = 1 and minute(timestamp) = 10"), "sensor_id")
+    assert [s for (s,) in held] == list(range(3, 17))
+
+
+def test_failed_files_count_in_the_report(spark):
+    r = frame(spark)
+    status = spark.createDataFrame(
+        [("Period1", "good", 1, 1, None), ("Period1", "bad", 1, 2, "no header"), ("Period1", "odd", None, None, "unparsable name"),
+         ("Period2", "lost", 2, 1, "no header")],
+        "period string, file string, box_id int, sensor_id int, reason string",
+    )
+    report = audit.audit_report(r, status)
+    assert rows(report.where("level = 'period'"), "period", "n_files", "n_failed", "rows") == [
+        ("Period1", 6, 2, 6), ("Period2", 1, 1, 0),
+    ]
+    assert rows(report.where("level = 'box'"), "period", "box_id", "n_files", "n_failed") == [
+        ("Period1", 1, 3, 1), ("Period1", 2, 2, 0), ("Period2", 2, 1, 1),
+    ]
+    assert "n_failed" not in audit.audit_report(r).columns
+    assert rows(audit.failed_files(status), "file") == [("bad",), ("lost",), ("odd",)]
+
+
 def test_period_and_sensor_summary(spark):
     r = frame(spark)
     (p,) = audit.period_summary(r).collect()

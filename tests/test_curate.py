@@ -97,6 +97,19 @@ def test_export(spark, tmp_path):
         sinks.export_level(df.where("x > 2"), str(tmp_path), "Wall")
 
 
+def test_an_empty_or_failed_export_leaves_the_earlier_one(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "id / 2 as x")
+    path = sinks.export_level(df, str(tmp_path), "Box", "Period1")
+    with pytest.raises(ValueError, match="No data"):
+        sinks.export_level(df.where("id < 0"), str(tmp_path), "Box", "Period1")
+    with pytest.raises(Exception):
+        sinks.export_level(df.selectExpr("raise_error('lost') as id"), str(tmp_path), "Box", "Period1")
+    assert spark.read.csv(path, header=True).count() == 10
+    sinks.export_level(df.limit(3), str(tmp_path), "Box", "Period1")
+    assert spark.read.csv(path, header=True).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["thermal_data_box_Period1.csv"]
+
+
 def test_repaired_clocks_are_limited_to_named_files(spark):
     df = spark.createDataFrame(
         [("GW2.1_121125.csv", 0), ("GW2.1_121125.csv", 1), ("GW2.2_121125.csv", 0)],

@@ -84,6 +84,18 @@ def minute(m):
     return datetime(2025, 10, 23, 0, m)
 
 
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    names = ["GW1.2_b c.csv", "GW1.3_50%25.csv", "GW1.4_a+b.csv", "GW_1.5_ü#1.csv"]
+    folder = tmp_path / "Period1"
+    folder.mkdir()
+    for name in names:
+        lines = [f"# {i}" for i in range(14)] + ["Date/Time,Out Air temp", "11/1/2025 10:00,20.5"]
+        (folder / name).write_text("\n".join(lines), encoding="utf-8")
+    loaded = lf.load_logger_files(spark, str(tmp_path))
+    assert {r["file"] for r in loaded.files.collect()} == set(names)
+    assert rows(loaded.readings, "file", "sensor_id") == sorted(zip(names, [2, 3, 4, 5]))
+
+
 def test_statuses(loaded):
     reasons = {r["file"]: r["reason"] for r in loaded.files.collect()}
     assert len(reasons) == 18

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from thermaline.functions.timebins import floor_to, from_micros, micros
 from thermaline.operators import lag as lag_module
 from thermaline.operators import series
+from thermaline.operators.chunks import row_positions
 from thermaline.operators.lag import thermal_lag
 
 
@@ -83,6 +84,18 @@ def test_change_events_and_regimes(spark):
     assert [r for _, r in regimes] == [1, 1, 2, 2, 3]
 
 
+def test_rows_with_null_keys_are_a_series_of_their_own(spark):
+    df = spark.createDataFrame(
+        [(1, at(0), "a"), (None, at(0), "a"), (None, at(10), "b"), (1, at(50), "a"), (None, at(60), "b")],
+        "key int, timestamp timestamp_ntz, wall_type string",
+    )
+    got = rows(series.with_regimes(df, ["key"], chunk="30 minutes"), "key", "timestamp", "regime_id")
+    assert got == [(1, at(0), 1), (1, at(50), 1), (None, at(0), 1), (None, at(10), 2), (None, at(60), 2)]
+    assert series.treatment_runs(df, ["key"]).where("key is null").count() == 2
+    placed = row_positions(df, ["key"], ["timestamp"], F.minute("timestamp") >= 30)
+    assert rows(placed.where("key is null"), "timestamp", "row_index") == [(at(0), 0), (at(10), 1), (at(60), 2)]
+
+
 @pytest.mark.parametrize("chunk", ["30 minutes", "70 minutes", "30 days"])
 def test_regimes_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(3)

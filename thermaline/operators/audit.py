@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermaline.functions.columns import box_name
+from thermaline.functions.columns import bin_start, box_name
 from thermaline.functions.timebins import to_seconds_text, whole_days
 from thermaline.operators.levels import with_topology
 from thermaline.operators.selection import with_range_flag
 from thermaline.schema import (
+    BOX_KEYS,
     BOX_NAMES,
     MEASURES,
     PERIODS,
@@ -24,6 +25,7 @@ from thermaline.schema import (
     SENSORS_PER_BOX,
     SENSORS_PER_WALL,
     WALL_SENSORS,
+    periods_table,
     small_table,
 )
 from thermaline.staging import stage
@@ -170,13 +172,17 @@ def sensor_mapping(readings: DataFrame, order: str = "file_order") -> DataFrame:
 def sensor_availability(
     readings: DataFrame, group: Sequence[str] = ("period", "box_id")
 ) -> DataFrame:
-    """Sensors found (any id) and expected ones missing per group, as counts and sorted lists."""
-    sensors = readings.where(F.col("sensor_id").isNotNull()).groupBy(*group, "sensor_id").agg(
-        F.bit_or(_bit(F.col("sensor_id"))).alias("bit")
-    )
+    """Sensors found (any id) and expected ones missing per group, as counts and sorted lists.
+
+    A group whose ids are all NULL has none. Per period and box, every expected box has a line, also without rows.
+    """
+    sensors = readings.groupBy(*group, "sensor_id").agg(F.bit_or(_bit(F.col("sensor_id"))).alias("bit"))
     per_group = sensors.groupBy(*group).agg(
         F.array_sort(F.collect_list("sensor_id")).alias("ids"), F.bit_or("bit").alias("mask")
     )
+    if list(group) == ["period", "box_id"]:
+        per_group = per_group.join(_expected_boxes(readings), list(group), "full")
+        per_group = per_group.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     absent = _sensors_in(F.col("mask"), present=False)
     return per_group.select(
         *group,
@@ -201,6 +207,25 @@ def missing_sensors(readings: DataFrame, group: Sequence[str] = ("period", "box_
     )
 
 
+def missing_sensors_on_grid(
+    levels: DataFrame, width: str, periods: Sequence[tuple] = tuple(PERIODS)
+) -> DataFrame:
+    """Expected sensors without a row, per period, box and bin of ``width``, bins without any row included.
+
+    ``levels`` has binned rows. The grid of all bins of the periods is generated by Spark and meets one bit mask per bin;
+    a sensor with an id outside the expected ones is of no account, nor are rows outside the periods.
+    """
+    masks = levels.groupBy(*BOX_KEYS).agg(F.bit_or(_bit(F.col("sensor_id"))).alias("mask"))
+    step = F.expr(f"interval '{width.split()[0]}' {width.split()[1]}")
+    ends = periods_table(levels.sparkSession, periods)
+    ends = ends.withColumn("first", bin_start("start", width)).withColumn("last", bin_start("end", width))
+    days = ends.select("period", F.explode(F.sequence("first", "last", step)).alias("timestamp"))
+    grid = days.withColumn("box_id", F.explode(F.array(*[F.lit(box) for box in BOX_NAMES])))
+    return grid.join(masks, BOX_KEYS, "left").select(
+        *BOX_KEYS, F.explode(_sensors_in(F.col("mask"), present=False)).alias("sensor_id")
+    )
+
+
 def coverage(readings: DataFrame) -> DataFrame:
     """Sensors present per (period, box, wall), split by position, of four expected."""
     sensors = with_topology(readings.select("period", "box_id", "sensor_id").distinct())
@@ -394,9 +419,18 @@ def rows_per_day(readings: DataFrame, expected: int = READINGS_PER_DAY) -> DataF
     )
 
 
-def audit_report(readings: DataFrame) -> DataFrame:
-    """Totals per period, per box and per wall in one table (``level`` names the roll-up)."""
-    files = with_topology(file_table(readings))
+def audit_report(readings: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """Totals per period, per box and per wall in one table (``level`` names the roll-up).
+
+    ``status`` has every file found (period, file, box_id, sensor_id, reason). With it, files that couldn't be read
+    count in ``n_files`` too, without rows, and ``n_failed`` tells how many they are; a file without a box or sensor in
+    its name is in the totals of its period alone. ``failed_files`` lists them.
+    """
+    table = file_table(readings).withColumn("failed", F.lit(False))
+    if status is not None:
+        lost = failed_files(status).drop("reason").withColumn("failed", F.lit(True)).withColumn("rows", F.lit(0).cast("long"))
+        table = table.unionByName(lost, allowMissingColumns=True)
+    files = with_topology(table)
     grouped = files.groupingSets(
         [["period"], ["period", "box_id"], ["period", "box_id", "wall_id"]],
         "period",
@@ -405,11 +439,12 @@ def audit_report(readings: DataFrame) -> DataFrame:
     ).agg(
         (F.grouping("box_id") + F.grouping("wall_id")).alias("folded"),
         F.count_distinct("file").alias("n_files"),
+        F.count_if("failed").alias("n_failed"),
         F.sum("rows").alias("rows"),
         F.min("min_time").alias("min_time"),
         F.max("max_time").alias("max_time"),
         *[F.sum(f"missing_{m}").alias(f"missing_{m}") for m in CHECKED],
-        F.bit_or(_bit(F.col("sensor_id"))).alias("mask"),
+        F.bit_or(F.when(~F.col("failed"), _bit(F.col("sensor_id")))).alias("mask"),
     )
     level = (
         F.when(F.col("folded") == 2, "period").when(F.col("folded") == 1, "box").otherwise("wall")
@@ -418,12 +453,14 @@ def audit_report(readings: DataFrame) -> DataFrame:
     return (
         grouped.withColumn("level", level)
         .where((F.col("level") != "wall") | F.col("wall_id").isNotNull())
+        .where((F.col("level") == "period") | F.col("box_id").isNotNull() | (F.col("n_files") > F.col("n_failed")))
         .select(
             "level",
             "period",
             "box_id",
             "wall_id",
             "n_files",
+            *([] if status is None else ["n_failed"]),
             "rows",
             "min_time",
             "max_time",
@@ -433,6 +470,11 @@ def audit_report(readings: DataFrame) -> DataFrame:
     )
 
 
+def failed_files(status: DataFrame) -> DataFrame:
+    """The files that couldn't be read, and why."""
+    return status.where(F.col("reason").isNotNull()).select("period", "file", "box_id", "sensor_id", "reason")
+
+
 def readiness(readings: DataFrame, periods: Sequence[tuple] = tuple(PERIODS)) -> DataFrame:
     """One row - does every expected period have data?"""
     names = [name for name, *_ in periods]

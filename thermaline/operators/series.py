@@ -17,7 +17,7 @@ from thermaline.functions.timebins import (
     from_micros,
     micros,
 )
-from thermaline.operators.chunks import row_positions
+from thermaline.operators.chunks import row_positions, series_of
 from thermaline.staging import stage
 
 # Start and step of the regenerated clock.
@@ -125,12 +125,13 @@ def _numbered_runs(
         ),
         "runs",
     )
-    chunks = runs.groupBy(*keys, "_chunk").agg(
+    runs = runs.withColumn("_series", series_of(keys))
+    chunks = runs.groupBy("_series", "_chunk").agg(
         F.min_by(category, "_run").alias("_first"),
         F.max_by(category, "_run").alias("_last"),
         F.count(F.lit(1)).alias("_runs"),
     )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
+    along = Window.partitionBy("_series").orderBy("_chunk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     links = (
         chunks.withColumn(
@@ -145,13 +146,13 @@ def _numbered_runs(
             F.coalesce(F.sum(F.col("_runs") - F.col("_joined")).over(before), F.lit(0))
             - F.col("_joined"),
         )
-        .select(*keys, "_chunk", "_joined", "_offset")
+        .select("_series", "_chunk", "_joined", "_offset")
     )
     return (
-        runs.join(links, [*keys, "_chunk"])
+        runs.join(links, ["_series", "_chunk"])
         .withColumn("regime_id", F.col("_offset") + F.col("_run"))
         .withColumn("changed", ~((F.col("_run") == 1) & (F.col("_joined") == 1)))
-        .drop("_joined", "_offset")
+        .drop("_series", "_joined", "_offset")
     )
 
 
@@ -177,11 +178,12 @@ def with_regimes(
     """``regime_id`` on every row, 1..k along each series."""
     marked = stage(_marked_runs(df, keys, category, timestamp, chunk), "marked-runs")
     regimes = _numbered_runs(marked, keys, category, timestamp).select(
-        *keys, "_chunk", "_run", "regime_id"
+        series_of(keys).alias("_series"), "_chunk", "_run", "regime_id"
     )
     return (
-        marked.join(regimes, [*keys, "_chunk", "_run"])
-        .drop("_chunk", "_run")
+        marked.withColumn("_series", series_of(keys))
+        .join(regimes, ["_series", "_chunk", "_run"])
+        .drop("_series", "_chunk", "_run")
     )
 
 

@@ -306,6 +306,9 @@ def registered() -> dict[str, Query]:
         "missing_sensors_by_bin": on_levels(
             lambda lv: audit.missing_sensors(lv.sensor, BOX_KEYS), "10 minutes"
         ),
+        "missing_sensors_on_grid": on_levels(
+            lambda lv: audit.missing_sensors_on_grid(lv.sensor, "10 minutes", EVENT_PERIODS), "10 minutes"
+        ),
         # audits
         "missing_profile": on_readings(audit.missing_profile),
         "missing_by_column": on_readings(audit.missing_by_column),

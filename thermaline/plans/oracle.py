@@ -526,6 +526,13 @@ EXCEPT SELECT period, box_id, sensor_id FROM r WHERE NOT (period = 'Period2' AND
         "missing_sensors_by_bin": f"""WITH {sensor('10 minutes')}
 SELECT period, box_id, bin AS timestamp, CAST(g.s AS INTEGER) AS sensor_id
 FROM (SELECT DISTINCT period, box_id, bin FROM s), range(1, 17) g(s)
+EXCEPT SELECT period, box_id, bin, sensor_id FROM s""",
+        "missing_sensors_on_grid": f"""WITH {sensor('10 minutes')},
+p(period, a, b) AS (VALUES ('Period1', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-11 23:59:59'),
+  ('Period2', TIMESTAMP '2024-01-18 11:00:00', TIMESTAMP '2024-01-26 11:59:59')),
+grid AS (SELECT period, unnest(generate_series(a, b, INTERVAL 10 MINUTE)) AS timestamp FROM p)
+SELECT period, box_id, timestamp, CAST(g.s AS INTEGER) AS sensor_id
+FROM grid, (VALUES (1), (2)) AS e(box_id), range(1, 17) g(s)
 EXCEPT SELECT period, box_id, bin, sensor_id FROM s""",
         "missing_profile": f"WITH {READINGS},{FILES} SELECT period, file, rows, {', '.join(MISSING)}, {percent} FROM files",
         "missing_by_column": f"""WITH {READINGS},{FILES},

@@ -94,9 +94,15 @@ def _known(cell: Column) -> Column:
     return F.when(~cell.isin(*MISSING_TEXTS), cell)
 
 
+def _decoded(name: Column) -> Column:
+    """A name without the escapes of paths; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _name_of(path: Column, folders: bool) -> Column:
-    parts = F.split(path, "/")
-    return F.regexp_replace(F.element_at(parts, -2 if folders else -1), "^[a-z_]+=", "")
+    """The real file name: paths escape it once, folders that bear a name once more."""
+    name = _decoded(F.element_at(F.split(path, "/"), -2 if folders else -1))
+    return _decoded(F.regexp_replace(name, "^[a-z_]+=", "")) if folders else name
 
 
 def _period_of(path: Column, folders: bool) -> Column:

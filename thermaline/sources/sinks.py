@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from thermaline.functions.timebins import format_logger_time
 from thermaline.schema import MEASURES
+from thermaline.staging import discard, rename
 
 # Layout of a logger file - 14 filled preamble lines, then these columns.
 PREAMBLE_LINES = 14
@@ -16,17 +19,21 @@ LOGGER_HEADER = "Date/Time,Value Heat Surface Sensor,Internal temp sensor,Out Ai
 def export_level(df: DataFrame, base: str, level: str, period: str | None = None) -> str:
     """K1: one level as CSV under ``thermal_data_{level}_{period}.csv``; empty data is an error.
 
-    The rows are counted while they are written, so the plan runs once. A target without rows holds header lines at
-    most and is overwritten by the next export.
+    The rows are counted while they are written beside the target, so the plan runs once. Only a complete export with
+    rows takes the target's place; an empty or failed one leaves an earlier export as it is.
     """
     path = f"{base}/thermal_data_{level.lower()}_{period}.csv"
+    fresh = f"{path}.{uuid.uuid4().hex}"
     written = Observation()
     counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(
-        path, header=True
-    )
-    if not written.get["rows"]:
-        raise ValueError("No data available for export")
+    try:
+        counted.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(fresh, header=True)
+        if not written.get["rows"]:
+            raise ValueError("No data available for export")
+        discard(df.sparkSession, path)
+        rename(df.sparkSession, fresh, path)
+    finally:
+        discard(df.sparkSession, fresh)
     return path
 
 

@@ -56,6 +56,13 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder to a place where nothing is."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    if not paths(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(paths(path), paths(target)):
+        raise OSError(f"{path} can't be renamed to {target}")
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside, once the block has written its results elsewhere."""
