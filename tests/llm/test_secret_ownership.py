@@ -8,7 +8,7 @@ import string
 from llm import cases
 from pyspark.sql import functions as F
 
-from thermaline.llm.secret_ownership import secrets
+from thermaline.llm.secret_ownership import secret_spans, secrets
 
 KINDS = [
     ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 1, 12),
@@ -51,7 +51,7 @@ def brute(rows):
 
 
 def found(df):
-    return sorted(map(tuple, secrets(df, F.col("source"), F.concat_ws("/", "source", "lang")).collect()), key=repr)
+    return sorted((tuple(r)[:8] for r in secrets(df, F.col("source"), F.concat_ws("/", "source", "lang")).collect()), key=repr)
 
 
 def with_sources(texts):
@@ -93,3 +93,13 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     df = secrets(cases.documents(spark, ["a"]), F.col("source"), F.col("lang"))
     assert not re.search("Python|Pandas|Arrow|Cartesian", df._jdf.queryExecution().toString())
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    texts = [f"key tok_{'a1B2c3D4e5F6g7H8i9J0' if i < 8 else 'z9Y8x7W6v5U4t3S2r1Q0'} in use {i}" for i in range(15)]
+    df = spark.createDataFrame([(i, text, f"repo{i}") for i, text in enumerate(texts)], "doc_id long, text string, repo string")
+    rows = {r.doc_id: r for r in secrets(df, F.lit("one"), F.col("repo")).collect()}
+    assert {(r.n_owners, r.n_repositories) for r in rows.values() if r.doc_id < 8} <= {(1, 8), (0, 0)}
+    spans = secret_spans(df, F.lit("one"), F.col("repo")).collect()
+    assert {s.verdict for s in spans if s.doc_id < 8} <= {"example"}
+    assert {s.verdict for s in spans if s.doc_id >= 8} == {"live"}

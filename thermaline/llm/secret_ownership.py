@@ -27,6 +27,8 @@ OWNED = "owned"
 OWNED_PATTERN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: From so many distinct owners on, a value is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: As widely copied inside few owners: from so many repositories on a value is an example, too.
+EXAMPLE_REPOSITORIES = 8
 #: A live-looking value has at least so many distinct characters, a letter and a digit.
 LIVE_CHARACTERS = 8
 
@@ -119,7 +121,9 @@ def secret_spans(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     )
     judged = found.join(ownership, "value_key").withColumn(
         "verdict",
-        F.when((F.col("n_owners") < EXAMPLE_OWNERS) & F.col("random"), "live").otherwise("example"),
+        F.when(
+            (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repositories") < EXAMPLE_REPOSITORIES) & F.col("random"), "live"
+        ).otherwise("example"),
     )
     text = Window.partitionBy("doc_id", "digest", "owner", "repository").orderBy("start", "kind")
     is_base = F.col("name") != OWNED
@@ -139,7 +143,8 @@ def _listed(condition: Column) -> Column:
 
 
 def secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """Documents (doc_id, text, ...) to doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
+    """Documents (doc_id, text, ...) to doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples,
+    n_owners, n_repositories (those of the most widely held value of the text).
 
     Spans are kind:start:stop in code points, by start, then kind. A null or empty text has none. Null owners and
     repositories are one holder of their own. Repeated rows get a row each; a value held by copies of one document
@@ -153,6 +158,8 @@ def secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         _listed(F.lit(True)).alias("spans"),
         F.count_if(F.col("verdict") == "live").alias("n_live"),
         F.count_if(F.col("verdict") == "example").alias("n_examples"),
+        F.max("n_owners").alias("n_owners"),
+        F.max("n_repositories").alias("n_repositories"),
     )
     keys = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -174,4 +181,6 @@ def secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", none).alias("n_live"),
         F.coalesce("n_examples", none).alias("n_examples"),
+        F.coalesce("n_owners", none).alias("n_owners"),
+        F.coalesce("n_repositories", none).alias("n_repositories"),
     )
