@@ -41,6 +41,7 @@ _CLASS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_KEYS = "length int, since int, key long, n long"
 _COUNTS = "lang string, length int, phrase string, n long"
 
 
@@ -153,10 +154,10 @@ def _text_ranges(batch: pa.RecordBatch) -> tuple[list[str], Iterator[Range]]:
 
 
 def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached: list[np.ndarray]) -> DataFrame:
-    """(length, key, n) of the phrases active at ``step`` in one of ``shards`` shards of (lang, text).
+    """(length, since, key, n) of the phrases active at ``step`` in one of ``shards`` shards of (lang, text).
 
     ``reached`` holds, for each length, the steps at which hash slots reached the threshold. Single words are active
-    from the start, longer phrases after both subphrases got there, each for one cycle.
+    from the start, longer phrases ``since`` the step at which both subphrases had got there, each for one cycle.
     """
     shared = shard.sparkSession.sparkContext.broadcast(reached)
 
@@ -169,15 +170,19 @@ def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached
                 for length in range(1, longest + 1):
                     keys, ok = part.keys(length), part.whole(length)
                     active = np.maximum(steps[:-1], steps[1:]) if length > 1 else np.full(len(keys), -1, dtype=np.int16)
-                    found, n = np.unique(keys[ok & (active < step) & (step <= active + shards)], return_counts=True)
+                    at = np.flatnonzero(ok & (active < step) & (step <= active + shards))
+                    found, head, n = np.unique(keys[at], return_index=True, return_counts=True)
                     if len(found):
-                        columns = [np.full(len(found), length, dtype=np.int32), found.view(np.int64), n]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "key", "n"])
+                        since = active[at[head]].astype(np.int32)
+                        columns = [np.full(len(found), length, dtype=np.int32), since, found.view(np.int64), n]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c) for c in columns], names=["length", "since", "key", "n"]
+                        )
                     steps = reached[length - 1][(keys % slots).astype(np.int64)].astype(np.int16)
                     if (steps == NEVER).all():
                         break
 
-    return in_arrow(shard, run, "length int, key long, n long")
+    return in_arrow(shard, run, _KEYS)
 
 
 def spelled_counts(corpus: DataFrame, longest: int, reached: list[np.ndarray]) -> DataFrame:
@@ -231,7 +236,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     """(lang, length, phrase, n): exact totals of all phrases with ``least`` occurrences, and some others.
 
     ``docs`` has (lang, text) without nulls; length 0 stands for all words of a language. One job scans one shard and
-    writes the running totals of lengths still counted, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
+    writes the running totals of phrases still counted, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
     the last scan. ``slots`` is a power of two from 64 on.
     """
     spark = docs.sparkSession
@@ -241,14 +246,15 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest)]
     ends = [shards - 1] + [-1] * (longest - 1)
-    totals, written, step = spark.createDataFrame([], "length int, key long, n long"), None, 0
+    totals, written, step = spark.createDataFrame([], _KEYS), None, 0
     while step <= max(ends):
         shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
         scanned = shard_counts(shard, step, shards, longest, reached)
         before, written = written, staging_path(spark, "phrases")
-        open_lengths = [length for length in range(1, longest + 1) if step <= ends[length - 1]]
-        totals = totals.where(F.col("length").isin(open_lengths))
-        totals.unionByName(scanned).groupBy("length", "key").agg(F.sum("n").alias("n")).write.parquet(written)
+        # A phrase that has completed its cycle is known as frequent or not; its total is carried on no longer.
+        totals = totals.where(F.col("since") + shards >= step)
+        totals = totals.unionByName(scanned).groupBy("length", "since", "key").agg(F.sum("n").alias("n"))
+        totals.write.parquet(written)
         totals = spark.read.schema(totals.schema).parquet(written)
         if before:
             discard(spark, before)

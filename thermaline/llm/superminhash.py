@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Equal sets are one vertex from the start, so copies
     cost a row of an aggregate. Null or empty texts, and texts without words, are linked with nothing. Rows that
     share a doc_id are one vertex, linked by any of its texts. A row without a doc_id has no component and is
-    kept. Other columns are ignored. A pair at the threshold is missed with a probability below 1e-9.
+    kept. Other columns are ignored. A pair at the threshold is missed with a probability below 1e-9 at 85 % (4.7e-8 at 80 %).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(sketches(docs, words), "sketches")
