@@ -10,8 +10,10 @@ What tasks must know is when a subphrase reached the threshold. That is kept in
 hash slot, the step at which the first phrase of the slot got there. Phrases that share a slot are only activated
 earlier than they need be, in each scan alike, and still for one full cycle; so none is missed.
 
-Scans count 64-bit keys, as most phrases occur once or twice and needn't be spelled out. A last scan spells the frequent
-ones and counts them by their text, so phrases that share a key do no harm.
+Scans count 64-bit keys, as most phrases occur once or twice and needn't be spelled out. Keys travel as sorted runs of a
+few hundred, in buckets of leading bits, with their counts: a row for each run, not for each key. A task merges the runs of
+one bucket after the other, so it holds one bucket's distinct keys. A last scan spells the frequent phrases and counts them
+by their text, so phrases that share a key do no harm.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from thermaline.llm.hashing import mix, powers, row_groups, utf8
@@ -33,6 +35,10 @@ SHARDS = 3
 SLOTS = 1 << 21
 NEVER = 255
 GROUP_BYTES = 2 << 20
+#: Keys in a run, keys held before they are merged, and bytes of text for each bucket of keys, of which there are up to 65,536.
+RUN = 512
+HELD = 4 << 20
+BUCKET_BYTES = 8 << 20
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -41,7 +47,8 @@ _CLASS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_KEYS = "length int, since int, key long, n long"
+_RUNS = "length int, since int, bucket int, keys binary, counts binary"
+_MARKS = "length int, at int, bits long"
 _COUNTS = "lang string, length int, phrase string, n long"
 
 
@@ -153,8 +160,42 @@ def _text_ranges(batch: pa.RecordBatch) -> tuple[list[str], Iterator[Range]]:
     return order, (Range(*found, langs, lang_keys) for found in pieces(data, offsets))
 
 
-def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached: list[np.ndarray]) -> DataFrame:
-    """(length, since, key, n) of the phrases active at ``step`` in one of ``shards`` shards of (lang, text).
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts (one each without ``counts``)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+    sums = np.diff(np.append(heads, len(keys))) if counts is None else np.add.reduceat(counts, heads)
+    return keys[heads], sums.astype(np.int64)
+
+
+def _runs(length: int, since: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of at most ``RUN`` keys of one bucket; ``keys`` are distinct and in order."""
+    bucket = keys >> np.uint64(64 - bits)
+    borders = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    cuts = np.union1d(np.arange(0, len(keys), RUN), borders).astype(np.int64)
+    offsets = pa.py_buffer((np.append(cuts, len(keys)) * 8).astype(np.int32))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(values)]) for values in (keys, counts)]
+    numbers = [np.full(len(cuts), length), np.full(len(cuts), since), bucket[cuts]]
+    columns = [pa.array(column.astype(np.int32)) for column in numbers]
+    return pa.RecordBatch.from_arrays([*columns, *blobs], names=["length", "since", "bucket", "keys", "counts"])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The eight-byte values of a column of runs, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), (offsets - offsets[0]) // 8
+
+
+def shard_counts(
+    shard: DataFrame, step: int, shards: int, longest: int, reached: list[np.ndarray], bits: int
+) -> DataFrame:
+    """Runs (length, since, bucket, keys, counts) of the phrases active at ``step`` in one shard of (lang, text).
 
     ``reached`` holds, for each length, the steps at which hash slots reached the threshold. Single words are active
     from the start, longer phrases ``since`` the step at which both subphrases had got there, each for one cycle.
@@ -164,6 +205,8 @@ def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = shared.value
         slots = np.uint64(len(reached[0]))
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
             for part in _text_ranges(batch)[1]:
                 steps = None
@@ -171,18 +214,56 @@ def shard_counts(shard: DataFrame, step: int, shards: int, longest: int, reached
                     keys, ok = part.keys(length), part.whole(length)
                     active = np.maximum(steps[:-1], steps[1:]) if length > 1 else np.full(len(keys), -1, dtype=np.int16)
                     at = np.flatnonzero(ok & (active < step) & (step <= active + shards))
-                    found, head, n = np.unique(keys[at], return_index=True, return_counts=True)
-                    if len(found):
-                        since = active[at[head]].astype(np.int32)
-                        columns = [np.full(len(found), length, dtype=np.int32), since, found.view(np.int64), n]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c) for c in columns], names=["length", "since", "key", "n"]
-                        )
+                    keyed, since = keys[at], active[at]
+                    for first in (np.flatnonzero(np.bincount(since + 1)) - 1).tolist():
+                        held.setdefault((length, first), []).append(keyed[since == first])
+                    size += len(at)
                     steps = reached[length - 1][(keys % slots).astype(np.int64)].astype(np.int16)
                     if (steps == NEVER).all():
                         break
+                if size >= HELD:
+                    for group, arrays in held.items():
+                        yield _runs(*group, *_summed(np.concatenate(arrays)), bits)
+                    held, size = {}, 0
+        for group, arrays in held.items():
+            yield _runs(*group, *_summed(np.concatenate(arrays)), bits)
+
+    return in_arrow(shard, run, _RUNS)
 
-    return in_arrow(shard, run, _KEYS)
+
+def merged_runs(runs: DataFrame, bits: int) -> DataFrame:
+    """The same keys, each once in its (length, since), with the sums of their counts.
+
+    Keys are hashes, so buckets are of one size, and a frequent key has one entry for each few million words. A task
+    holds the distinct keys of one bucket and at most ``HELD`` or as many not yet merged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, counts, merged, waiting = None, [], [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            borders = np.flatnonzero((labels[1:] != labels[:-1]).any(axis=1)) + 1
+            of_keys, offsets = _values(batch.column(3), np.uint64)
+            of_counts = _values(batch.column(4), np.int64)[0]
+            for begin, end in zip([0, *borders.tolist()], [*borders.tolist(), len(labels)]):
+                if group != (found := tuple(labels[begin].tolist())):
+                    if group:
+                        yield _runs(*group[:2], *_summed(np.concatenate(keys), np.concatenate(counts)), bits)
+                    group, keys, counts, merged, waiting = found, [], [], 0, 0
+                part = slice(int(offsets[begin]), int(offsets[end]))
+                keys.append(of_keys[part])
+                counts.append(of_counts[part])
+                waiting += part.stop - part.start
+                if waiting >= max(HELD, merged):
+                    both = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, merged, waiting = [both[0]], [both[1]], len(both[0]), 0
+        if group:
+            yield _runs(*group[:2], *_summed(np.concatenate(keys), np.concatenate(counts)), bits)
+
+    order = ["length", "since", "bucket"]
+    return in_arrow(runs.repartition(*order).sortWithinPartitions(*order), run, _RUNS)
 
 
 def spelled_counts(corpus: DataFrame, longest: int, reached: list[np.ndarray]) -> DataFrame:
@@ -216,16 +297,26 @@ def _counted(names: list[str], lang: np.ndarray, length: int, phrase: pa.Array,
     return pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["lang", "length", "phrase", "n"])
 
 
-def reached_slots(counts: DataFrame, least: int, longest: int, slots: int) -> list[np.ndarray]:
-    """For each length, whether each slot has a key with ``least`` occurrences in ``counts``.
+def reached_slots(runs: DataFrame, least: int, longest: int, slots: int) -> list[np.ndarray]:
+    """For each length, whether each slot has a key with ``least`` occurrences in merged ``runs``.
 
     Slots are marked in words of 64 bits, joined by a bitwise or; so the driver reads at most ``slots / 64`` rows a length.
     """
-    slot = f"pmod(key, {slots})"
-    marks = counts.where(F.col("n") >= least).selectExpr(
-        "length", f"{slot} div 64 as at", f"shiftleft(1L, cast({slot} % 64 as int)) as bit"
-    )
-    merged = marks.groupBy("length", "at").agg(F.bit_or("bit").alias("bits")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros((longest, slots), dtype=bool)
+        for batch in batches:
+            keys, offsets = _values(batch.column(1), np.uint64)
+            enough = _values(batch.column(2), np.int64)[0] >= least
+            length = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            marks[length[enough] - 1, (keys[enough] % np.uint64(slots)).astype(np.int64)] = True
+        words = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
+        row, at = np.nonzero(words)
+        columns = [(row + 1).astype(np.int32), at.astype(np.int32), words[row, at]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "at", "bits"])
+
+    marks = in_arrow(runs.select("length", "keys", "counts"), run, _MARKS)
+    merged = marks.groupBy("length", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
     length, at, bits = (column.to_numpy() for column in merged.columns)
     found = np.zeros((longest, slots // 64), dtype=np.int64)
     found[length - 1, at] = bits
@@ -242,18 +333,20 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     spark = docs.sparkSession
     path = staging_path(spark, "shards")
     sharded = docs.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    sharded.write.partitionBy("shard").parquet(path)
+    written_text = Observation()
+    sharded.observe(written_text, F.sum(F.octet_length("text")).alias("bytes")).write.partitionBy("shard").parquet(path)
+    bits = min(16, max(4, ((written_text.get["bytes"] or 0) // BUCKET_BYTES).bit_length()))
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest)]
     ends = [shards - 1] + [-1] * (longest - 1)
-    totals, written, step = spark.createDataFrame([], _KEYS), None, 0
+    totals, written, step = spark.createDataFrame([], _RUNS), None, 0
     while step <= max(ends):
         shard = corpus.where(F.col("shard") == step % shards).select("lang", "text")
-        scanned = shard_counts(shard, step, shards, longest, reached)
+        scanned = shard_counts(shard, step, shards, longest, reached, bits)
         before, written = written, staging_path(spark, "phrases")
         # A phrase that has completed its cycle is known as frequent or not; its total is carried on no longer.
         totals = totals.where(F.col("since") + shards >= step)
-        totals = totals.unionByName(scanned).groupBy("length", "since", "key").agg(F.sum("n").alias("n"))
+        totals = merged_runs(totals.unionByName(scanned), bits)
         totals.write.parquet(written)
         totals = spark.read.schema(totals.schema).parquet(written)
         if before:
