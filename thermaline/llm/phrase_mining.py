@@ -8,7 +8,8 @@ its exact total after one full cycle of its own.
 
 What tasks must know is when a subphrase reached the threshold. That is kept in a table of fixed size: a byte for each
 hash slot, the step at which the first phrase of the slot got there. Phrases that share a slot are only activated
-earlier than they need be, in each scan alike, and still for one full cycle; so none is missed.
+earlier than they need be, in each scan alike, and still for one full cycle; so none is missed. Which keys are frequent is
+kept for the last scan in a finer table of bits, of fixed size as well.
 
 Scans count 64-bit keys, as most phrases occur once or twice and needn't be spelled out. Keys travel as sorted runs of a
 few hundred, in buckets of leading bits, with their counts: a row for each run, not for each key. A task merges the runs of
@@ -33,6 +34,8 @@ from thermaline.staging import discard, stage, staging_path, staging_scope
 SHARDS = 3
 #: Slots of the table of steps, for each length; its size doesn't grow with the corpus.
 SLOTS = 1 << 21
+#: Bits of the table of frequent keys for each length: 8 MB, of which each step sends the driver the words that are not zero.
+FINE = 1 << 26
 NEVER = 255
 GROUP_BYTES = 2 << 20
 #: Keys in a run, keys held before they are merged, and bytes of text for each bucket of keys, of which there are up to 65,536.
@@ -266,21 +269,25 @@ def merged_runs(runs: DataFrame, bits: int) -> DataFrame:
     return in_arrow(runs.repartition(*order).sortWithinPartitions(*order), run, _RUNS)
 
 
-def spelled_counts(corpus: DataFrame, longest: int, reached: list[np.ndarray]) -> DataFrame:
-    """(lang, length, phrase, n) of all phrases in slots that reached the threshold; length 0 counts all words."""
-    shared = corpus.sparkSession.sparkContext.broadcast([steps != NEVER for steps in reached])
+def spelled_counts(corpus: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
+    """(lang, length, phrase, n) of all phrases whose bit in ``frequent`` is set; length 0 counts all words.
+
+    ``frequent`` has a row of 64-bit words for each length.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        slots = np.uint64(len(frequent[0]))
+        slots = np.uint64(64 * frequent.shape[1])
         for batch in batches:
             names, parts = _text_ranges(batch)
             total = np.zeros(len(names), dtype=np.int64)
             for part in parts:
                 total += np.bincount(part.lang, minlength=len(names))
                 for length in range(1, longest + 1):
-                    held = frequent[length - 1][(part.keys(length) % slots).astype(np.int64)]
-                    at = np.flatnonzero(held & part.whole(length))
+                    slot = (part.keys(length) % slots).astype(np.int64)
+                    held = (frequent[length - 1][slot >> 6] >> (slot & 63)) & 1
+                    at = np.flatnonzero((held == 1) & part.whole(length))
                     if not len(at):
                         break
                     lang, phrase, n = part.spelled(at, length)
@@ -297,38 +304,41 @@ def _counted(names: list[str], lang: np.ndarray, length: int, phrase: pa.Array,
     return pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["lang", "length", "phrase", "n"])
 
 
-def reached_slots(runs: DataFrame, least: int, longest: int, slots: int) -> list[np.ndarray]:
-    """For each length, whether each slot has a key with ``least`` occurrences in merged ``runs``.
+def reached_bits(runs: DataFrame, least: int, longest: int, slots: int) -> np.ndarray:
+    """A bit for each length and slot: whether the slot has a key with ``least`` occurrences in merged ``runs``.
 
-    Slots are marked in words of 64 bits, joined by a bitwise or; so the driver reads at most ``slots / 64`` rows a length.
+    Bits are joined by a bitwise or in words of 64, so the driver reads at most ``slots / 64`` rows a length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros((longest, slots), dtype=bool)
         for batch in batches:
             keys, offsets = _values(batch.column(1), np.uint64)
             enough = _values(batch.column(2), np.int64)[0] >= least
-            length = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
-            marks[length[enough] - 1, (keys[enough] % np.uint64(slots)).astype(np.int64)] = True
-        words = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
-        row, at = np.nonzero(words)
-        columns = [(row + 1).astype(np.int32), at.astype(np.int32), words[row, at]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "at", "bits"])
+            length = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))[enough]
+            slot = (keys[enough] % np.uint64(slots)).astype(np.int64)
+            columns = [length, (slot >> 6).astype(np.int32), np.left_shift(np.int64(1), slot & 63)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "at", "bits"])
 
     marks = in_arrow(runs.select("length", "keys", "counts"), run, _MARKS)
     merged = marks.groupBy("length", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
     length, at, bits = (column.to_numpy() for column in merged.columns)
     found = np.zeros((longest, slots // 64), dtype=np.int64)
     found[length - 1, at] = bits
-    return [np.unpackbits(row.view(np.uint8), bitorder="little").astype(bool) for row in found]
+    return found
+
+
+def folded(bits: np.ndarray, slots: int) -> np.ndarray:
+    """Whether any of the bits that are equal modulo ``slots`` is set; both sizes are powers of two."""
+    words = np.bitwise_or.reduce(bits.reshape(-1, slots // 64), axis=0)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARDS, slots: int = SLOTS, fine: int = FINE) -> DataFrame:
     """(lang, length, phrase, n): exact totals of all phrases with ``least`` occurrences, and some others.
 
     ``docs`` has (lang, text) without nulls; length 0 stands for all words of a language. One job scans one shard and
     writes the running totals of phrases still counted, so a lost executor repeats a part of one scan. There are at most ``longest`` cycles and
-    the last scan. ``slots`` is a power of two from 64 on.
+    the last scan. ``slots`` and ``fine``, at least as many, are powers of two from 64 on.
     """
     spark = docs.sparkSession
     path = staging_path(spark, "shards")
@@ -338,6 +348,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
     bits = min(16, max(4, ((written_text.get["bytes"] or 0) // BUCKET_BYTES).bit_length()))
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest)]
+    frequent = np.zeros((longest, fine // 64), dtype=np.int64)
     ends = [shards - 1] + [-1] * (longest - 1)
     totals, written, step = spark.createDataFrame([], _RUNS), None, 0
     while step <= max(ends):
@@ -351,16 +362,18 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
         totals = spark.read.schema(totals.schema).parquet(written)
         if before:
             discard(spark, before)
-        for length, frequent in enumerate(reached_slots(totals, least, longest, slots), 1):
+        now = reached_bits(totals, least, longest, fine)
+        frequent |= now
+        for length in range(1, longest + 1):
             if step <= ends[length - 1]:
-                new = frequent & (reached[length - 1] == NEVER)
+                new = folded(now[length - 1], slots) & (reached[length - 1] == NEVER)
                 if new.any():
                     reached[length - 1] = np.where(new, np.uint8(step), reached[length - 1])
                     if length < longest:
                         ends[length] = step + shards
         step += 1
     discard(spark, written)
-    spelled = spelled_counts(corpus.select("lang", "text"), longest, reached)
+    spelled = spelled_counts(corpus.select("lang", "text"), longest, frequent)
     return stage(spelled.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")), "spelled")
 
 
