@@ -120,3 +120,22 @@ def test_awkward_and_empty_tables(spark):
     rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
     assert found(collocations(docs)) == brute(rows, 3, 10, 2000)
     assert collocations(cases.empty(spark)).count() == 0
+
+
+def test_bits_fold_modulo_the_smaller_size():
+    bits = np.zeros(1024 // 64, dtype=np.int64)
+    slots = [0, 63, 64, 511, 1023]
+    for slot in slots:
+        bits[slot >> 6] |= np.left_shift(np.int64(1), np.int64(slot & 63))
+    for size in (64, 256, 1024):
+        assert np.flatnonzero(phrase_mining.folded(bits, size)).tolist() == sorted({slot % size for slot in slots})
+
+
+def test_sums_of_keys():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(58)
+    found, sums = phrase_mining._summed(keys)
+    assert dict(zip(found.tolist(), sums.tolist())) == Counter(keys.tolist())
+    again = phrase_mining._summed(np.concatenate([found, found]), np.concatenate([sums, sums]))
+    assert again[0].tolist() == found.tolist() and again[1].tolist() == (2 * sums).tolist()
+    assert [len(array) for array in phrase_mining._summed(keys[:0])] == [0, 0]
