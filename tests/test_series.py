@@ -52,7 +52,9 @@ def test_smoothing_skips_nulls_and_none_is_no_op(spark):
     assert series.smooth(df, ["x"], None, ["key"]).columns == df.columns
 
 
-@pytest.mark.parametrize("window,span", [("1h", 60), ("12h", 720)])
+@pytest.mark.parametrize(
+    "window,span", [("1h", 60), ("12h", 720), ("1d", 1440), ("25h", 1500), ("2d", 2880), ("3d", 4320), ("30d", 43200)]
+)
 def test_smoothing_across_chunks_equals_brute_force(spark, window, span):
     rng = random.Random(7)
     minutes = sorted(rng.sample(range(0, 20 * 1440, 5), 700))
@@ -69,6 +71,46 @@ def test_smoothing_across_chunks_equals_brute_force(spark, window, span):
             assert got[key, at(m)] == pytest.approx(sum(inside) / len(inside))
 
 
+@pytest.mark.parametrize("days", [1.5, 5, 9.25])
+def test_wide_smoothing_with_ties_nulls_and_infinite_values(spark, days):
+    rng = random.Random(11)
+    span = int(days * 1440)
+    values = [None, float("inf"), *[round(rng.uniform(-50, 50), 2) for _ in range(20)]]
+    data = [
+        (key, None if rng.random() < 0.02 else rng.randrange(0, 60 * 1440, 240), rng.choice(values))
+        for key in ("a", None)
+        for _ in range(500)
+    ]
+    df = spark.createDataFrame(
+        [(i, k, None if m is None else at(m), v) for i, (k, m, v) in enumerate(data)],
+        "id int, key string, timestamp timestamp_ntz, x double",
+    )
+    smoothed = series.smooth(df, ["x"], f"{span}min", ["key"])
+    assert smoothed.columns == ["id", "key", "timestamp", "x", "x_smooth"]
+    got = {r["id"]: r["x_smooth"] for r in smoothed.collect()}
+    assert len(got) == len(data)
+    for i, (key, m, _) in enumerate(data):
+        inside = [
+            v
+            for k, t, v in data
+            if m is not None and t is not None and k == key and m - span < t <= m and v is not None
+        ]
+        assert got[i] == (pytest.approx(sum(inside) / len(inside)) if inside else None)
+
+
+def test_no_frame_over_rows_grows_with_a_wide_window(spark):
+    df = timed(spark, [(m, 1.0) for m in range(0, 100)])
+    plan = series.smooth(df, ["x"], "365d", ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    frames = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    over_rows = [line for line in frames if "_series" not in line.split("windowspecdefinition(")[1]]
+    assert over_rows and all("unboundedpreceding" in line for line in over_rows)
+
+
+def test_wide_smoothing_of_no_rows(spark):
+    df = timed(spark, [])
+    assert series.smooth(df, ["x"], "30d", ["key"]).collect() == []
+
+
 def typed(spark, kinds, step=10):
     return spark.createDataFrame(
         [("k", at(i * step), kind, float(i)) for i, kind in enumerate(kinds)],

@@ -24,6 +24,9 @@ from thermaline.staging import stage
 REGENERATED_START = datetime(2025, 12, 3, 11, 11, 0)
 REGENERATED_STEP_MINUTES = 10
 
+# Windows up to this length are frames over rows; wider ones are put together from sums of chunks this long.
+WIDE_MICROS = MICROS_PER_DAY
+
 # Rows without a time stand before all others, in a chunk of their own.
 NO_TIME = "0001-01-01 00:00:00"
 
@@ -40,12 +43,17 @@ def smooth(
     ``window`` is any positive duration (``30min``, ``3h``). A row without a time keeps NULL means. Each series is smoothed on its own. Rows go to the time chunk they lie in, and those of the last
     ``window`` of a chunk also to the next one, where they only feed the frame. Chunks are at least
     eight windows long, so at most about one row in eight is sent twice.
+
+    Windows beyond ``WIDE_MICROS`` are summed from parts instead (:func:`_smooth_wide`), so that neither a task nor the
+    work per row grows with them; ``df`` is read twice then, so stage an input that is costly to compute.
     """
     if window is None:
         return df
     span = duration_micros(window)
-    chunk = max(8 * span, MICROS_PER_DAY)
     present = [c for c in columns if c in df.columns]
+    if span > WIDE_MICROS:
+        return _smooth_wide(df, present, span, keys, timestamp)
+    chunk = max(8 * span, MICROS_PER_DAY)
     timed = df.withColumn("_t", micros(F.col(timestamp))).withColumn(
         "_home", floor_to(F.col("_t"), chunk)
     )
@@ -70,6 +78,97 @@ def smooth(
     )
 
 
+def _smooth_wide(
+    df: DataFrame, columns: Sequence[str], span: int, keys: Sequence[str], timestamp: str, chunk: int = WIDE_MICROS
+) -> DataFrame:
+    """W1 for windows of at least a chunk: three sums, each over rows that are in the window.
+
+    The window of a row at ``t`` is the rows of its own chunk up to ``t``, the chunks wholly inside, and the rows after
+    ``t - window`` in the chunk where it begins. The first is a running sum. For the last, each row also visits that
+    chunk as a question, and a running sum from the chunk's end answers it. The middle is a frame over a table of one
+    row per chunk. No sum is taken from another, so digits aren't lost, and infinite values stay in their window.
+    """
+    steps = -(-span // chunk)  # chunks from the row's own back to the earliest in which its window can begin
+    timed = df.withColumn("_t", micros(F.col(timestamp)))
+    sums = [
+        part
+        for c in columns
+        for part in (F.sum(c).alias(f"_{c}_sum"), F.count(c).alias(f"_{c}_n"))
+    ]
+    names = [f"_{c}_{kind}" for c in columns for kind in ("sum", "n")]
+
+    own_frame = (
+        Window.partitionBy(*keys, "_home").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    )
+    placed = timed.where(F.col("_t").isNotNull()).withColumn("_home", floor_to(F.col("_t"), chunk))
+    own = {}
+    for c in columns:
+        own[f"_{c}_sum_own"] = F.sum(c).over(own_frame)
+        own[f"_{c}_n_own"] = F.count(c).over(own_frame)
+    visits = placed.withColumns(own).withColumn("_row", F.struct("*"))
+    begins = F.col("_t") - span
+    visits = visits.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col("_home").alias("_chunk"),
+                    F.col("_t").alias("_at"),
+                    *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)],
+                    F.lit(None).cast(visits.schema["_row"].dataType).alias("_row"),
+                ),
+                F.struct(
+                    floor_to(begins, chunk).alias("_chunk"),
+                    begins.alias("_at"),
+                    *[F.lit(None).cast("double").alias(f"_v{i}") for i in range(len(columns))],
+                    F.col("_row"),
+                ),
+            )
+        ),
+    )
+    after = (
+        Window.partitionBy(*[f"_key_{i}" for i in range(len(keys))], "_chunk")
+        .orderBy(F.col("_at").desc())
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    rest = {}
+    for i, c in enumerate(columns):
+        rest[f"_{c}_sum_rest"] = F.sum(f"_v{i}").over(after)
+        rest[f"_{c}_n_rest"] = F.count(f"_v{i}").over(after)
+    answered = (
+        visits.withColumns(rest)
+        .where(F.col("_row").isNotNull())
+        .select("_row.*", F.col("_chunk").alias("_begin"), *rest)
+    )
+
+    # One row per chunk of a series; a chunk without rows has no row, and needs none.
+    totals = placed.groupBy(*keys, "_home").agg(*sums).withColumn("_series", series_of(keys))
+    along = Window.partitionBy("_series").orderBy("_home")
+    between = {}
+    for late in (0, 1):
+        inside = steps - 1 - late
+        for name in names:
+            frame = along.rangeBetween(-inside * chunk, -chunk) if inside > 0 else None
+            kind = totals.schema[name].dataType
+            between[f"{name}_{late}"] = F.sum(name).over(frame) if frame else F.lit(None).cast(kind)
+    middles = totals.withColumns(between).select("_series", "_home", *between)
+    late = F.col("_begin") > F.col("_home") - steps * chunk
+
+    def whole(name: str) -> Column:
+        middle = F.when(late, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
+        parts = [F.col(f"{name}_own"), middle, F.col(f"{name}_rest")]
+        return sum((F.coalesce(part, F.lit(0)) for part in parts), F.lit(0))
+
+    smoothed = answered.withColumn("_series", series_of(keys)).join(middles, ["_series", "_home"])
+    done = smoothed.select(
+        *df.columns, *[F.try_divide(whole(f"_{c}_sum"), whole(f"_{c}_n")).alias(f"{c}_smooth") for c in columns]
+    )
+    timeless = timed.where(F.col("_t").isNull()).select(
+        *df.columns, *[F.lit(None).cast(done.schema[f"{c}_smooth"].dataType).alias(f"{c}_smooth") for c in columns]
+    )
+    return done.unionByName(timeless)
+
+
 def _marked_runs(
     df: DataFrame, keys: Sequence[str], category: str, timestamp: str, chunk: str
 ) -> DataFrame:

@@ -265,6 +265,7 @@ def registered() -> dict[str, Query]:
         "smooth_1h": _smooth_box("1h"),
         "smooth_3h": _smooth_box("3h"),
         "smooth_12h": _smooth_box("12h"),
+        "smooth_30d": _smooth_box("30d"),
         "smooth_walls_12h": on_levels(
             lambda lv: _smoothed_columns(
                 series.smooth(lv.wall, WALL_SMOOTHED, "12h", WALL_SERIES),

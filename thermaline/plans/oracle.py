@@ -162,6 +162,7 @@ BELOW_30MIN = "29 minutes 59.999999 seconds"
 BELOW_1H = "59 minutes 59.999999 seconds"
 BELOW_3H = "2 hours 59 minutes 59.999999 seconds"
 BELOW_12H = "11 hours 59 minutes 59.999999 seconds"
+BELOW_30D = "29 days 23 hours 59 minutes 59.999999 seconds"
 BOX_SMOOTHED = ["internal_temp", "surface_temp", "normalized_internal", "normalized_surface"]
 WALL_SMOOTHED = [
     "out_internal", "in_internal", "out_surface", "in_surface", "surface_gradient",
@@ -482,6 +483,7 @@ FROM w WHERE box_id = 2 AND wall_id IN (1, 3)""",
         "smooth_1h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_1H)}",
         "smooth_3h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_3H)}",
         "smooth_12h": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_12H)}",
+        "smooth_30d": f"WITH {levels('10 minutes')} {smooth('b', 'period, box_id', BOX_SMOOTHED, BELOW_30D)}",
         "smooth_walls_12h": f"WITH {levels()} {smooth('w', 'period, box_id, wall_id', WALL_SMOOTHED, BELOW_12H)}",
         "change_events": f"""WITH {levels()},{REGIMES}
 SELECT period, box_id, wall_id, bin AS timestamp, wall_type FROM regimes WHERE changed = 1""",
