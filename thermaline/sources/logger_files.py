@@ -11,7 +11,6 @@ A file may be of any size: it is read in splits, and per-file facts come from ag
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from thermaline.functions.columns import clean_wall_type, to_number
 from thermaline.functions.timebins import parse_any_time, parse_logger_time
 from thermaline.operators.levels import with_topology
-from thermaline.schema import MEASURES, READINGS_SCHEMA, small_table
+from thermaline.schema import MEASURES, READINGS_SCHEMA
+from thermaline.sources.listing import listed_files
 from thermaline.staging import stage
 
 # Header position, file name pattern, period folders, texts that mean "missing".
@@ -114,23 +114,15 @@ def _period_of(path: Column, folders: bool) -> Column:
 def list_files(spark: SparkSession, base: str, glob: str, folders: bool = False) -> DataFrame:
     """S1 + S2: every file in a period folder with its name, box and sensor; content unread.
 
-    The listing that Spark makes of the folder before any scan also has the files of zero length, which the scan
+    The folder is listed by tasks (:mod:`thermaline.sources.listing`), files of zero length included, which a scan
     itself skips.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(base)
-        .inputFiles()
-    )
-    # The listing writes local paths with three slashes, a scan with one.
-    paths = [(re.sub("^file:/+", "file:/", path),) for path in files]
-    found = small_table(spark, paths, "path string")
+    found = listed_files(spark, base, glob)
     name = _name_of(F.col("path"), folders)
     box, sensor = parse_name(F.col("file"))
     return (
-        found.withColumn("file", name)
+        found.select("path")
+        .withColumn("file", name)
         .withColumn("period", _period_of(F.col("path"), folders))
         .where(F.col("period").isNotNull())
         .withColumns({"box_id": box, "sensor_id": sensor})
