@@ -12,8 +12,11 @@ from thermaline.llm.spaced_seeds import contaminated, decontaminated
 ITEMS = "item_id long, text string, doc_id string"
 
 
+UNSPACED = re.compile("([\u3040-\u30ff\u3400-\u9fff\u0e01-\u0e30])")
+
+
 def words(text):
-    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return [w for w in re.split(r"[\W_]+", UNSPACED.sub(r" \1 ", (text or "").lower())) if w]
 
 
 def overlaps(doc, item):
@@ -37,6 +40,26 @@ def test_the_masks_lose_no_overlap():
                 )
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = random.Random(12)
+    items = ["four words of it", "Three, other WORDS", "two words", "one", "机器学习是什么意思", "今日はとても良い天気ですね", "สวสดครบ"]
+    texts = [f"{cases.prose(rng, 8)} {item.upper()}; {cases.prose(rng, 8)}" for item in items]
+    texts += [*items, "Two -- WORDS!", "four words of", "four other of it", "words three other", "ONE.", "one one"]
+    texts += ["机器学习是怎么意思", "机器人是什么东西", f"他说{items[4]}啊", "今日はとても良い天気でした", "ones", "", None, "?"]
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*items, "", "?!", None])], ITEMS)
+    got = {(r.doc_id, r.item_id): r for r in contaminated(cases.documents(spark, texts), benchmark).collect()}
+    for doc_id, text in enumerate(texts):
+        for item_id, item in enumerate(items):
+            best, width = overlaps(words(text), words(item))
+            whole = len(words(item)) > 2 or words(item) == words(text)
+            if whole and 100 * best >= 80 * width:
+                row = got.pop((doc_id, item_id))
+                assert (row.n_matched, row.n_words) == (best, width)
+                laid = words(text)[row.doc_word : row.doc_word + width]
+                assert sum(a == b for a, b in zip(laid, words(item)[row.item_word :])) == best
+    assert got == {}
+
+
 def planted(rng, items):
     rows = []
     for doc_id in range(60):
@@ -56,7 +79,7 @@ def planted(rng, items):
 
 def test_like_brute_force_with_substitutions(spark):
     rng = random.Random(8)
-    items = [cases.prose(rng, n, 3000) for n in (5, 7, 9, 11, 12, 20, 30, 60)]
+    items = [cases.prose(rng, n, 3000) for n in (3, 4, 5, 7, 9, 11, 12, 20, 30, 60)]
     rows = planted(rng, items)
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], ITEMS)
     got = {(r.doc_id, r.item_id): r for r in contaminated(cases.documents(spark, rows), benchmark).collect()}

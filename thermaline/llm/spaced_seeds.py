@@ -19,7 +19,9 @@ from thermaline.staging import stage
 
 # Fixed masks by the number of words of a test text (from, to). Each set finds every overlap that counts: whatever
 # words of a window differ, as long as 80 % are equal, one of its masks has a place that selects equal words only.
+# Of three or four words none may differ.
 TIERS = (
+    (3, 4, ("111",)),
     (5, 11, ("111", "1101")),
     (12, 2**31 - 1, ("110111", "11111")),
 )
@@ -29,8 +31,19 @@ PERCENT = 80
 MAX_SENT = 1_000_000
 
 
+# Scripts written without spaces between words; each of their characters counts as a word.
+UNSPACED = "".join(
+    rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
+    between = r"[^\p{L}\p{N}]+"
+    around = rf"{between}|(?<=[{UNSPACED}])|(?=[{UNSPACED}])"
+    lower = F.lower(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    found = F.when(ascii_only, F.split(lower, between)).otherwise(F.split(lower, around))
+    return F.filter(found, lambda word: word != "")
 
 
 def _hashed(text: Column) -> Column:
@@ -96,19 +109,33 @@ def _best_window(doc: Column, item: Column, shift: Column) -> Column:
     )
 
 
+def _whole_documents(hashed: DataFrame, tiny: DataFrame) -> DataFrame:
+    """(doc_id, item_id, b) of the documents that have the words of an item and no others."""
+    n_words = F.size("doc")
+    zero = F.lit(0)
+    equal = hashed.where(n_words < TIERS[0][0]).join(tiny, F.col("doc") == F.col("item"))
+    return equal.select(
+        "doc_id",
+        "item_id",
+        F.struct(n_words.alias("matched"), zero.alias("back"), zero.alias("shift"), n_words.alias("n_words")).alias("b"),
+    )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Overlaps of documents (doc_id, text, ...) with benchmark items (item_id, text, ...).
 
     Returns one row for each document and item: doc_id, item_id, doc_word and item_word (where the best window begins,
     in words from 0), n_words (its length) and n_matched. A window of 16 words, or a whole shorter item, counts when
-    at least 80 % of its words are equal, in any spelling of case and punctuation. Items of under five words are too
-    short to tell and are ignored, as are null or empty texts, and rows without an id. Rows that share a doc_id count as one
-    document, and its best overlap is returned; likewise for items. Other columns are ignored.
+    at least 80 % of its words are equal, in any spelling of case and punctuation; of items of three or four words, all
+    must be. Items of one or two words are too common in other texts to tell: they count where they are the whole
+    document. Each character of a script without spaces is a word. Null or empty texts, texts without words and rows
+    without an id are ignored. Rows that share a doc_id count as one document, and its best overlap is returned;
+    likewise for items. Other columns are ignored.
     """
     items = stage(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashed("text").alias("item"))
         .where("item_id is not null")
-        .where(F.size("item") >= TIERS[0][0]),
+        .where(F.size("item") > 0),
         "items",
     )
     seeds, masks = None, []
@@ -117,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = _at_places(tier, ["item_id"], "item", of_tier)
         seeds = found if seeds is None else seeds.union(found)
         if not tier.isEmpty():
-            masks += of_tier
+            masks += [mask for mask in of_tier if mask not in masks]
     masks = masks or list(TIERS[-1][2])
     seeds = stage(seeds.withColumnRenamed("at", "item_at"), "seeds")
     # A test set of a checked size is sent along to where the training hashes arise; of a larger one, all hashes of the
@@ -156,6 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.struct("best.matched", "best.back", (-F.col("shift")).alias("shift"), "n_words").alias("b"),
         )
     )
+    tiny = items.where(F.size("item") < TIERS[0][0])
+    if not tiny.isEmpty():
+        laid = laid.unionByName(_whole_documents(hashed, tiny))
     return laid.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select(
         "doc_id",
         "item_id",
