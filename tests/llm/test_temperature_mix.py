@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from llm import cases
+from pyspark.sql import functions as F
 
 from thermaline.llm import temperature_mix
 from thermaline.llm.temperature_mix import mixed, mixed_documents, source_plan
@@ -61,8 +62,6 @@ def test_a_budget_is_kept_per_source(spark):
 
 
 def _counted(df):
-    from pyspark.sql import functions as F
-
     return df.select("source", F.regexp_count("text", F.lit(temperature_mix.WORD)).alias("tokens"))
 
 
@@ -90,6 +89,37 @@ def test_epochs_are_whole_but_the_last_whose_blocks_come_in_turn(spark, monkeypa
                 }
 
 
+@pytest.mark.parametrize("budget,bits", [(None, 12), (2500, 3), (20_000, 1)])
+def test_drawn_rows_like_brute_force(spark, monkeypatch, budget, bits):
+    monkeypatch.setattr(temperature_mix, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(temperature_mix, "RANGE_BITS", bits)
+    df = cases.documents(spark, [f"{i} " + "w " * (i * 7 % 50) for i in range(500)])
+    tokens = _counted(df)
+    plan = {r.source: r for r in source_plan(tokens, budget=budget).collect()}
+    keyed = df.select(
+        F.col("doc_id"), "source", F.regexp_count("text", F.lit(temperature_mix.WORD)).alias("tokens"), temperature_mix._ticket(17).alias("ticket")
+    ).collect()
+    places = set()
+    for row in keyed:
+        n_blocks = plan[row.source].tokens // 150 + 1
+        places.add((row.source, plan[row.source].source_budget // plan[row.source].tokens, row.ticket % n_blocks))
+    turns = spark.createDataFrame(sorted(places, key=str), "source string, full long, block long")
+    turns = turns.withColumn("turn", F.xxhash64(F.lit(17), "full", "source", "block")).collect()
+    turn = {(r.source, r.block): r.turn for r in turns}
+    want = Counter()
+    for source, row in plan.items():
+        n_blocks = row.tokens // 150 + 1
+        own = [r for r in keyed if r.source == source]
+        full, rest = divmod(row.source_budget, row.tokens)
+        want.update((r.doc_id, epoch) for r in own for epoch in range(full))
+        own.sort(key=lambda r: (turn[source, r.ticket % n_blocks], r.ticket % n_blocks, r.ticket))
+        for r in own:
+            if rest > 0:
+                want[r.doc_id, full] += 1
+            rest -= r.tokens
+    assert Counter((r.doc_id, r.epoch) for r in mixed(df, budget=budget).collect()) == want
+
+
 def test_awkward_rows_are_all_there(spark):
     texts = cases.awkward_texts()
     df = cases.documents(spark, texts)

@@ -20,6 +20,8 @@ MAX_EPOCHS = 4.0
 BLOCK_TOKENS = 1 << 17
 POINTS = 63
 PASSES = 6
+#: A source's blocks are ordered in so many (2 to the power) ranges of their turns.
+RANGE_BITS = 12
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,6 +107,32 @@ def _ticket(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
+def _started(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``start``: the tokens of the blocks before it in its source, by (turn, block).
+
+    Turns are hashes, so their leading bits part a source's blocks into ``2 ** RANGE_BITS`` like ranges. A block's start
+    is that of its range plus what the range holds before it; no task orders all blocks of a source.
+    """
+    blocks = blocks.withColumn("range", F.shiftright("turn", 64 - RANGE_BITS))
+    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        blocks.groupBy("source", "range")
+        .agg(F.sum("block_tokens").alias("held"))
+        .select(
+            F.col("source").alias("s_source"),
+            F.col("range").alias("s_range"),
+            F.coalesce(F.sum("held").over(along), F.lit(0)).alias("range_start"),
+        )
+    )
+    before = Window.partitionBy("source", "range").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocks.withColumn("inside", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)))
+        .join(ranges, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
+        .withColumn("start", F.col("range_start") + F.col("inside"))
+        .drop("range", "inside", "range_start", "s_source", "s_range")
+    )
+
+
 def mixed(
     docs: DataFrame,
     target_entropy: float = TARGET_ENTROPY,
@@ -143,10 +171,8 @@ def mixed(
     def turn_of(epoch: str) -> Column:
         return F.xxhash64(F.lit(seed), epoch, "source", "block")
 
-    before = Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     reached = (
-        blocks.withColumn("turn", turn_of("full"))
-        .withColumn("start", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)))
+        _started(stage(blocks.withColumn("turn", turn_of("full")), "blocks"))
         .where("start < rest")
         .select(
             F.col("source").alias("r_source"),
