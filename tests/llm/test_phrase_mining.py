@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import cases
 
@@ -139,3 +140,45 @@ def test_sums_of_keys():
     again = phrase_mining._summed(np.concatenate([found, found]), np.concatenate([sums, sums]))
     assert again[0].tolist() == found.tolist() and again[1].tolist() == (2 * sums).tolist()
     assert [len(array) for array in phrase_mining._summed(keys[:0])] == [0, 0]
+
+
+def test_runs_take_a_few_bytes_a_key():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 40, 300_000).astype(np.uint64))
+    counts = rng.integers(1, 9, len(keys))
+    batch = phrase_mining._runs(2, 0, keys, counts, 6)
+    assert sum(len(blob) for column in batch.columns if pa.types.is_binary(column.type) for blob in column.to_pylist()) < 5 * len(keys)
+    found = phrase_mining._values(batch)
+    assert np.array_equal(found[0], keys) and np.array_equal(found[1], counts)
+    part = phrase_mining._values(batch.slice(7, 20))
+    begin, end = found[2][7], found[2][27]
+    assert np.array_equal(part[0], keys[begin:end]) and np.array_equal(part[1], counts[begin:end])
+
+
+def test_runs_of_the_widest_values():
+    keys = np.array([0, 1, 255, 256, 65536, (1 << 36) - 1, 1 << 36, (1 << 40) - 1], dtype=np.uint64)
+    counts = np.array([1, 255, 256, 1 << 24, (1 << 56) - 1, 1 << 56, (1 << 63) - 1, 3])
+    batch = phrase_mining._runs(1, -1, keys, counts, 4)
+    assert batch.column("bucket").to_pylist() == [0, 1, 15]
+    found = phrase_mining._values(batch)
+    assert found[0].tolist() == keys.tolist() and found[1].tolist() == counts.tolist()
+    assert [len(array) for array in phrase_mining._values(batch.slice(0, 0))] == [0, 0, 1]
+
+
+def test_spelled_phrases_travel_compressed_and_summed():
+    rng = random.Random(6)
+    texts = [f"word{rng.randrange(300)} word{rng.randrange(300)} ü" for _ in range(20_000)] + [""]
+    lang, bucket = [i % 2 for i in range(len(texts))], [len(text) % 3 for text in texts]
+    n = np.array([1 + i % 300 for i in range(len(texts))])
+    phrase = pa.array([text.encode() for text in texts], pa.large_binary())
+    batch = phrase_mining._texts(["en", "de"], 3, np.array(lang), np.array(bucket), phrase, n)
+    wanted, got = Counter(), Counter()
+    for row in zip(lang, bucket, texts, n.tolist()):
+        wanted[("en", "de")[row[0]], row[1], row[2].encode()] += row[3]
+    for row in batch.to_pylist():
+        lines = phrase_mining._lines(pa.decompress(row["phrases"], row["size"], codec="zstd")).to_pylist()
+        sums = phrase_mining._unpacked(pa.array([row["counts"]], pa.binary()), np.array([len(lines)])).tolist()
+        assert lines == sorted(set(lines))
+        got.update({(row["lang"], row["bucket"], line): count for line, count in zip(lines, sums)})
+    assert got == wanted
+    assert sum(len(row["phrases"]) for row in batch.to_pylist()) < sum(len(text) for _, _, text in wanted) / 2

@@ -11,10 +11,11 @@ hash slot, the step at which the first phrase of the slot got there. Phrases tha
 earlier than they need be, in each scan alike, and still for one full cycle; so none is missed. Which keys are frequent is
 kept for the last scan in a finer table of bits, of fixed size as well.
 
-Scans count 64-bit keys, as most phrases occur once or twice and needn't be spelled out. Keys travel as sorted runs of a
-few hundred, in buckets of leading bits, with their counts: a row for each run, not for each key. A task merges the runs of
-one bucket after the other, so it holds one bucket's distinct keys. A last scan spells the frequent phrases and counts them
-by their text, so phrases that share a key do no harm.
+Scans count keys of 40 bits, as most phrases occur once or twice and needn't be spelled out. Keys travel as sorted runs of a
+few hundred, in buckets of leading bits: a row for each run, not for each key, with the gaps between its keys and their
+counts in as few bytes each as the run's largest one takes. A task merges the runs of one bucket after the other, so it
+holds one bucket's distinct keys. A last scan spells the frequent phrases and counts them by their text, so phrases that
+share a key do no harm. Their texts travel sorted and compressed, a row for each bucket of a task, and are merged likewise.
 """
 
 from __future__ import annotations
@@ -38,10 +39,15 @@ SLOTS = 1 << 21
 FINE = 1 << 26
 NEVER = 255
 GROUP_BYTES = 2 << 20
+#: Bits of a key. Phrases that share one are activated or spelled needlessly; slots are taken from the last ones.
+KEY_BITS = 40
 #: Keys in a run, keys held before they are merged, and bytes of text for each bucket of keys, of which there are up to 65,536.
 RUN = 512
 HELD = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Spelled phrases held before they are merged; their buckets are fewer by as many bits, so that a row holds many of them.
+HELD_TEXTS = 2 << 20
+FEWER_BITS = 3
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -50,9 +56,12 @@ _CLASS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_RUNS = "length int, since int, bucket int, keys binary, counts binary"
+_RUNS = "length int, since int, bucket int, size int, first long, gaps binary, counts binary"
+_TEXTS = "lang string, length int, bucket int, size int, phrases binary, counts binary"
 _MARKS = "length int, at int, bits long"
 _COUNTS = "lang string, length int, phrase string, n long"
+_KEY = np.uint64((1 << KEY_BITS) - 1)
+_FULL = np.left_shift(np.int64(1), 8 * np.arange(1, 8))
 
 
 def _ranges(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -137,7 +146,7 @@ class Range:
         return (self.piece[:count] == self.piece[length - 1 :]) & (self.rows[:count] == self.rows[length - 1 :])
 
     def spelled(self, at: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """(languages, texts, counts) of the distinct phrases that begin at ``at``."""
+        """(a place, the text, the count) of each of the distinct phrases that begin at ``at``."""
         group, width = np.unique(self.lang[at], return_inverse=True)[1], len(self.dictionary)
         for i in range(length):
             if i > 1:
@@ -149,7 +158,7 @@ class Range:
         for i in range(1, length):
             following = self.dictionary.take(pa.array(self.places[head + i]))
             phrase = pc.binary_join_element_wise(phrase, following, pa.scalar(b" ", pa.large_binary()))
-        return self.lang[head], phrase, n
+        return head, phrase, n
 
 
 def _text_ranges(batch: pa.RecordBatch) -> tuple[list[str], Iterator[Range]]:
@@ -175,24 +184,50 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[heads], sums.astype(np.int64)
 
 
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A blob for the values (not negative) from each cut on, each in the bytes that the blob's largest one takes."""
+    sizes = np.diff(np.append(cuts, len(values)))
+    widths = np.searchsorted(_FULL, np.maximum.reduceat(values, cuts), side="right") + 1
+    widest = int(widths.max(initial=1))
+    kept = np.arange(widest) < np.repeat(widths, sizes)[:, None]
+    offsets = np.concatenate([[0], np.cumsum(widths * sizes)]).astype(np.int32)
+    data = values.view(np.uint8).reshape(-1, 8)[:, :widest][kept]
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(blobs: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The values of a column of blobs that hold ``sizes`` values each."""
+    blobs = blobs.cast(pa.large_binary())
+    offsets = np.frombuffer(blobs.buffers()[1], dtype=np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = np.frombuffer(blobs.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    widths = np.diff(offsets) // sizes
+    widest = int(widths.max(initial=1))
+    values = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+    values[:, :widest][np.arange(widest) < np.repeat(widths, sizes)[:, None]] = data
+    return values.view(np.int64).reshape(-1)
+
+
 def _runs(length: int, since: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows of at most ``RUN`` keys of one bucket; ``keys`` are distinct and in order."""
-    bucket = keys >> np.uint64(64 - bits)
+    keys = keys.view(np.int64)
+    bucket = keys >> (KEY_BITS - bits)
     borders = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     cuts = np.union1d(np.arange(0, len(keys), RUN), borders).astype(np.int64)
-    offsets = pa.py_buffer((np.append(cuts, len(keys)) * 8).astype(np.int32))
-    blobs = [pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(values)]) for values in (keys, counts)]
-    numbers = [np.full(len(cuts), length), np.full(len(cuts), since), bucket[cuts]]
-    columns = [pa.array(column.astype(np.int32)) for column in numbers]
-    return pa.RecordBatch.from_arrays([*columns, *blobs], names=["length", "since", "bucket", "keys", "counts"])
+    gaps = np.diff(keys, prepend=0)
+    gaps[cuts] = 0
+    numbers = [np.full(len(cuts), length), np.full(len(cuts), since), bucket[cuts], np.diff(np.append(cuts, len(keys)))]
+    columns = [*(pa.array(column.astype(np.int32)) for column in numbers), pa.array(keys[cuts])]
+    columns += [_packed(gaps, cuts), _packed(counts, cuts)]
+    return pa.RecordBatch.from_arrays(columns, names=["length", "since", "bucket", "size", "first", "gaps", "counts"])
 
 
-def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The eight-byte values of a column of runs, and where each row's begin."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(kind), (offsets - offsets[0]) // 8
+def _values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys and counts of the runs of a batch, and where each row's begin."""
+    sizes, first = (batch.column(name).to_numpy().astype(np.int64) for name in ("size", "first"))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    keys = np.cumsum(_unpacked(batch.column("gaps"), sizes))
+    keys += np.repeat(first - keys[offsets[:-1]], sizes)
+    return keys.view(np.uint64), _unpacked(batch.column("counts"), sizes), offsets
 
 
 def shard_counts(
@@ -217,7 +252,7 @@ def shard_counts(
                     keys, ok = part.keys(length), part.whole(length)
                     active = np.maximum(steps[:-1], steps[1:]) if length > 1 else np.full(len(keys), -1, dtype=np.int16)
                     at = np.flatnonzero(ok & (active < step) & (step <= active + shards))
-                    keyed, since = keys[at], active[at]
+                    keyed, since = keys[at] & _KEY, active[at]
                     for first in (np.flatnonzero(np.bincount(since + 1)) - 1).tolist():
                         held.setdefault((length, first), []).append(keyed[since == first])
                     size += len(at)
@@ -248,8 +283,7 @@ def merged_runs(runs: DataFrame, bits: int) -> DataFrame:
                 continue
             labels = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             borders = np.flatnonzero((labels[1:] != labels[:-1]).any(axis=1)) + 1
-            of_keys, offsets = _values(batch.column(3), np.uint64)
-            of_counts = _values(batch.column(4), np.int64)[0]
+            of_keys, of_counts, offsets = _values(batch)
             for begin, end in zip([0, *borders.tolist()], [*borders.tolist(), len(labels)]):
                 if group != (found := tuple(labels[begin].tolist())):
                     if group:
@@ -269,39 +303,127 @@ def merged_runs(runs: DataFrame, bits: int) -> DataFrame:
     return in_arrow(runs.repartition(*order).sortWithinPartitions(*order), run, _RUNS)
 
 
-def spelled_counts(corpus: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
-    """(lang, length, phrase, n) of all phrases whose bit in ``frequent`` is set; length 0 counts all words.
-
-    ``frequent`` has a row of 64-bit words for each length.
+def _texts(names: list[str], length: int, lang: np.ndarray, bucket: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each language and bucket: its distinct phrases in order, one a line, and the sums of their counts."""
+    encoded = phrase.dictionary_encode()
+    rank = np.empty(len(encoded.dictionary), dtype=np.int64)
+    rank[pc.sort_indices(encoded.dictionary).to_numpy()] = np.arange(len(rank))
+    place = rank[encoded.indices.to_numpy()]
+    group = lang.astype(np.int64) * (int(bucket.max(initial=0)) + 1) + bucket
+    order = np.argsort(group * len(rank) + place)
+    group, place = group[order], place[order]
+    new = np.ones((2, len(order)), dtype=bool)
+    new[0, 1:] = group[1:] != group[:-1]
+    new[1, 1:] = new[0, 1:] | (place[1:] != place[:-1])
+    heads = np.flatnonzero(new[1])
+    cuts = np.flatnonzero(new[0][heads])
+    lines = pc.binary_join_element_wise(phrase.take(pa.array(order[heads])), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    offsets = np.frombuffer(lines.buffers()[1], dtype=np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    borders = [*offsets[cuts].tolist(), int(offsets[-1])]
+    blobs = [pa.compress(lines.buffers()[2].slice(x, y - x), codec="zstd", asbytes=True) for x, y in zip(borders, borders[1:])]
+    at = order[heads[cuts]]
+    columns = [pa.array([names[code] for code in lang[at].tolist()], pa.string())]
+    columns += [pa.array(c.astype(np.int32)) for c in (np.full(len(cuts), length), bucket[at], np.diff(borders))]
+    columns += [pa.array(blobs, pa.binary()), _packed(np.add.reduceat(n[order], heads), cuts)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "bucket", "size", "phrases", "counts"])
+
+
+def _lines(text: bytes) -> pa.Array:
+    """The lines of a text, without their ends."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    ends = np.flatnonzero(data == 0x0A)
+    stops = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    buffers = [None, pa.py_buffer(stops), pa.py_buffer(data[data != 0x0A])]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), buffers)
+
+
+def spelled_texts(corpus: DataFrame, longest: int, frequent: np.ndarray, bits: int) -> DataFrame:
+    """Rows (lang, length, bucket, size, phrases, counts) of all phrases whose bit in ``frequent`` is set.
+
+    Length 0 counts all words. ``frequent`` has a row of 64-bit words for each length.
     """
     shared = corpus.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         slots = np.uint64(64 * frequent.shape[1])
+        codes: dict[str, int] = {}
+        total: dict[str, int] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]] = {}
+        size = 0
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            for length, found in held.items():
+                lang, bucket, phrase, n = zip(*found)
+                yield _texts(list(codes), length, *map(np.concatenate, (lang, bucket)), pa.concat_arrays(phrase), np.concatenate(n))
+
         for batch in batches:
             names, parts = _text_ranges(batch)
-            total = np.zeros(len(names), dtype=np.int64)
+            code = np.array([codes.setdefault(name, len(codes)) for name in names], dtype=np.int32)
             for part in parts:
-                total += np.bincount(part.lang, minlength=len(names))
+                for name, n in zip(names, np.bincount(part.lang, minlength=len(names)).tolist()):
+                    total[name] = total.get(name, 0) + n
                 for length in range(1, longest + 1):
-                    slot = (part.keys(length) % slots).astype(np.int64)
-                    held = (frequent[length - 1][slot >> 6] >> (slot & 63)) & 1
-                    at = np.flatnonzero((held == 1) & part.whole(length))
+                    keys = part.keys(length)
+                    slot = (keys % slots).astype(np.int64)
+                    bit = (frequent[length - 1][slot >> 6] >> (slot & 63)) & 1
+                    at = np.flatnonzero((bit == 1) & part.whole(length))
                     if not len(at):
                         break
-                    lang, phrase, n = part.spelled(at, length)
-                    yield _counted(names, lang, length, phrase, n)
-            lang = np.flatnonzero(total)
-            yield _counted(names, lang, 0, pa.array([b""] * len(lang), pa.large_binary()), total[lang])
+                    head, phrase, n = part.spelled(at, length)
+                    bucket = ((keys[head] & _KEY) >> np.uint64(KEY_BITS - bits)).astype(np.int32)
+                    held.setdefault(length, []).append((code[part.lang[head]], bucket, phrase, n))
+                    size += len(head)
+                if size >= HELD_TEXTS:
+                    yield from joined()
+                    held, size = {}, 0
+        yield from joined()
+        if total := {name: n for name, n in total.items() if n}:
+            lang = np.array([codes[name] for name in total], dtype=np.int32)
+            words = pa.array([b""] * len(total), pa.large_binary())
+            yield _texts(list(codes), 0, lang, np.zeros(len(total), dtype=np.int32), words, np.array(list(total.values())))
+
+    return in_arrow(corpus, run, _TEXTS)
+
+
+def spelled_counts(corpus: DataFrame, longest: int, frequent: np.ndarray, bits: int) -> DataFrame:
+    """(lang, length, phrase, n) of all phrases whose bit in ``frequent`` is set; length 0 counts all words.
+
+    A task merges one (lang, length, bucket) after the other and holds its distinct phrases.
+    """
+
+    def summed(texts: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+        encoded = pa.concat_arrays(texts).dictionary_encode()
+        sums = np.zeros(len(encoded.dictionary), dtype=np.int64)
+        np.add.at(sums, encoded.indices.to_numpy(), np.concatenate(counts))
+        return encoded.dictionary, sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, texts, counts, merged, waiting = None, [], [], 0, 0
+        for batch in batches:
+            for lang, length, bucket, size, blob, packed in zip(*(column.to_pylist() for column in batch.columns)):
+                if group != (found := (lang, length, bucket)):
+                    if group:
+                        yield _counted(*group[:2], *summed(texts, counts))
+                    group, texts, counts, merged, waiting = found, [], [], 0, 0
+                texts.append(_lines(pa.decompress(blob, size, codec="zstd")))
+                counts.append(_unpacked(pa.array([packed], pa.binary()), np.array([len(texts[-1])])))
+                waiting += len(texts[-1])
+                if waiting >= max(HELD_TEXTS, merged):
+                    both = summed(texts, counts)
+                    texts, counts, merged, waiting = [both[0]], [both[1]], len(both[0]), 0
+        if group:
+            yield _counted(*group[:2], *summed(texts, counts))
 
-    return in_arrow(corpus, run, _COUNTS)
+    order = ["lang", "length", "bucket"]
+    texts = spelled_texts(corpus, longest, frequent, bits)
+    return in_arrow(texts.repartition(*order).sortWithinPartitions(*order), run, _COUNTS)
 
 
-def _counted(names: list[str], lang: np.ndarray, length: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+def _counted(lang: str, length: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     text = pc.cast(phrase, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
-    columns = [pa.array([names[code] for code in lang.tolist()], pa.string()), pa.array(np.full(len(lang), length, dtype=np.int32))]
-    return pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["lang", "length", "phrase", "n"])
+    columns = [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, dtype=np.int32)), text, pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "phrase", "n"])
 
 
 def reached_bits(runs: DataFrame, least: int, longest: int, slots: int) -> np.ndarray:
@@ -312,14 +434,14 @@ def reached_bits(runs: DataFrame, least: int, longest: int, slots: int) -> np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, offsets = _values(batch.column(1), np.uint64)
-            enough = _values(batch.column(2), np.int64)[0] >= least
-            length = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))[enough]
+            keys, counts, offsets = _values(batch)
+            enough = counts >= least
+            length = np.repeat(batch.column("length").to_numpy(), np.diff(offsets))[enough]
             slot = (keys[enough] % np.uint64(slots)).astype(np.int64)
             columns = [length, (slot >> 6).astype(np.int32), np.left_shift(np.int64(1), slot & 63)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["length", "at", "bits"])
 
-    marks = in_arrow(runs.select("length", "keys", "counts"), run, _MARKS)
+    marks = in_arrow(runs.select("length", "size", "first", "gaps", "counts"), run, _MARKS)
     merged = marks.groupBy("length", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
     length, at, bits = (column.to_numpy() for column in merged.columns)
     found = np.zeros((longest, slots // 64), dtype=np.int64)
@@ -373,8 +495,8 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, shards: int = SHARD
                         ends[length] = step + shards
         step += 1
     discard(spark, written)
-    spelled = spelled_counts(corpus.select("lang", "text"), longest, frequent)
-    return stage(spelled.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")), "spelled")
+    spelled = spelled_counts(corpus.select("lang", "text"), longest, frequent, max(4, bits - FEWER_BITS))
+    return stage(spelled, "spelled")
 
 
 def scored_phrases(counts: DataFrame, longest: int, least: int) -> DataFrame:
